@@ -122,11 +122,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 12_000, prior: float = 50.0, least_z: float = 3.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 12_000, prior: float = 0.015, least_z: float = 2.5, least_odds: float = 4.0) -> ToxicModel:
     """Learn from at most about `max_labels` labelled documents of each class, drawn by a hash of the id.
 
     labels: doc_id, toxic. Null ids, labels and texts teach nothing; of several labels of one id the
-    highest counts. Without both classes every text gets the score of no evidence.
+    highest counts. Without both classes every text gets the score of no evidence. Of texts whose smallest
+    5-word shingle hash agrees (copies, nearly) one teaches, else the words of a copied text would look
+    toxic. prior: weight of the corpus in the Dirichlet prior, as a part of the texts, 200 texts at most.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -134,7 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicModel()
     part = F.when(F.col("y") == 1, F.lit(max_labels / sizes[1])).otherwise(F.lit(max_labels / sizes[0]))
     drawn = B.materialize(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000), "drawn")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id").select("y", "text")
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")
+    five = lambda w: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))))
+    first = text.withColumn("key", B.let(B.words_of(F.lower("text")), five)).groupBy("key").agg(F.min_by(F.struct("y", "text"), F.struct("doc_id", "text")).alias("row"))
+    rows = B.materialize(first.select("row.*"), "taught")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -149,18 +154,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not sizes or not sizes["toxic"] or not sizes["clean"]:
         return ToxicModel()
     n1, n0 = sizes["toxic"], sizes["clean"]
+    prior = min(200.0, prior * (n1 + n0))
     tell = counts.filter((F.col("f") != "") & (F.col("toxic") >= 5) & (F.col("toxic") * n0 > F.lit(2) * F.col("clean") * n1)).toPandas()
     model = ToxicModel()
     for f, clean, toxic in zip(tell["f"], tell["clean"], tell["toxic"]):
         delta, z = log_odds(toxic, clean, n1, n0, prior)
-        if z >= least_z and delta > 1:
+        if z >= least_z and delta >= least_odds:
             model.scores[f] = delta
     stems = sorted(f for f in model.scores if f.endswith("*"))
-    if stems:  # well-known words that only share a stem with a toxic one speak for themselves
+    if stems:  # what only shares a stem with toxic words speaks for itself
         stem = F.explode(F.array(*(F.concat(F.substring("f", 1, k), F.lit("*")) for k in STEMS)))
-        own = counts.filter("f not like '%*' and clean + toxic >= 20").withColumn("stem", stem).join(F.broadcast(counts.sparkSession.createDataFrame([(s,) for s in stems], "stem string")), "stem", "left_semi")
-        for r in own.dropDuplicates(["f"]).collect():
-            model.scores.setdefault(r["f"], model.rest if log_odds(r["toxic"], r["clean"], n1, n0, prior)[0] < 1 else log_odds(r["toxic"], r["clean"], n1, n0, prior)[0])
+        own = counts.withColumn("stem", stem).filter("f != stem").join(F.broadcast(counts.sparkSession.createDataFrame([(x,) for x in stems], "stem string")), "stem", "left_semi")
+        for f, clean, toxic in own.select("f", "clean", "toxic").distinct().collect():
+            delta, _ = log_odds(toxic, clean, n1, n0, prior)
+            model.scores.setdefault(f, delta if delta >= 1 else model.rest)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
