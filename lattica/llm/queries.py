@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, language, near_dedup, quality, token_counts, toxicity, urls
+from . import bpe, decontaminate, html, language, licenses, near_dedup, quality, token_counts, toxicity, urls
 from ._base import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_near_dedup, op2_language_id, op3_bpe_roundtrip, op5_url_filter, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_toxicity, op10_main_text)
+    every = (op1_near_dedup, op2_language_id, op3_bpe_roundtrip, op4_license_scan, op5_url_filter, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_toxicity, op10_main_text)
     return {f.__name__: f for f in every}
 
 
