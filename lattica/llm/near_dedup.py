@@ -3,8 +3,9 @@
 Equal shingle sets collapse into one node. Nodes whose MinHash samples agree in a band are candidates;
 the parities of the samples, folded into a bitmap, estimate their similarity, and clearly lower ones
 go. Each bucket first links its members to its smallest node, so a group of copies costs its size and
-not its square; only members that this leaves outside the bucket's main component are then compared with
-its other members. Every link is confirmed on full shingle sets.
+not its square; members that this leaves outside the bucket's main component are then held in memory, in bounded
+parts, while the bucket's other members stream past them, and only links between components come out.
+Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ LEAST_ESTIMATE = 0.65
 MEMO_WORDS = 600_000
 #: Members of one leader that one task compares at most, give or take chance.
 LEADER_PART = 2_000
+#: Shingles of a bucket's outsiders that one task holds, give or take one document and chance.
+HELD_SHINGLES = 2_000_000
+#: Documents whose comparisons are broadcast to the scan of the texts; more of them are shuffled.
+JOB_ROWS = 50_000
 
 _rng = np.random.default_rng(20)
 _FACTOR = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,6 +149,25 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def shown(docs: DataFrame, jobs: DataFrame, fields: str) -> DataFrame:
+    """The packed shingle set of every document in `jobs`, once for each of its jobs (structs of `fields`)."""
+    jobs = B.materialize(jobs.groupBy("doc_id").agg(F.collect_list("job").alias("jobs")), "jobs")
+    wanted = F.broadcast(jobs) if B.small_enough(jobs, JOB_ROWS) else jobs.hint("shuffle_hash")
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for lo in range(0, len(x), 200):
+                own = x.iloc[lo : lo + 200]
+                rows = []
+                for i, s, todo in zip(own["doc_id"], shingle_sets(own["text"].tolist()), own["jobs"]):
+                    raw = packed(s)
+                    rows += [(*(j[n] for n in names), i, raw) for j in todo]
+                yield pd.DataFrame(rows, columns=[*names, "node", "set"])
+
+    return docs.join(wanted, "doc_id").mapInPandas(sets, f"{fields}, node long, set binary")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets reach the threshold.
 
@@ -151,35 +175,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """
     leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    jobs = leaders.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a"), F.lit(True).alias("lead")).unionByName(pairs.join(leaders, "a").select(F.col("b").alias("doc_id"), part.alias("part"), "a", F.lit(False).alias("lead")))
-    jobs = B.materialize(jobs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "lead")).alias("jobs")), "jobs")
-    wanted = F.broadcast(jobs) if B.small_enough(jobs) else jobs.hint("shuffle_hash")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for lo in range(0, len(x), 200):
-                own = x.iloc[lo : lo + 200]
-                rows = [(j["a"], j["part"], j["lead"], i, packed(s)) for i, s, jobs_ in zip(own["doc_id"], shingle_sets(own["text"].tolist()), own["jobs"]) for j in jobs_]
-                yield pd.DataFrame(rows, columns=["a", "part", "lead", "b", "set"])
+    lead = leaders.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a"), F.lit(True).alias("lead"))
+    jobs = lead.unionByName(pairs.join(leaders, "a").select(F.col("b").alias("doc_id"), part.alias("part"), "a", F.lit(False).alias("lead")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, lead = None, None
+        at, held = None, None
         for x in batches:
             out = []
-            for a, p, is_lead, b, raw in zip(x["a"], x["part"], x["lead"], x["b"], x["set"]):
+            for a, p, is_lead, b, raw in zip(x["a"], x["part"], x["lead"], x["node"], x["set"]):
                 if is_lead:
-                    at, lead = (a, p), unpacked(raw)
+                    at, held = (a, p), unpacked(raw)
                 elif at == (a, p):
                     own = unpacked(raw)
-                    if len(own) and len(lead):
-                        slot = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
-                        same = int((lead[slot] == own).sum())
-                        if 100 * same >= percent * (len(lead) + len(own) - same):
+                    if len(own) and len(held):
+                        slot = np.minimum(np.searchsorted(held, own), len(held) - 1)
+                        same = int((held[slot] == own).sum())
+                        if 100 * same >= percent * (len(held) + len(own) - same):
                             out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    shown = docs.join(wanted, "doc_id").mapInPandas(sets, "a long, part int, lead boolean, b long, set binary")
-    return shown.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead")).mapInPandas(compare, "a long, b long").distinct()
+    rows = shown(docs, jobs.select("doc_id", F.struct("a", "part", "lead").alias("job")), "a long, part int, lead boolean")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead")).mapInPandas(compare, "a long, b long").distinct()
+
+
+class Held:
+    """Shingle sets of a bucket's outsiders, by shingle."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.nodes, self.components = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        self.sizes = np.array([len(r[2]) for r in rows], np.int64)
+        every = np.concatenate([r[2] for r in rows])
+        order = np.argsort(every, kind="stable")
+        self.who = np.repeat(np.arange(len(rows)), self.sizes)[order]
+        self.keys, self.starts = np.unique(every[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(every))
+
+    def links(self, node: int, component: int, shingles: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """One link of the node to each other component with a document that reaches the threshold."""
+        slot = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        slot = slot[self.keys[slot] == shingles]
+        n = self.ends[slot] - self.starts[slot]
+        spot = np.repeat(self.starts[slot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        same = np.bincount(self.who[spot], minlength=len(self.nodes))
+        hit = np.nonzero((100 * same >= percent * (self.sizes + len(shingles) - same)) & (self.components != component))[0]
+        _, first = np.unique(self.components[hit], return_index=True)
+        return [(min(node, x), max(node, x)) for x in self.nodes[hit[first]].tolist()]
+
+
+def across(placed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of a bucket: its outsiders against all its other members.
+
+    placed: band, key, node, n_shingles, component. Buckets of one component need nothing. The work
+    grows with outsiders times members of a bucket; rows sent grow with its members for each
+    HELD_SHINGLES of its outsiders, and rows returned with its members and the components they join.
+    """
+    split = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    main = F.max_by(F.struct("component", "w"), F.struct("n", -F.col("component")))
+    buckets = split.groupBy("band", "key").agg(main.alias("main"), F.sum("w").alias("w"), F.count("*").alias("k")).filter("k > 1")
+    buckets = buckets.select("band", "key", F.col("main.component").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / HELD_SHINGLES).cast("int").alias("parts"))
+    rest = B.materialize(placed.join(buckets, ["band", "key"]), "mixed")
+    own = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    jobs = rest.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    jobs = jobs.select(F.col("node").alias("doc_id"), F.struct("band", "key", "part", "component", F.coalesce(F.col("own") == F.col("part"), F.lit(False)).alias("held")).alias("job"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows, held = None, [], None
+        for x in batches:
+            out: set[tuple[int, int]] = set()
+            for band, key, part, component, is_held, node, raw in zip(x["band"], x["key"], x["part"], x["component"], x["held"], x["node"], x["set"]):
+                if at != (band, key, part):
+                    at, rows, held = (band, key, part), [], None
+                if is_held:
+                    rows.append((node, component, unpacked(raw)))
+                elif rows:
+                    if held is None:  # the outsiders are complete: they also meet each other
+                        held = Held(rows)
+                        out.update(link for r in rows for link in held.links(*r, percent))
+                    out.update(held.links(node, component, unpacked(raw), percent))
+            yield pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    found = shown(docs, jobs, "band int, key long, part int, component long, held boolean")
+    return found.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", F.desc("held")).mapInPandas(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,24 +290,18 @@ def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     made = B.materialize(sketch(docs), "sketches")
     sets = B.materialize(made.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "sets")
     nodes = B.materialize(made.filter("bands is not null").join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "nodes")
-    spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    spread = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    # A bucket is shuffled by node too, so that no task has to hold one whole: its leader goes along instead.
     members = B.materialize(spread.join(shared.select("band", "key", "a"), ["band", "key"]), "members")
     stars = B.materialize(promising(members.filter("a < node").select("a", F.col("node").alias("b")).distinct(), nodes, percent), "stars")
     unique = docs.filter("doc_id is not null")
     links = B.materialize(confirmed(stars, unique, percent), "star-links")
     label = components(links)
 
-    placed = members.join(label, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("band", "key", "component").count()
-    mixed_buckets = split.groupBy("band", "key").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "key", "main")
-    rest = B.materialize(placed.join(mixed_buckets, ["band", "key"]), "mixed")
-    outside = rest.filter("component != main").select("band", "key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    again = rest.join(outside, ["band", "key"]).filter("component != cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    again = B.materialize(promising(again.join(members.filter("a < node").select("a", F.col("node").alias("b")), ["a", "b"], "left_anti"), nodes, percent), "rest")
-    if again.limit(1).count():
-        links = links.unionByName(B.materialize(confirmed(again, unique, percent), "rest-links"))
+    placed = members.join(label, "node", "left").select("band", "key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    more = B.materialize(across(placed, unique, percent), "more-links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
         label = components(links)
 
     named = sets.join(label, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
