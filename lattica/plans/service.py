@@ -5,6 +5,7 @@ A missing or empty required payload raises ValueError, as the service's answer 4
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,14 +97,18 @@ def build_user_embeddings_get_result(spark: SparkSession, payload: Payload) -> d
     return {"stats": {"user_count": len(found)}, "user_embeddings": found}
 
 
-def run_chain(contents: DataFrame, av: DataFrame | None, game: DataFrame | None, webnovel: DataFrame | None, raw_item: DataFrame | None, prefs: DataFrame, dim: int = 64, top_k: int = 5, embedding_options: dict | None = None) -> dict[str, DataFrame]:
-    """Catalogue tables to recommendations: every stage's table by name."""
-    nodes = bipartite.build_nodes(contents, av, game, webnovel)
-    genres = bipartite.raw_genres_wide(bipartite.raw_genres_tall(nodes, av, game, webnovel), raw_item)
+def run_chain(contents: DataFrame, av: DataFrame | None, game: DataFrame | None, webnovel: DataFrame | None, raw_item: DataFrame | None, prefs: DataFrame, dim: int = 64, top_k: int = 5, embedding_options: dict | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> dict[str, DataFrame]:
+    """Catalogue tables to recommendations: every stage's table by name.
+
+    `keep` holds what several stages read: by default in memory and on disk; on a large catalogue, pass a
+    function that writes a table in shared storage and reads it back.
+    """
+    nodes = keep(bipartite.build_nodes(contents, av, game, webnovel))
+    genres = keep(bipartite.raw_genres_wide(bipartite.raw_genres_tall(nodes, av, game, webnovel), raw_item))
     meta, edges = bipartite.build_bipartite(nodes, genres)
-    graph = itemgraph.build_item_graph(nodes, genres)
-    items = embed.item_embeddings(graph, dim, **(embedding_options or {}))
-    people = users.user_embeddings(items, genres, prefs, dim)
+    graph = keep(itemgraph.build_item_graph(nodes, genres))
+    items = keep(embed.item_embeddings(graph, dim, **(embedding_options or {})))
+    people = keep(users.user_embeddings(items, genres, prefs, dim))
     return {
         "nodes": nodes,
         "raw_genres": genres,

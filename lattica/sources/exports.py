@@ -26,7 +26,7 @@ def json_lines(lines: DataFrame, unescape_always: bool = False, repair_backslash
     kept = lines.filter((bare != "") & ~F.lower(bare).startswith('"row_to_json"'))
     text = X.unwrap_json(bare, unescape_always)
     if repair_backslash:
-        text = F.regexp_replace(text, r"\\ ", r"\\\\\\\\ ")
+        text = F.regexp_replace(text, r"\\ ", r"\\\\ ")
     parsed = kept.select(F.col("value").alias("line"), text.alias("json")).withColumn("ok", F.try_parse_json("json").isNotNull() & F.startswith(F.trim("json"), F.lit("{")))
     return parsed.filter("ok").select("json"), parsed.filter("not ok").select("line")
 
