@@ -120,23 +120,17 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
     return found
 
 
-def first_pass(text: str, linked: int, block: Block, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.33) -> tuple[int | None, bool]:
-    """Class of a block and whether it is short."""
-    if block.beside:
-        return BAD, False
-    if linked > links * len(text):
-        return BAD, False
+def first_pass(text: str, linked: int, block: Block, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.33) -> int | None:
+    """Class of a block; OPEN for short ones and for those of middling stop-word density."""
+    if block.beside or linked > links * len(text):
+        return BAD
+    if len(text) < short:
+        return OPEN
     words = text.lower().split()
     density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if block.inside and len(text) >= short:
-        return GOOD, False
-    if len(text) < short:
-        return OPEN, True
-    if density >= high:
-        return (GOOD if len(text) > long else OPEN), len(text) <= long
-    if density >= low:
-        return OPEN, len(text) <= long
-    return BAD, False
+    if block.inside or density >= high:
+        return GOOD
+    return OPEN if density >= low or len(text) <= long else BAD
 
 
 def second_pass(classes: list[int | None], inside: list[bool], heading: list[bool]) -> list[int]:
@@ -174,7 +168,7 @@ def main_text(page: str | None) -> str:
     if any(b.inside and not b.beside for *_, b in found):  # the page says where its content is
         for *_, b in found:
             b.beside |= not b.inside
-    classes = [first_pass(t, linked, b)[0] for t, linked, b in found]
+    classes = [first_pass(t, linked, b) for t, linked, b in found]
     keep = second_pass(classes, [b.inside for *_, b in found], [b.heading for *_, b in found])
     return "\n\n".join(t for (t, *_), k in zip(found, keep) if k == GOOD)
 

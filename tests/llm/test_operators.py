@@ -1,0 +1,542 @@
+"""Each corpus operator against a brute-force version or a round trip, and its edge cases."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.llm import _base as B
+from lattica.llm import bpe, decontaminate, html, language, licenses, near_dedup, quality, queries, spans, token_counts, toxicity, urls
+
+DIR = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, bands string, row string, digest string, m int"
+ODD = ["", None, "   ", "\n\t", "Hello, World! it's we'll 123 <|endoftext|>x <|startoftext|>", "é É İstanbul ΣΑΣ ﬁ 日本語 テスト　x", "a\x1cb \x85c d", "x" * 300 + " " + "ab" * 200, "don'T 'S ''s ... !!!a", "é ́a", "\U0001f600 smile 👩‍👩‍👧", "ʼn ſ ǅ Å", "１２３ ½ ²", "word " * 5000]
+
+
+def docs(spark, rows, extra=True):
+    """rows: (doc_id, text[, lang]); further columns have names that clash with those used inside."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else None, None, None, "x", "y", "z", 1) for r in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# -- op1 -----------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    index = {}
+    for i, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(i)
+    for i, s in sets.items():
+        for j, same in Counter(j for x in s for j in index[x] if j < i).items():
+            if 100 * same >= 85 * (len(s) + len(sets[j]) - same):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+def near_copies(seed, n=40, size=60):
+    """Chains of edited copies, so that components hold pairs below the threshold."""
+    rng = random.Random(seed)
+    rows, text = [], [f"w{rng.randrange(500)}" for _ in range(size)]
+    for i in range(n):
+        text = list(text)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            text[rng.randrange(size)] = f"v{rng.randrange(500)}"
+        rows.append((i * 3 % (3 * n + 1), " ".join(text if i % 9 else rng.choices([f"z{k}" for k in range(90)], k=size))))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_dedup_against_all_pairs(spark, seed):
+    rows = [*near_copies(seed), (900, "A b"), (901, "a B"), (902, ""), (903, None), (904, "  "), (905, "a b c")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.group(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_dedup_on_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
+    found = queries.op1_near_dedup(spark, DIR).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
+def test_near_dedup_edges(spark):
+    assert near_dedup.group(docs(spark, [])).count() == 0
+    same = "one two three four five six seven"
+    rows = near_dedup.group(docs(spark, [(2, same), (2, same), (5, same), (None, same), (None, "other words"), (None, None)])).collect()
+    assert len(rows) == 6 and {r["component_id"] for r in rows} == {2, None} and sum(r["kept"] for r in rows) == 2
+    left = near_dedup.keep_one(docs(spark, [(2, same), (2, same), (5, same), (7, None)]))
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 7] and left.columns == docs(spark, []).columns
+    with pytest.raises(ValueError):
+        near_dedup.group(docs(spark, []), percent=60)
+
+
+def test_odd_sketch_estimates():
+    rng = np.random.default_rng(1)
+    for share in (0.7, 0.85, 0.95):
+        errors = []
+        for _ in range(30):
+            base = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+            k = round(2000 * share / (1 + share))
+            other = np.concatenate((base[:k], rng.integers(0, 1 << 63, 1000 - k, dtype=np.uint64)))
+            x, y = (np.frombuffer(near_dedup.odd_sketch(near_dedup.minhash(s)), np.uint8) for s in (base, other))
+            errors.append(float(near_dedup.estimate(np.array([np.unpackbits(x ^ y).sum()]))[0]) - share)
+        assert abs(np.mean(errors)) < 0.04
+
+
+def test_packed_sets_round_trip():
+    s = np.unique(near_dedup.mixed(np.arange(1000, dtype=np.uint64)))
+    assert (near_dedup.unpacked(near_dedup.packed(s)) == s >> np.uint64(16) << np.uint64(16)).all()
+
+
+# -- op2 -----------------------------------------------------------------------------------------
+
+
+def test_language_held_out(spark):
+    rows = queries.op2_language_id(spark, DIR).join(spark.read.parquet(f"{DIR}/documents.parquet"), "doc_id").collect()
+    assert len(rows) == 200
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+    judged = [r["lang"] == r["lang_pred"] for r in rows if r["held_out"] and r["lang"]]
+    assert sum(judged) >= 0.97 * len(judged)
+
+
+def test_language_edges(spark):
+    train = docs(spark, [(1, "the and that with this", "en"), (2, "der die und nicht das", "de"), (3, None, "fr"), (4, "abc", None)])
+    model = language.fit(train)
+    assert model.langs == ["de", "en"]
+    rows = [(1, None), (2, ""), (3, "12 %!"), (4, "the that with"), (4, "the that with"), (None, "und nicht die"), (6, "the that with this and " * 8 + "und nicht der die das " * 8)]
+    got = language.identify(docs(spark, rows), model).collect()
+    assert [r["lang_pred"] for r in got] == ["und", "und", "und", "en", "en", "de", got[6]["lang_pred"]]
+    assert {x["lang"] for x in got[6]["languages"]} == {"en", "de"} and sum(x["share"] for x in got[6]["languages"]) == pytest.approx(1)
+    empty = language.fit(docs(spark, []))
+    assert [r["lang_pred"] for r in language.identify(docs(spark, [(1, "text")]), empty).collect()] == ["und"]
+    assert language.identify(docs(spark, []), model).count() == 0
+
+
+def test_mixture_is_the_likeliest():
+    scores = np.log(np.random.default_rng(0).dirichlet([1, 1, 1], 200))
+    share, ll = language.mixture(scores, rounds=500, tol=1e-9)
+    for _ in range(200):
+        other = np.random.default_rng(_).dirichlet([1, 1, 1])
+        assert np.log(np.exp(scores) @ other).sum() <= ll + 1e-6
+    assert share.sum() == pytest.approx(1)
+
+
+# -- op3 and op8 -----------------------------------------------------------------------------------
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_bpe_equals_the_library(spark):
+    own, lib = bpe.BpeCodec(PATH), library()
+    for text in ODD:
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert own.encode(text) == ids
+        assert own.decode_bytes(np.array(ids, dtype="<u4")) == lib.decode(ids, skip_special_tokens=False).encode()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeéß0'. \n-<|ſ日") for _ in range(rng.randrange(60))) for _ in range(400)]
+    for text, raw in zip(texts, own.encode_batch(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_batched_merge_equals_the_scalar_tree():
+    own, rng = bpe.BpeCodec(PATH), random.Random(6)
+    some = [bytes(rng.choices(b"abcdethersni\xc3\xa9", k=rng.randrange(1, 70))) for _ in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.merge_many(some)] == [own.merge_one(w) for w in some]
+
+
+def test_byte_level_vocabulary():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    own, lib = bpe.BpeCodec(path), Tokenizer.from_file(path)
+    for text in ODD:
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert own.encode(text) == ids and own.decode_bytes(np.array(ids, dtype="<u4")) == lib.decode(ids, skip_special_tokens=False).encode()
+
+
+def test_encode_documents(spark):
+    rows = list(enumerate(ODD)) + [(None, "x"), (0, "x")]
+    got = bpe.encode_documents(docs(spark, rows), PATH, with_ids=True).collect()
+    lib = library()
+    for (i, text), r in zip(rows, got):
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert (r["doc_id"], r["n_tokens"], r["ids"]) == (i, len(ids), ids)
+        assert r["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.encode_documents(docs(spark, []), PATH).count() == 0
+
+
+def test_token_counts_and_cache(spark, tmp_path):
+    rows = [*enumerate(ODD), (None, "x y"), (None, "x y"), (3, "x y"), (3, "z"), (3, "z")]
+    cache, lib = str(tmp_path / "cache"), library()
+    want = sorted((i if i is not None else -1, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows)
+    for k in range(2):
+        got = token_counts.count_tokens(docs(spark, rows), PATH, cache).collect()
+        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == want
+        stored = spark.read.parquet(cache)
+        assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t in rows})  # nothing is encoded twice
+    more = token_counts.count_tokens(docs(spark, [(1, "x y"), (2, "fresh words")]), PATH, cache)
+    assert more.count() == 2 and spark.read.parquet(cache).count() == len({t or "" for _, t in rows}) + 1
+    assert token_counts.count_tokens(docs(spark, []), PATH, str(tmp_path / "none")).count() == 0
+
+
+def test_token_counts_of_the_other_library(spark, tmp_path):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(0, "Hello wörld"), (1, None), (2, "<s> x </s>")]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, rows), path, str(tmp_path / "c")).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in rows}
+
+
+# -- op4 -----------------------------------------------------------------------------------------
+
+
+def test_licenses_on_documents(spark):
+    lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = {(r["doc_id"], k, m.start(), m.end()) for r in rows for k, s in lines.items() for m in re.finditer(re.escape(s), r["text"] or "")}
+    got = {(r["doc_id"], r["license"], r["start_char"], r["end_char"]) for r in queries.op4_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert want and got == want
+
+
+def test_license_alignment_and_edges(spark):
+    full = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and len(t) > 200).split()
+    edited = full[:20] + ["EXTRA"] + full[20:40] + ["changed"] + full[41:60] + full[62:]
+    text = "before it " + " ".join(edited) + " after it"
+    got = licenses.scan(docs(spark, [(1, text), (2, None), (3, ""), (3, " ".join(full[: len(full) // 2])), (None, "x Released under the MIT License. y Licensed under CC BY 4.0.")])).collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(1, "BSD-3-Clause"), (None, "MIT"), (None, "CC-BY-4.0")]
+    assert 0.9 < got[0]["coverage"] < 1 and text[got[0]["start_char"] : got[0]["end_char"]].startswith(full[0]) and text[: got[0]["end_char"]].endswith(full[-1])
+    assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_winnowing_keeps_every_shared_run():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    b = np.concatenate((rng.integers(0, 1 << 63, 57, dtype=np.uint64), a[100 : 100 + licenses.WINDOW], rng.integers(0, 1 << 63, 30, dtype=np.uint64)))
+    assert set(a[licenses.winnow(a)].tolist()) & set(b[licenses.winnow(b)].tolist())
+
+
+# -- op5 -----------------------------------------------------------------------------------------
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(v, r) for v, r in urls.RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    best = max(fits, key=lambda x: len(x[1]), default=(None, None))
+    return host, path, best[1], best[0]
+
+
+URLS = ["http://WWW.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://a.example.org/en/2", "ftp://x.com", "http://a.com/de/", "http://a.com/fr/1", "http://a.com/DE/1", None, "no scheme", "a://b://c/d", "http://", "http://org", "http://org/", "http://xorg/", "http://É.COM/fr/\nz", "http://h?://org/", "x" * 5000]
+
+
+def markov_ratio(train, url, order=urls.ORDER):
+    """The two interpolated models written out, one character after the other."""
+    pad = lambda t: urls.START + t + urls.END
+    counts = [Counter(), Counter()]
+    for text, bad, n in train:
+        p = pad(text)
+        for i in range(len(p)):
+            for k in range(1, order + 1):
+                if i + k <= len(p) and p[i : i + k] != urls.START:
+                    counts[bad][p[i : i + k]] += n
+    alphabet = len({g for c in counts for g in c if len(g) == 1}) + 1
+
+    def prob(bad, context, char):
+        if context is None:
+            return 1 / alphabet
+        low = prob(bad, context[1:] if context else None, char)
+        after = {g: n for g, n in counts[bad].items() if len(g) == len(context) + 1 and g.startswith(context)}
+        whole = sum(after.values())
+        return (after.get(context + char, 0) + len(after) * low) / (whole + len(after)) if whole else low
+
+    p = pad(url)
+    return sum(math.log(prob(0, p[max(0, i - order + 1) : i], p[i]) / prob(1, p[max(0, i - order + 1) : i], p[i])) for i in range(1, len(p))) / (len(url) + 1)
+
+
+def test_url_rules_and_edges(spark):
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)], "page_id long, url string, host string, ratio string")
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert len(got) == len(URLS)
+    for i, u in enumerate(URLS):
+        host, path, rule, verdict = plain_url(u)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
+        assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
+    assert urls.judge(pages.limit(0)).count() == 0
+    assert {r["verdict"] for r in urls.judge(spark.createDataFrame([(1, None), (1, None), (None, "http://x.net/")], "page_id long, url string")).collect()} == {"allow"}
+
+
+def test_url_models_against_plain_python(spark):
+    train = [("ab.org/x", 0, 2), ("abc.org/y", 0, 1), ("zz.com/de/1", 1, 3), ("zy.com/de/2", 1, 1)]
+    rows = spark.createDataFrame([(t, b) for t, b, n in train for _ in range(n)], "text string, bad int")
+    tests = ["ab.org/y", "zz.com/", "new", "", "abzz"]
+    got = {r["text"]: r["ratio"] for r in urls.ratios(spark.createDataFrame([(t,) for t in tests], "text string"), urls.fit(rows)).collect()}
+    for t in tests:
+        assert got[t] == pytest.approx(markov_ratio(train, t)), t
+
+
+# -- op6 -----------------------------------------------------------------------------------------
+
+
+def test_decontamination_on_documents(spark):
+    bench = {r["item_id"]: " ".join(spans.tokens(r["text"])) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = {(r["doc_id"], i) for r in rows for i, b in bench.items() if f" {b} " in f" {' '.join(spans.tokens(r['text']))} "}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
+    assert want and got == want
+
+
+def test_substitutions_and_edges(spark, monkeypatch):
+    item = [f"t{i}" for i in range(30)]
+    sub = [("zz" if i % 6 == 3 else x) for i, x in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "tiny item here"), (3, None), (4, ""), (1, " ".join(item))], "item_id long, text string")
+    rows = [(1, "a b " + " ".join(sub) + " c"), (2, " ".join(item[:14])), (3, " ".join(item[5:22])), (4, "x Tiny, ITEM here! y"), (5, None), (6, ""), (7, "tiny item"), (None, " ".join(item)), (8, " ".join(item)), (8, " ".join(item))]
+    for block in (400_000, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", block)
+        got = sorted((r["doc_id"] or 0, r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect())
+        assert got == [(0, 1, 30), (1, 1, 23), (3, 1, 17), (4, 2, 3), (8, 1, 30), (8, 1, 30)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [2, 5, 6, 7]
+    assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == decontaminate.overlaps(docs(spark, []), bench).count() == 0
+
+
+# -- op7 -----------------------------------------------------------------------------------------
+
+
+def base_counts(text):
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    where = {}
+    for i in range(len(w) - 4):
+        where.setdefault(tuple(w[i : i + 5]), []).append(i)
+    covered = {p + k for at in where.values() if len(at) > 1 for p in at for k in range(5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_base(spark):
+    rng = random.Random(4)
+    texts = ["", None, " \n ", "a a a a a a a", "a b c d e\na b c d e\n\na b c d e", "😀 x|y #$ <>", "one\ntwo\none\n \n one", "\u00a0 \x1f a", "w " * 3000]
+    texts += [" ".join(rng.choices("abc", k=rng.randrange(40))).replace(" a ", "\n") for _ in range(150)]
+    rows = list(enumerate(texts)) + [(None, "x"), (0, "again")]
+    got = quality.judge(docs(spark, rows), spark.createDataFrame([], "doc_id long, quality int"))
+    want = sorted((-1 if i is None else i, *(c := base_counts(t)), failed := c[0] < 10 or 100 * c[4] > 20 * c[0], not failed) for i, t in rows)
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got.collect()) == want
+    assert quality.judge(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+@pytest.mark.parametrize("k,n,p", [(0, 100, 0.01), (0, 2000, 0.01), (3, 900, 0.01), (12, 4000, 0.01), (40, 4000, 0.01), (5, 10, 0.3), (350, 40000, 0.01)])
+def test_binomial_tail_is_exact(spark, k, n, p):
+    got = spark.range(1).select(quality.binomial_tail(F.lit(float(k)), F.lit(float(n)), F.lit(p))).first()[0]
+    q = Fraction(p)
+    want = 1.0 if k >= n * p else math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    if n <= 100 and want < 1:
+        want = float(sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)))
+    assert got == pytest.approx(want, rel=1e-7)
+
+
+def plain_cutoffs(rows, alpha=0.05, delta=0.05, gain=0.99):
+    """rows: (stratum, quality, {rule: value}); the selection written out."""
+    strata, out = {r[0] for r in rows}, {}
+    for s, (rule, grid) in itertools.product(strata, quality.GRID.items()):
+        good = [v[rule] for t, q, v in rows if t == s and q == 1]
+        bad = [v[rule] for t, q, v in rows if t == s and q == 0]
+        ok, p = [], alpha / len(quality.GRID)
+        for c in reversed(grid):
+            k, n = sum(x >= c for x in good), len(good)
+            tail = 1.0 if k >= n * p else math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+            if not n or tail > delta / (len(strata) * len(quality.GRID)):
+                break
+            ok.append((c, sum(x >= c for x in bad)))
+        most = max((x for _, x in ok), default=0)
+        chosen = [c for c, x in ok if x > 0 and x >= gain * most]
+        if chosen:
+            out[s, rule] = max(chosen)
+    return out
+
+
+def test_cutoffs_against_plain_python(spark):
+    rng = random.Random(8)
+    rows = []
+    for s, n in (("en", 1500), ("de", 900), ("xx", 30)):
+        for _ in range(n):
+            q = int(rng.random() < 0.85)
+            rows.append((s, q, {r: (rng.betavariate(1, 60) if q or rng.random() < 0.5 else rng.random()) for r in quality.GRID}))
+    measured = spark.createDataFrame([(i, s, False, *v.values()) for i, (s, _, v) in enumerate(rows)], "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.GRID))
+    labels = spark.createDataFrame([(i, q) for i, (_, q, _) in enumerate(rows)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = {(r["stratum"], rule): r[f"{rule}_cutoff"] for r in quality.fit_cutoffs(measured, labels).collect() for rule in quality.GRID if r[f"{rule}_cutoff"] is not None}
+    want = plain_cutoffs(rows)
+    assert want and got == want and not any(s == "xx" for s, _ in got)
+
+
+def test_quality_keeps_and_rejects(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(4000)]
+    text = lambda mark: " ".join(w + mark for w in rng.choices(vocabulary, k=25))
+    rows = [(i, text("%%" if i % 5 == 0 else ""), "en") for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(1500)], "doc_id long, quality int")
+    left = quality.keep_good(docs(spark, rows), labels)
+    assert {r["doc_id"] for r in left.collect()} == {i for i in range(1500) if i % 5} and left.columns == docs(spark, []).columns
+
+
+# -- op9 -----------------------------------------------------------------------------------------
+
+
+def plain_segments(scores):
+    """Maximal segments by their definition: recursively the best segment, then what lies on both sides."""
+    best, found = 0, None
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores) + 1):
+            s = sum(scores[i:j])
+            if s > best or found and s == best and j - i < found[1] - found[0]:
+                best, found = s, (i, j)  # of equal ones the shortest: none of its parts may score as much
+    if not found:
+        return []
+    i, j = found
+    return plain_segments(scores[:i]) + [(i, j, best)] + [(a + j, b + j, s) for a, b, s in plain_segments(scores[j:])]
+
+
+def test_segments_against_the_definition():
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.randint(-6, 6) for _ in range(rng.randrange(12))]
+        got = toxicity.segments(np.array(scores, float))
+        want = plain_segments(scores)
+        assert sorted(round(s) for *_, s in got) == sorted(s for *_, s in want), scores
+        assert all(sum(scores[a:b]) == s for a, b, s in got)
+
+
+def toxic_rows(n, seed):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("mnoprst", k=6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        w, bad = rng.choices(vocabulary, k=60), rng.random() < 0.3
+        for k in rng.sample(range(60), 4) if bad else ():
+            w[k] = rng.choice(["Vile!", "awful", "grimlo" + rng.choice("abcdefghij") + rng.choice("abcdefghij")])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_held_out(spark):
+    rows, labels = toxic_rows(900, 1)
+    known = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score_held_out(docs(spark, rows), known).collect()
+    truth = dict(labels)
+    judged = [(truth[r["doc_id"]], r["predicted"]) for r in got if r["held_out"]]
+    assert len(got) == 900 and sum(a == b for a, b in judged) > 0.97 * len(judged)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+    left = toxicity.drop_toxic(docs(spark, rows), known)
+    assert left.columns == docs(spark, []).columns and sum(truth[r["doc_id"]] for r in left.collect()) < 15
+
+
+def test_toxicity_edges(spark):
+    rows, labels = toxic_rows(600, 2)
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    tests = [(1, None), (2, ""), (2, ""), (None, "vile awful vile"), (3, "mmm nnn " * 4000), (4, "so " * 30 + "grimlozz awful vile grimlokk " + "so " * 30)]
+    got = toxicity.score(docs(spark, tests), model, with_passages=True).collect()
+    assert [r["predicted"] for r in got] == [0, 0, 0, 1, 0, 1] and got[0]["score"] == got[1]["score"]
+    assert got[5]["passages"][0]["text"].startswith("grimlozz")
+    blank = toxicity.fit(docs(spark, rows), spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert {r["predicted"] for r in toxicity.score(docs(spark, tests), blank).collect()} == {0}
+    assert toxicity.score(docs(spark, []), model).count() == 0
+
+
+# -- op10 ----------------------------------------------------------------------------------------
+
+LONG = "The house that was by the river is in a part of the town which has been on the map for a long time, and it was for them the best of all that they had."
+PAGES = {
+    "article": (f"<html><head><title>T</title><script>var x='<p>no</p>';</script></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy now.</div><article><h1>Short title</h1><p>{LONG}</p><p>It is.</p></article><footer>&copy; x</footer></body></html>", f"Short title\n\n{LONG}\n\nIt is."),
+    "no article": (f"<body><ul class=menu><li><a href=1>One</a><li><a href=2>Two</a></ul><h1>Head line</h1><p>{LONG}</p><p>And so it was.</p><p>{LONG}</p><div id=comments><p>{LONG}</p></div><form><label>Name</label><input></form><aside>{LONG}</aside></body>", f"Head line\n\n{LONG}\n\nAnd so it was.\n\n{LONG}"),
+    "comments within": (f"<article><header><h1>Head</h1></header><p>{LONG}</p><section class='reader-comments'><p>{LONG}</p></section><div class='cookie-notice'>We use cookies.</div></article>", f"Head\n\n{LONG}"),
+    "references and space": (f"<main><p>  a &amp; b&nbsp;&lt;c&gt; &#233;\n\t {LONG}<br>next<!-- <p>gone</p> --></p></main>", f"a & b <c> é {LONG} next"),
+    "cut off": (f"<article><p>{LONG}<p><b>{LONG}", f"{LONG}\n\n{LONG}"),
+    "hidden": (f"<article><p>{LONG}</p><p style='display: none'>{LONG}</p><p hidden>{LONG}</p></article>", LONG),
+    "nothing": ("<nav><a>x</a></nav>", ""),
+    "": ("", ""),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text(name):
+    page, want = PAGES[name]
+    assert html.main_text(page) == want
+
+
+def test_main_text_of_pages(spark):
+    import html as entities
+
+    def plain(page):
+        inner = re.sub(r"</?(?:h1|p)>", "\0", page.split("<article>", 1)[1].split("</article>")[0])
+        inner = re.sub(r"<[^>]*>", " ", inner.replace("<b>", "").replace("</b>", ""))
+        return "\n\n".join(b for b in (re.sub(r"\s+", " ", entities.unescape(x)).strip() for x in inner.split("\0")) if b)
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op10_main_text(spark, DIR).collect()}
+    for r in pages.collect():
+        assert got[r["page_id"]]["text"] == plain(r["html"]) and got[r["page_id"]]["n_chars"] == len(plain(r["html"])) and got[r["page_id"]]["url"] == r["url"]
+
+
+def test_main_text_edges(spark):
+    pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>" + "<b>" * 5000 + "a", "x"), (3, "u", "<div>" * 3000 + LONG, "x"), (4, "u", "a < b <", "x")], "page_id long, url string, html string, text string")
+    got = html.extract(pages).collect()
+    assert len(got) == 5 and [r["n_chars"] for r in got[:2]] == [0, 0] and got[3]["text"] == LONG
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+# -- the shared parts ------------------------------------------------------------------------------
+
+
+def test_skewed_join_keeps_every_row(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    assert B.skew_join(left, right, "k", "n", 3000).count() == 3000
+
+
+def test_held_out_is_crc32(spark):
+    rows = spark.createDataFrame([(i,) for i in [*range(50), None]], "i long").select("i", B.held_out(F.col("i")).alias("h")).collect()
+    assert all(r["h"] == (r["i"] is not None and zlib.crc32(str(r["i"]).encode()) % 3 == 1) for r in rows)
+
+
+def test_every_query_is_registered():
+    numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}
+    assert numbers == set(range(1, 11))
