@@ -53,7 +53,8 @@ def fit(labelled: DataFrame) -> DataFrame:
     and p its probability after the context without its first character; at the end all characters are
     equally likely. A gram of which neither model has seen the context adds nothing.
     """
-    counts = labelled.groupBy("text", "bad").count().select("bad", "count", F.explode(substrings(F.col("text"))).alias("gram"))
+    spread = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = labelled.groupBy("text", "bad").count().repartition(spread, "text").select("bad", "count", F.explode(substrings(F.col("text"))).alias("gram"))
     seen = counts.filter(F.col("gram") != START).groupBy("gram").agg(*(F.sum(F.when(F.col("bad") == b, F.col("count")).otherwise(0)).alias(f"n{b}") for b in (0, 1)))
     grams = B.materialize(seen.select("gram", F.length("gram").alias("size"), F.substring("gram", F.lit(1), F.length("gram") - 1).alias("context"), "n0", "n1"), "grams")
     contexts = B.materialize(grams.groupBy("context").agg(*(x for b in (0, 1) for x in (F.sum(f"n{b}").alias(f"all{b}"), F.sum((F.col(f"n{b}") > 0).cast("long")).alias(f"types{b}")))), "contexts")
@@ -73,13 +74,18 @@ def fit(labelled: DataFrame) -> DataFrame:
     left = lambda b: F.when(F.col(f"all{b}") > 0, F.col(f"types{b}") / (F.col(f"all{b}") + F.col(f"types{b}"))).otherwise(F.lit(1.0))
     backoff = contexts.select("context", F.ln(left(0) / left(1)).alias("beta"))
     grams_value = values.join(backoff, "context").select("gram", (F.col("step") - F.col("beta")).alias("value"))
-    return B.materialize(grams_value.unionByName(backoff.filter("context != ''").select(F.col("context").alias("gram"), F.col("beta").alias("value"))).groupBy("gram").agg(F.sum("value").alias("value")), "values")
+    return B.materialize(grams_value.unionByName(backoff.select(F.col("context").alias("gram"), F.col("beta").alias("value"))).groupBy("gram").agg(F.sum("value").alias("value")), "values")
 
 
 def ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """text, ratio: length-normalised log-likelihood difference of each distinct text, larger for accepted ones."""
-    own = texts.select("text").distinct().select("text", F.explode(substrings(F.col("text"))).alias("gram"))
-    return B.lookup_join(own, model, "gram", "left").groupBy("text").agg((F.sum(F.coalesce("value", F.lit(0.0))) / (F.length("text") + 1)).alias("ratio"))
+    """text, ratio: length-normalised log-likelihood difference of each distinct text, larger for accepted ones.
+
+    The empty context occurs at every predicted character, so its value is a constant of the ratio.
+    """
+    always = model.filter("gram = ''").select("value").first()
+    spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each text becomes hundreds of rows
+    own = texts.select("text").repartition(spread, "text").distinct().select("text", F.explode(substrings(F.col("text"))).alias("gram"))
+    return B.lookup_join(own, model, "gram", "left").groupBy("text").agg((F.sum(F.coalesce("value", F.lit(0.0))) / (F.length("text") + 1) + F.lit(always["value"] if always else 0.0)).alias("ratio"))
 
 
 def calibrate(scored: DataFrame) -> float:
