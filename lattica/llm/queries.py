@@ -58,5 +58,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+WORDS = r"list_filter(string_split_regex({0}, '[ \t-\r]+'), lambda x: x <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id AS doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON node = s.doc_id"""
+
+
+def op7_sql(alpha: float = 0.05, delta: float = 0.05, gain: float = 0.99) -> str:
+    part = lambda a, b: f"CAST({a} AS DOUBLE) / greatest({b}, 1)"
+    metrics = {"symbol_ratio": part("n_symbols", "word_chars"), "upper_ratio": part("n_upper", "word_chars"), "mark_ratio": part("n_marks", "n_words"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words")}
+    grid = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, own in quality.GRID.items() for c in own)
+    rows = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {m} AS v FROM base" for r, m in metrics.items())
+    p, rules = alpha / len(quality.GRID), len(quality.GRID)
+    return rf"""WITH w AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY doc_id),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM w),
+base AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN ln ON ln.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
+fail AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+long AS ({rows}),
+lab AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT stratum, rule, v, q FROM long JOIN lab USING (doc_id) JOIN fail f USING (doc_id, stratum) WHERE NOT base_failed),
+grid(rule, cut) AS (VALUES {grid}),
+cell AS (SELECT stratum, g.rule, cut, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND v >= cut) AS k, count(*) FILTER (q = 0 AND v >= cut) AS caught FROM held JOIN grid g USING (rule) GROUP BY ALL),
+test AS (SELECT *, n > 0 AND k < n * {p} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {delta} / ({rules} * (SELECT count(DISTINCT stratum) FROM held)) AS ok FROM cell),
+cert AS (SELECT * FROM test QUALIFY bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY cut DESC)),
+best AS (SELECT *, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM cert),
+cutoff AS (SELECT stratum, rule, max(cut) AS cut FROM best WHERE caught > 0 AND caught >= {gain} * most GROUP BY ALL),
+hit AS (SELECT DISTINCT doc_id FROM long JOIN cutoff USING (stratum, rule) WHERE v >= cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM fail"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are tested against brute-force versions in tests/llm."""
+    return {"op1_near_dedup": OP1_SQL, "op7_quality_rules": op7_sql()}
