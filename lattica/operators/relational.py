@@ -71,14 +71,19 @@ def unpivot_genres(wide: DataFrame) -> DataFrame:
     return tall.withColumn("raw_genre", blank_to_null(F.col("raw_genre"))).filter("raw_genre is not null").distinct()
 
 
-def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, key: str, out: str = "idx", buckets: int = 200) -> DataFrame:
     """0-based index of each distinct key in sorted order, without one task that sorts them all.
 
-    The keys are range-partitioned; each partition's rows are numbered from the count before it.
+    Bounds taken from a bounded sample (by hash, so the same each time) deal the keys into ranges; each
+    range's rows are numbered from the count before it.
     """
-    part = df.select(key).distinct().repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id())
-    own = part.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    sizes = part.groupBy("__p").count()
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    sample = sorted(r[0] for r in keys.orderBy(F.xxhash64(key)).limit(20 * buckets).collect())
+    bounds = sample[:: max(1, len(sample) // buckets)]
+    within = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    dealt = keys.withColumn("__p", within)
+    own = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
+    sizes = dealt.groupBy("__p").count()  # one row a range
     before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))
     return own.join(F.broadcast(before), "__p").select(key, (F.col("__n") + F.col("__before") - 1).alias(out))
 
