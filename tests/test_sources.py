@@ -135,3 +135,26 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).selectExpr("window.start", "user_id", "genre", "n").collect()}
     want = {tuple(r) for r in preferences.preference_counts(events).selectExpr("window.start", "user_id", "genre", "n").collect()}
     assert got <= want and len(got) > 0.8 * len(want)  # the last windows are still open
+
+
+def test_http(spark, tmp_path):
+    import threading
+
+    from lattica.plans import http
+
+    own = http.server(spark, port=0, out=str(tmp_path))
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{own.server_port}"
+    try:
+        assert http.call(base, "/health") == (200, service.health())
+        code, body = http.call_build_graph(base, **PAYLOAD)
+        assert code == 200 and body["stats"]["content_nodes_count"] == 4 and (tmp_path / "graph_nodes").is_dir()
+        assert http.call(base, "/build-graph", {})[0] == 400 and http.call(base, "/build-item-graph", {"nodes": []})[0] == 400
+        assert http.call(base, "/nowhere")[0] == 404
+        assert http.call(base, "/build-item-graph", {"nodes": [{"content_id": 1}]})[0] == 400
+        edges = [{"src_content_id": 1, "dst_content_id": 2, "weight": 1.0}]
+        code, body = http.call(base, "/build-item-embeddings-get-result", {"edges": edges, "dim": 4, "walk_length": 3, "walks_per_node": 1, "epochs": 1})
+        assert code == 200 and [r["content_id"] for r in body["item_embeddings"]] == [1, 2] and "emb_3" in body["item_embeddings"][0]
+    finally:
+        own.shutdown()
+        own.server_close()
