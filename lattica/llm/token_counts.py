@@ -72,13 +72,16 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     todo = whole.withColumn("owner", owner).join(missing, ["owner", "digest"], "left_semi").select("digest", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = counter(path)
+        count, done = counter(path), set()
         for b in batches:
             for lo in range(0, len(b), 500):
-                part = b.iloc[lo : lo + 500]
+                part = b.iloc[lo : lo + 500].drop_duplicates("digest")
+                part = part[~part["digest"].isin(done)]  # repeated rows
+                done.update(part["digest"])
                 yield pd.DataFrame({"digest": part["digest"], "tokenizer": version, "n_tokens": count(part["text"].tolist())})
 
-    todo.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
+    counted = todo.mapInPandas(encode, CACHE).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
+    counted.write.mode("append").parquet(cache)
 
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = B.skew_join(keyed, groups.select("digest", "n").join(counts, "digest"), "digest", "n", keyed.count())
