@@ -90,7 +90,7 @@ def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = No
     """Recommendations with title and domain of the content and the cleaned username."""
     title = C.resolve_column(contents, C.CONTENT_NAME)
     meta = contents.groupBy(C.to_bigint(F.col("content_id")).alias("content_id")).agg(F.min(F.struct(F.col(f"`{title}`").alias("t") if title else F.lit("").alias("t"), "domain")).alias("m"))
-    out = recs.join(broadcast_if_small(meta), "content_id", "left").select(*recs.columns, F.col("m.t").alias("master_title"), F.col("m.domain").alias("domain"))
+    out = recs.join(meta, "content_id", "left").select(*recs.columns, F.col("m.t").alias("master_title"), F.col("m.domain").alias("domain"))
     if users is not None:
         name = users.select("user_id", "username")
         if prefs is not None:
@@ -98,7 +98,7 @@ def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = No
             name = name.join(own, "user_id", "left").select("user_id", C.clean_username(F.col("username"), F.col("__p")).alias("username"))
         else:
             name = name.select("user_id", C.clean_username(F.col("username")).alias("username"))
-        out = out.join(broadcast_if_small(name.groupBy("user_id").agg(F.max("username").alias("username"))), "user_id", "left")
+        out = out.join(name.groupBy("user_id").agg(F.max("username").alias("username")), "user_id", "left")
     return out
 
 
@@ -126,7 +126,7 @@ def domain_quota(users: DataFrame, items: DataFrame, contents: DataFrame, quota:
     filled = ranked.withColumn("n", F.sum("picked").over(Window.partitionBy("user_id"))).withColumn("r", F.row_number().over(Window.partitionBy("user_id", "picked").orderBy(*by)))
     chosen = filled.filter((F.col("picked") == 1) | (F.col("r") <= total - F.col("n"))) if fill else filled.filter("picked = 1")
     out = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*by)))
-    return out.join(broadcast_if_small(own.select("content_id", "content_title")), "content_id", "left").select("user_id", "rank", "content_id", "content_title", "score", "domain")
+    return out.join(own.select("content_id", "content_title"), "content_id", "left").select("user_id", "rank", "content_id", "content_title", "score", "domain")
 
 
 def recent_ids(contents: DataFrame, min_year: int = 2020, col: str = "created_at") -> DataFrame | None:
@@ -143,9 +143,9 @@ def genre_topk(items: DataFrame, genres: DataFrame, prefs: DataFrame, dim: int,
     Only items with a genre are candidates; `allowed` narrows the genre table first.
     """
     if allowed is not None:
-        genres = genres.join(broadcast_if_small(allowed), "content_id", "left_semi")
+        genres = genres.join(allowed, "content_id", "left_semi")
     items = items.join(genres.select(C.to_bigint(F.col("content_id")).alias("content_id")).distinct(), "content_id", "left_semi")
     rows = user_genres(prefs, genres).select("user_id", "genre").distinct()
-    known = V.mean_vector(rows.join(broadcast_if_small(genre_centroids(items, genres, dim)), "genre"), ["user_id"], "vector", dim)
+    known = V.mean_vector(rows.join(genre_centroids(items, genres, dim), "genre"), ["user_id"], "vector", dim)
     users = rows.select("user_id").distinct().join(known, "user_id", "left").crossJoin(F.broadcast(global_mean(items, dim).withColumnRenamed("vector", "mean")))
     return topk_cosine(users.select("user_id", F.coalesce("vector", "mean").alias("vector")), items, k)

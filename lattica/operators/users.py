@@ -9,7 +9,6 @@ from ..functions import columns as C
 from ..functions import text as X
 from ..functions import vectors as V
 from .bipartite import to_tall
-from .relational import broadcast_if_small
 
 
 def genre_rows(genres: DataFrame) -> DataFrame:
@@ -77,7 +76,7 @@ def user_embeddings(items: DataFrame, genres: DataFrame, prefs: DataFrame, dim:
     names = rows.groupBy("user_id").agg(F.max("username").alias("username"))
     wanted = rows.select("user_id", "genre")
     wanted = wanted.distinct() if dedupe_genres else wanted
-    found = V.mean_vector(wanted.join(broadcast_if_small(genre_centroids(items, genres, dim)), "genre"), ["user_id"], "vector", dim)
+    found = V.mean_vector(wanted.join(genre_centroids(items, genres, dim), "genre"), ["user_id"], "vector", dim)
     return found.join(names, "user_id").select("user_id", "username", V.l2_normalize(F.col("vector")).alias("vector"))
 
 
@@ -93,11 +92,11 @@ def user_embeddings_blended(items: DataFrame, contents: DataFrame, genres: DataF
     if content_types is not None:
         types = content_types.groupBy(C.to_bigint(F.col("preference_id")).alias("user_id")).agg(F.collect_set(C.py_strip(F.col("content_type"))).alias("t"))
         own = types.select("user_id", F.explode(X.ctype_domains(F.col("t"))).alias("domain"))
-        by_domain = V.mean_vector(own.join(broadcast_if_small(domain_centroids(items, contents, dim)), "domain"), ["user_id"], "vector", dim)
+        by_domain = V.mean_vector(own.join(domain_centroids(items, contents, dim), "domain"), ["user_id"], "vector", dim)
     if genres is not None and user_genre_prefs is not None:
         rows = user_genre_prefs.select(C.to_bigint(F.col("preference_id")).alias("user_id"), F.lower(C.py_strip(F.col("genre"))).alias("genre"))
         rows = rows.distinct() if dedupe_genres else rows
-        by_genre = V.mean_vector(rows.join(broadcast_if_small(genre_centroids(items, genres, dim)), "genre"), ["user_id"], "vector", dim)
+        by_genre = V.mean_vector(rows.join(genre_centroids(items, genres, dim), "genre"), ["user_id"], "vector", dim)
     unit = lambda d, n: d.select("user_id", V.l2_normalize(F.col("vector")).alias(n))
     both = base.join(unit(by_domain, "d"), "user_id", "left").join(unit(by_genre, "g"), "user_id", "left").crossJoin(F.broadcast(global_mean(items, dim)))
     blended = F.coalesce(V.blend(F.col("d"), F.col("g"), domain_weight, genre_weight), F.col("vector"))
