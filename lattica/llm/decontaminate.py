@@ -142,7 +142,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     def clean(index: SeedIndex):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in parts:
-                yield b[[not own for own in index.find(b[text_col].tolist())]]
+                yield b[np.array([not own for own in index.find(b[text_col].tolist())], bool)]
 
         return run
 

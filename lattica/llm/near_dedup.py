@@ -316,7 +316,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of repeated rows of one id one stays; rows without an id go.
     """
-    kept = B.materialize(group(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    left = docs.join(F.broadcast(kept) if B.small_enough(kept, 10_000) else kept.hint("shuffle_hash"), "doc_id").select(*docs.columns, "n")
-    once = left.filter("n = 1").select(*docs.columns)
-    return once.unionByName(left.filter("n > 1").select(*docs.columns).dropDuplicates(["doc_id"])) if kept.filter("n > 1").limit(1).count() else once
+    kept = B.materialize(group(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__copies")), "kept")
+    left = docs.join(F.broadcast(kept) if B.small_enough(kept, 10_000) else kept.hint("shuffle_hash"), "doc_id").select(*docs.columns, "__copies")
+    once = left.filter("__copies = 1").select(*docs.columns)
+    if not kept.filter("__copies > 1").limit(1).count():
+        return once
+    return once.unionByName(left.filter("__copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -224,6 +224,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[model.probability(model.evidence(model.token_scores(t)[1])) < threshold for t in b["text"]]]
+            yield b[np.array([model.probability(model.evidence(model.token_scores(t)[1])) < threshold for t in b["text"]], bool)]
 
     return docs.mapInPandas(run, docs.schema)

@@ -19,7 +19,7 @@ from lattica.llm import bpe, decontaminate, html, language, licenses, near_dedup
 
 DIR = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, bands string, row string, digest string, m int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, bands string, row string, digest string, n int"
 ODD = ["", None, "   ", "\n\t", "Hello, World! it's we'll 123 <|endoftext|>x <|startoftext|>", "é É İstanbul ΣΑΣ ﬁ 日本語 テスト　x", "a\x1cb \x85c d", "x" * 300 + " " + "ab" * 200, "don'T 'S ''s ... !!!a", "é ́a", "\U0001f600 smile 👩‍👩‍👧", "ʼn ſ ǅ Å", "１２３ ½ ²", "word " * 5000]
 
 
