@@ -122,13 +122,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 12_000, prior: float = 0.015, least_z: float = 2.5, least_odds: float = 4.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 12_000, prior: float = 0.015, least_z: float = 2.5, least_odds: float = 4.0, tail: float = 3.0) -> ToxicModel:
     """Learn from at most about `max_labels` labelled documents of each class, drawn by a hash of the id.
 
     labels: doc_id, toxic. Null ids, labels and texts teach nothing; of several labels of one id the
     highest counts. Without both classes every text gets the score of no evidence. Of texts whose smallest
     5-word shingle hash agrees (copies, nearly) one teaches, else the words of a copied text would look
-    toxic. prior: weight of the corpus in the Dirichlet prior, as a part of the texts, 200 texts at most.
+    toxic. prior: weight of the corpus in the Dirichlet prior, as a part of the texts, 200 texts at most. tail: the
+    score from which clean segments are counted for the extreme-value statistics.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -179,9 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = rows.mapInPandas(weigh, "y int, m long, top double").toPandas()
     clean = found[found["y"] == 0]
-    # Gumbel tail with decay 1, as for any likelihood ratio: K is the rate of clean segments scaled by exp(score).
-    seen = float(np.exp(np.minimum(clean["top"][clean["top"] > 2], 20)).sum())
-    model.log_k = math.log((seen + 1) / (clean["m"].sum() + 1))
+    # Gumbel tail with decay 1, as for any likelihood ratio: K m exp(-S) clean segments of score S or more.
+    model.log_k = math.log((clean["top"] >= tail).sum() + 1) + tail - math.log(clean["m"].sum() + 1)
     found["evidence"] = [0.0 if e > 0.05 else -math.log10(max(e, 1e-300)) for e in np.exp(np.minimum(50, model.log_k + np.log(np.maximum(1, found["m"])) - found["top"]))]
     model.curve = logistic(found["evidence"].to_numpy(), found["y"].to_numpy(np.float64))
     return model
