@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 NONE = np.int64(1) << 60
 #: Words whose encoding a worker remembers, and bytes of text it encodes at a time.
-MEMO_WORDS, CHUNK_BYTES = 600_000, 1_500_000
+MEMO_WORDS, CHUNK_BYTES = 400_000, 1_500_000
 #: Words of more symbols than this go through the scalar tree.
 WIDE = 64
 

@@ -28,11 +28,11 @@ SAMPLES = BANDS * ROWS
 LEAST = 6
 #: Estimates below this are over five standard errors under the threshold.
 LEAST_ESTIMATE = 0.65
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 #: Members of one leader that one task compares at most, give or take chance.
 LEADER_PART = 2_000
 #: Shingles of a bucket's outsiders that one task holds, give or take one document and chance.
-HELD_SHINGLES = 2_000_000
+HELD_SHINGLES = 1_000_000
 #: Documents whose comparisons are broadcast to the scan of the texts; more of them are shuffled.
 JOB_ROWS = 50_000
 

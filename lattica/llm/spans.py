@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NOT_WORD = re.compile(r"[\W_]+")
 

@@ -24,7 +24,7 @@ from . import _base as B
 
 STEMS = (6, 5, 4)
 WORD = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 def features(word: str) -> list[str]:
