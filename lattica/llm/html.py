@@ -32,16 +32,24 @@ CONTENT = frozenset("article main".split())
 ENDS_P = BLOCK - frozenset("br label legend summary figcaption dt dd li td th tr tbody thead tfoot col colgroup optgroup frame".split())
 #: Words in class, id or role that mark parts beside the content.
 ASIDE = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|respond|discussion|disqus|cookies?|consent|gdpr|copyright|footer|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|notice|alert|popup|modal|overlay|promo\w*|related|recommended|share|sharing|social|sidebar|sponsor\w*|toolbar|widget|pagination|pager|complementary|contentinfo|search)(?![a-z])",
+    r"(?<![a-z])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|respond|discussion|disqus|cookies?|consent|gdpr|copyright|footer|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|notice|alert|popup|topbar|login|repl(?:y|ies)|rail|aside|sticky|modal|overlay|promo\w*|related|recommended|share|sharing|social|sidebar|sponsor\w*|toolbar|widget|pagination|pager|complementary|contentinfo|search)(?![a-z])",
     re.I,
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Compounds that hold such a word but name the content or its layout.
+NOT_ASIDE = re.compile(r"(?<![a-z])(?:(?:article|entry|post|content|story|main|page)-?(?:header|heading|head)|(?:has|with|without|no|hide)-[a-z-]+|comments?-(?:open|closed|enabled|disabled))(?![a-z])", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Block:
     __slots__ = ("parts", "linked", "beside", "inside", "heading")
+def names_aside(value: str) -> bool:
+    """Whether a class, id or role marks a part beside the content."""
+    plain = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).replace("_", "-")
+    return bool(ASIDE.search(NOT_ASIDE.sub(" ", plain)))
+
+
 
     def __init__(self, beside: bool, inside: bool, heading: bool):
         self.parts: list[str] = []
@@ -101,11 +109,8 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
                 for key, value in ATTR.findall(m[3]):
                     key, value = key.lower(), value.strip("\"'")
                     hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
-                    hidden |= key in ("class", "id", "role") and name not in CONTENT | {"body", "html"} and bool(ASIDE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).replace("_", "-")))
-            if name in ("header", "footer") and inside and not beside:
-                frame = False  # an article's own head may hold its title; its words decide
-            else:
-                frame = name in FRAME
+                    hidden |= key in ("class", "id", "role") and name not in CONTENT | {"body", "html"} and names_aside(value)
+            frame = name in FRAME and not (name == "header" and inside)  # an article's own head may hold its title
             stack.append((name, beside or frame or hidden, inside or name in CONTENT))
         if name == "br" and not out[-1].parts or name == "br" and out[-1].parts[-1] != "\n":
             out[-1].parts.append("\n")  # one break is white space, two end the block

@@ -491,6 +491,8 @@ PAGES = {
     "references and space": (f"<main><p>  a &amp; b&nbsp;&lt;c&gt; &#233;\n\t {LONG}<br>next<!-- <p>gone</p> --></p></main>", f"a & b <c> é {LONG} next"),
     "cut off": (f"<article><p>{LONG}<p><b>{LONG}", f"{LONG}\n\n{LONG}"),
     "hidden": (f"<article><p>{LONG}</p><p style='display: none'>{LONG}</p><p hidden>{LONG}</p></article>", LONG),
+    "layout names": (f"<body><div class='layout has-sidebar comments-open'><div class='entry-header'><h1>Head</h1></div><div class=postBody><p>{LONG}</p></div><div class=side_bar id=leftSidebar><p>{LONG}</p></div></div><div class=siteFooter><p>{LONG}</p></div></body>", f"Head\n\n{LONG}"),
+    "own footer": (f"<article><header><h1>Head</h1></header><p>{LONG}</p><footer><p>{LONG}</p></footer></article>", f"Head\n\n{LONG}"),
     "nothing": ("<nav><a>x</a></nav>", ""),
     "": ("", ""),
 }
