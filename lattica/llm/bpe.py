@@ -17,6 +17,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from . import _base as B
+
 NONE = np.int64(1) << 60
 #: Words whose encoding a worker remembers, and bytes of text it encodes at a time.
 MEMO_WORDS, CHUNK_BYTES = 400_000, 1_500_000
@@ -291,4 +293,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, schema)

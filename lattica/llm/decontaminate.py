@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from . import _base as B
 from . import spans
 
 #: Positions that count; no two masks ignore the same ones.
@@ -132,7 +133,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     out = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(benchmark):
-        out = out.unionByName(docs.select(id_col, text_col).mapInPandas(search(index), schema))
+        out = out.unionByName(B.bounded_batches(docs).select(id_col, text_col).mapInPandas(search(index), schema))
     return out
 
 
@@ -147,5 +148,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return run
 
     for index in indexes(benchmark):
-        docs = docs.mapInPandas(clean(index), docs.schema)
+        docs = B.bounded_batches(docs).mapInPandas(clean(index), docs.schema)
     return docs

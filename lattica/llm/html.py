@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import _base as B
+
 GOOD, BAD, OPEN = 1, 0, None
 #: Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -35,21 +37,21 @@ ASIDE = re.compile(
     r"(?<![a-z])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|respond|discussion|disqus|cookies?|consent|gdpr|copyright|footer|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|notice|alert|popup|topbar|login|repl(?:y|ies)|rail|aside|sticky|modal|overlay|promo\w*|related|recommended|share|sharing|social|sidebar|sponsor\w*|toolbar|widget|pagination|pager|complementary|contentinfo|search)(?![a-z])",
     re.I,
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Compounds that hold such a word but name the content or its layout.
 NOT_ASIDE = re.compile(r"(?<![a-z])(?:(?:article|entry|post|content|story|main|page)-?(?:header|heading|head)|(?:has|with|without|no|hide)-[a-z-]+|comments?-(?:open|closed|enabled|disabled))(?![a-z])", re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 
-class Block:
-    __slots__ = ("parts", "linked", "beside", "inside", "heading")
 def names_aside(value: str) -> bool:
     """Whether a class, id or role marks a part beside the content."""
     plain = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).replace("_", "-")
     return bool(ASIDE.search(NOT_ASIDE.sub(" ", plain)))
 
 
+class Block:
+    __slots__ = ("parts", "linked", "beside", "inside", "heading")
 
     def __init__(self, beside: bool, inside: bool, heading: bool):
         self.parts: list[str] = []
@@ -194,4 +196,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             yield out
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", text string, n_chars long"
-    return pages.select(id_col, *keep, html_col).mapInPandas(run, schema)
+    return B.bounded_batches(pages).select(id_col, *keep, html_col).mapInPandas(run, schema)

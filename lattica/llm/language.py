@@ -128,7 +128,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.nonzero(n)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
-    counts = drawn.mapInPandas(tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = B.bounded_batches(drawn).mapInPandas(tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((BUCKETS, len(langs)))
     table[counts["bucket"].to_numpy(np.int64), [langs.index(x) for x in counts["lang"]]] = counts["n"].to_numpy()
     return LanguageModel(langs, np.log((table + alpha) / (table.sum(axis=0) + alpha * BUCKETS)).astype(np.float32))
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 langs.append([{"lang": model.langs[i], "share": float(s)} for i, s in zip(who, share)])
             yield pd.DataFrame({id_col: b.iloc[:, 0].to_numpy(), "lang_pred": pred, "score": score, "languages": langs})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import _base as B
 from . import spans
 
 #: Texts of public licence notices, by identifier.
@@ -172,4 +173,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
             rows = [(i, *x) for i, own in zip(b.iloc[:, 0], index.find(b.iloc[:, 1].tolist(), coverage)) for x in own]
             yield pd.DataFrame(rows, columns=[id_col, "license", "coverage", "matched", "start_char", "end_char"])
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, license string, coverage double, matched long, start_char long, end_char long")
+    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, license string, coverage double, matched long, start_char long, end_char long")

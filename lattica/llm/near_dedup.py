@@ -286,7 +286,7 @@ def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     """
     if percent < 85:
         raise ValueError("the bands are set for a similarity of 85 % or more")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = B.bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = B.materialize(sketch(docs), "sketches")
     sets = B.materialize(made.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "sets")
     nodes = B.materialize(made.filter("bands is not null").join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "nodes")

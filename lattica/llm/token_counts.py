@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
                 done.update(part["digest"])
                 yield pd.DataFrame({"digest": part["digest"], "tokenizer": version, "n_tokens": count(part["text"].tolist())})
 
-    counted = todo.mapInPandas(encode, CACHE).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
+    counted = B.bounded_batches(todo).mapInPandas(encode, CACHE).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(cache)
 
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")
     five = lambda w: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))))
     first = text.withColumn("key", B.let(B.words_of(F.lower("text")), five)).groupBy("key").agg(F.min_by(F.struct("y", "text"), F.struct("doc_id", "text")).alias("row"))
-    rows = B.materialize(first.select("row.*"), "taught")
+    rows = B.bounded_batches(B.materialize(first.select("row.*"), "taught"))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: st
                 frame["passages"] = spans
             yield frame
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, score double, predicted int" + ", passages array<struct<text:string,start:long,end:long,expected:double>>" * with_passages)
+    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, score double, predicted int" + ", passages array<struct<text:string,start:long,end:long,expected:double>>" * with_passages)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,4 +226,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
         for b in batches:
             yield b[np.array([model.probability(model.evidence(model.token_scores(t)[1])) < threshold for t in b["text"]], bool)]
 
-    return docs.mapInPandas(run, docs.schema)
+    return B.bounded_batches(docs).mapInPandas(run, docs.schema)
