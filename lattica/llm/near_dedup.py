@@ -24,10 +24,8 @@ from . import _base as B
 
 BANDS, ROWS, BITS = 24, 5, 512
 SAMPLES = BANDS * ROWS
-#: Sets below this size reach 85 % only if they are equal.
-LEAST = 6
-#: Estimates below this are over five standard errors under the threshold.
-LEAST_ESTIMATE = 0.65
+#: The bands miss a pair at this similarity once in 14,000, and one at 85 % once in a million.
+LEAST_PERCENT = 80
 MEMO_WORDS = 200_000
 #: Members of one leader that one task compares at most, give or take chance.
 LEADER_PART = 2_000
@@ -101,8 +99,19 @@ def estimate(differing_bits: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(1 - 2 * u / BITS)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the shingle set (null if empty), n_shingles, bands and odd sketch (null below LEAST)."""
+def least_size(percent: int) -> int:
+    """Sets below this size reach the threshold only if they are equal."""
+    return -(-percent // max(1, 100 - percent))
+
+
+def least_estimate(percent: int) -> float:
+    """Estimates below this are over five standard errors under the threshold: 0.034 each at 85 %, 0.040 at 80 %."""
+    return percent / 100 - (0.2 if percent >= 85 else 0.22)
+
+
+def sketch(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, digest of the shingle set (null if empty), n_shingles, bands and odd sketch (null below least_size)."""
+    least = least_size(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -110,7 +119,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 part = b.iloc[lo : lo + 400]
                 rows = []
                 for s in shingle_sets(part["text"].tolist()):
-                    m = minhash(s) if len(s) >= LEAST else None
+                    m = minhash(s) if len(s) >= least else None
                     rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, len(s), None if m is None else band_keys(m), None if m is None else odd_sketch(m)))
                 out = pd.DataFrame(rows, columns=["digest", "n_shingles", "bands", "odd"])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
@@ -129,11 +138,12 @@ def promising(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     own = nodes.select("node", "n_shingles", "odd")
     both = pairs.join(own.toDF("a", "na", "odd_a"), "a").join(own.toDF("b", "nb", "odd_b"), "b")
     both = both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    least = least_estimate(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                yield p.loc[estimate(differing(p["odd_a"], p["odd_b"])) >= LEAST_ESTIMATE, ["a", "b"]]
+                yield p.loc[estimate(differing(p["odd_a"], p["odd_b"])) >= least, ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long")
 
@@ -284,10 +294,10 @@ def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     null id is counted in but never names a component, so a component of null ids has a null component_id
     and is not kept. Ties do not arise: the smallest id wins. Other columns are ignored.
     """
-    if percent < 85:
-        raise ValueError("the bands are set for a similarity of 85 % or more")
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the bands are set for a similarity of {LEAST_PERCENT} % or more")
     docs = B.bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = B.materialize(sketch(docs), "sketches")
+    made = B.materialize(sketch(docs, percent), "sketches")
     sets = B.materialize(made.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "sets")
     nodes = B.materialize(made.filter("bands is not null").join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "nodes")
     spread = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
@@ -311,12 +321,12 @@ def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: that of the smallest id.
 
     Of repeated rows of one id one stays; rows without an id go.
     """
-    kept = B.materialize(group(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__copies")), "kept")
+    kept = B.materialize(group(docs, percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__copies")), "kept")
     left = docs.join(F.broadcast(kept) if B.small_enough(kept, 10_000) else kept.hint("shuffle_hash"), "doc_id").select(*docs.columns, "__copies")
     once = left.filter("__copies = 1").select(*docs.columns)
     if not kept.filter("__copies > 1").limit(1).count():

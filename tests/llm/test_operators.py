@@ -99,6 +99,21 @@ def test_near_dedup_edges(spark):
         near_dedup.group(docs(spark, []), percent=60)
 
 
+def test_keep_one_drops_near_copies_from_80_percent(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfgl", k=8))
+    rows, dropped = [], set()
+    for k in range(20):
+        base = [word() for _ in range(104)]  # 100 shingles; n words in their place at the end leave 100 - n in both
+        for i, n in ((1, 11), (2, 12)):  # 89 / 111 = 0.802 and 88 / 112 = 0.786
+            rows += [(100 * k + 10 * i, " ".join(base)), (100 * k + 10 * i + 1, " ".join(base[:-n] + [word() for _ in range(n)]))]
+            base = [word() for _ in range(104)]
+        dropped.add(100 * k + 11)
+    rows += [(5000, "a b c d e f g h"), (5001, "a b c d e f g h i")]  # 4 of 5 shingles
+    dropped.add(5001)
+    assert {r["doc_id"] for r in near_dedup.keep_one(docs(spark, rows)).collect()} == {i for i, _ in rows} - dropped
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.85, 0.95):
