@@ -324,11 +324,18 @@ def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: that of the smallest id.
 
-    Of repeated rows of one id one stays; rows without an id go.
+    Rows that share an id are one document only if their texts group them or have no words; of such rows that
+    of the smallest text hash stays. Rows without an id go.
     """
-    kept = B.materialize(group(docs, percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__copies")), "kept")
-    left = docs.join(F.broadcast(kept) if B.small_enough(kept, 10_000) else kept.hint("shuffle_hash"), "doc_id").select(*docs.columns, "__copies")
-    once = left.filter("__copies = 1").select(*docs.columns)
-    if not kept.filter("__copies > 1").limit(1).count():
-        return once
-    return once.unionByName(left.filter("__copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    key, named = "doc_id", docs.filter("doc_id is not null")
+    if not named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = group(named, percent).filter("kept").select("doc_id")
+    else:
+        key = "__row"
+        named = B.materialize(named.withColumn(key, F.monotonically_increasing_id()), "rows")
+        ids = named.select(key, F.struct("doc_id", F.xxhash64("text").alias("hash"), key).alias("order"))
+        found = group(named, percent, key).join(ids, key).withColumn("empty", F.col("n_shingles") == 0)
+        of = F.when(F.col("empty"), F.col("order.doc_id")).otherwise(F.col("component_id"))
+        kept = found.groupBy("empty", of.alias("of")).agg(F.min("order").alias("order")).select(F.col(f"order.{key}").alias(key))
+    kept = B.materialize(kept, "kept")
+    return named.join(F.broadcast(kept) if B.small_enough(kept, 10_000) else kept.hint("shuffle_hash"), key).select(*docs.columns)

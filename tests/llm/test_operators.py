@@ -114,6 +114,15 @@ def test_keep_one_drops_near_copies_from_80_percent(spark):
     assert {r["doc_id"] for r in near_dedup.keep_one(docs(spark, rows)).collect()} == {i for i, _ in rows} - dropped
 
 
+def test_keep_one_keeps_other_texts_of_a_repeated_id(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("bcdfgl", k=8)) for _ in range(60)) for _ in range(6)]
+    rows = [*((0, t) for t in texts), (0, texts[3]), (3, texts[0] + " more"), (4, texts[1]), (7, None), (7, ""), (8, " ")]
+    left = near_dedup.keep_one(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] < 5) == sorted((0, t) for t in texts)
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] > 5) == [7, 8]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.85, 0.95):
