@@ -667,5 +667,4 @@ def item_embeddings_word2vec(s, d):
 
 @query()
 def item_embeddings_graphsage(s, d):
-    edges = itemgraph.build_item_graph(nodes6(s, d).filter("content_id < 300"), tall(s, d).filter("content_id < 300"), 5)
-    return embed.train_graphsage(edges, 16, 32, 3)
+    return embed.train_graphsage(itemgraph.build_item_graph(nodes6(s, d), tall(s, d)), 16, 32, 3)
