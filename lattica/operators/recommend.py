@@ -2,103 +2,106 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import vectors as V
-from .relational import broadcast_if_small, top_k
+from .bipartite import to_tall
+from .relational import kept_rows, ordered_string_agg, top_k
 from .users import genre_centroids, global_mean, user_genres
 
-#: Items scored in one block; a catalogue beyond it is taken block by block.
-BLOCK_ITEMS = 50_000
+#: Items, and users, of one cell of the grid that scores everyone against everything.
+BLOCK_ROWS = 8_192
+#: Users that topk_cosine_sql takes.
+STATED_USERS = 10_000
 QUOTA = {"AV": 3, "GAME": 3, "WEBNOVEL": 3}
 SCORED = "user_id long, content_id long, domain string, score double"
 
 
-def item_blocks(items: DataFrame, rows: int = BLOCK_ITEMS) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
-    """(ids, domains, unit matrix) of the items, at most about `rows` at a time."""
-    cols = ["content_id", "domain" if "domain" in items.columns else F.lit(None).cast("string").alias("domain"), "vector"]
-    own = items.select(*cols)
-    n = own.count()
-    blocks = max(1, -(-n // rows))
-    for b in range(blocks):
-        part = (own if blocks == 1 else own.filter(F.pmod(F.xxhash64("content_id"), F.lit(blocks)) == b)).toPandas().sort_values("content_id")
-        if len(part):
-            m = np.stack(part["vector"].to_list()).astype(np.float64)
-            yield part["content_id"].to_numpy(np.int64), part["domain"].tolist(), m / (np.linalg.norm(m, axis=1, keepdims=True) + V.TINY)
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_list()).astype(np.float64)
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + V.TINY)
 
 
 def best_items(users: DataFrame, items: DataFrame, k: int, quota: Mapping[str, int] | None = None, digits: int = 9) -> DataFrame:
-    """(user_id, content_id, domain, score): a superset of each user's picks, by matrix product in Arrow batches.
+    """(user_id, content_id, domain, score): a superset of each user's picks, by matrix products in a grid.
 
-    Every user meets every item, a block of items at a time, but only the k best of a block, and the best
-    of each quota domain, leave the batch. Scores are rounded so that ties go to the smaller id.
+    Users and items are dealt by hash into blocks of about BLOCK_ROWS, and each pair of blocks is one group; only
+    the k best of a block, and the best of each quota domain, leave it. Nothing passes through the driver but two
+    counts. Scores are rounded so that ties go to the smaller id.
     """
-    wanted = {**(quota or {})}
-
-    def score(ids, domains, matrix):
-        names = np.array([d or "" for d in domains], dtype=object)
-        groups = [(np.arange(len(ids)), k)] + [(np.nonzero(names == d)[0], n) for d, n in wanted.items() if n > 0]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for lo in range(0, len(b), 256):
-                    part = b.iloc[lo : lo + 256]
-                    u = np.stack(part["vector"].to_list())
-                    sims = np.round((u / (np.linalg.norm(u, axis=1, keepdims=True) + V.TINY)) @ matrix.T, digits)
-                    rows = []
-                    for user, s in zip(part["user_id"].tolist(), sims):
-                        picked: set[int] = set()
-                        for idx, n in groups:
-                            own = s[idx]
-                            if len(idx) > n:
-                                least = np.partition(own, len(own) - n)[len(own) - n]
-                                idx, own = idx[own >= least], own[own >= least]
-                            picked.update(idx[np.lexsort((ids[idx], -own))[:n]].tolist())
-                        rows += [(user, int(ids[j]), domains[j], float(s[j])) for j in sorted(picked)]
-                    yield pd.DataFrame(rows, columns=["user_id", "content_id", "domain", "score"])
-
-        return run
-
-    out = None
-    for block in item_blocks(items):
-        part = users.select("user_id", "vector").mapInPandas(score(*block), SCORED)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else users.sparkSession.createDataFrame([], SCORED)
-
-
-def topk_cosine(users: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    groups = {d: n for d, n in (quota or {}).items() if n > 0}
+    domain = F.col("domain") if "domain" in items.columns else F.lit(None).cast("string")
+    users, items = kept_rows(users.select("user_id", "vector")), kept_rows(items.select("content_id", domain.alias("domain"), "vector"))
+    count = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    blocks, parts = count(items), count(users)
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = users.select("user_id", "vector", dealt("user_id", parts).alias("part"), over(blocks).alias("block"))
+    right = items.select("content_id", "domain", "vector", dealt("content_id", blocks).alias("block"), over(parts).alias("part"))
+
+    def score(people: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(people) or not len(own):
+            return pd.DataFrame({"user_id": [], "content_id": [], "domain": [], "score": []})
+        own = own.sort_values("content_id")
+        ids, names, matrix = own["content_id"].to_numpy(np.int64), own["domain"].to_numpy(object), unit_rows(own["vector"])
+        wanted = [(np.arange(len(ids)), k)] + [(np.nonzero(names == d)[0], n) for d, n in groups.items()]
+        rows = []
+        for lo in range(0, len(people), 256):
+            some = people.iloc[lo : lo + 256]
+            for user, s in zip(some["user_id"].tolist(), np.round(unit_rows(some["vector"]) @ matrix.T, digits)):
+                picked: set[int] = set()
+                for idx, n in wanted:
+                    mine = s[idx]
+                    if len(idx) > n:
+                        least = np.partition(mine, len(mine) - n)[len(mine) - n]
+                        idx, mine = idx[mine >= least], mine[mine >= least]
+                    picked.update(idx[np.lexsort((ids[idx], -mine))[:n]].tolist())
+                rows += [(user, int(ids[j]), names[j], float(s[j])) for j in sorted(picked)]
+        return pd.DataFrame(rows, columns=["user_id", "content_id", "domain", "score"])
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(score, SCORED)
+
+
+def topk_cosine(users: DataFrame, items: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
     """(user_id, rank, content_id, score)."""
-    found = best_items(users, items, k)
+    found = best_items(users, items, k, digits=digits)
     return top_k(found, ["user_id"], k, F.desc("score"), F.col("content_id")).select("user_id", "rank", "content_id", "score")
 
 
 def topk_cosine_sql(users: DataFrame, items: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    """topk_cosine as a plan of built-in expressions, for a small stated set of users."""
+    """topk_cosine as a plan of built-in expressions, for a stated set of at most STATED_USERS users."""
+    if users.limit(STATED_USERS + 1).count() > STATED_USERS:
+        raise ValueError(f"over {STATED_USERS} users; use topk_cosine")
     unit = lambda d, key: d.select(key, V.l2_normalize(F.col("vector")).alias("vector"))
-    u = broadcast_if_small(unit(users, "user_id").withColumnRenamed("vector", "u"))
+    u = F.broadcast(unit(users, "user_id").withColumnRenamed("vector", "u"))
     pairs = unit(items, "content_id").crossJoin(u).select("user_id", "content_id", F.round(V.dot(F.col("u"), F.col("vector")), digits).alias("score"))
     return top_k(pairs, ["user_id"], k, F.desc("score"), F.col("content_id")).select("user_id", "rank", "content_id", "score")
 
 
-def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = None, prefs: DataFrame | None = None) -> DataFrame:
-    """Recommendations with title and domain of the content and the cleaned username."""
+def first_order(order: str | None) -> Column:
+    """The rows' order as `__at`: an order column, else as they are read."""
+    return (F.col(order) if order else F.monotonically_increasing_id()).alias("__at")
+
+
+def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = None, prefs: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """Recommendations with title and domain of the content and the cleaned username, a user's first one by `order`."""
     title = C.resolve_column(contents, C.CONTENT_NAME)
     meta = contents.groupBy(C.to_bigint(F.col("content_id")).alias("content_id")).agg(F.min(F.struct(F.col(f"`{title}`").alias("t") if title else F.lit("").alias("t"), "domain")).alias("m"))
     out = recs.join(meta, "content_id", "left").select(*recs.columns, F.col("m.t").alias("master_title"), F.col("m.domain").alias("domain"))
     if users is not None:
-        name = users.select("user_id", "username")
+        name = users.select("user_id", "username", first_order(order))
         if prefs is not None:
-            own = prefs.groupBy(C.to_bigint(F.col("id")).alias("user_id")).agg(F.max("username").alias("__p"))
-            name = name.join(own, "user_id", "left").select("user_id", C.clean_username(F.col("username"), F.col("__p")).alias("username"))
+            own = prefs.select("*", first_order(order)).groupBy(C.to_bigint(F.col("id")).alias("user_id")).agg(F.min_by("username", "__at").alias("__p"))
+            name = name.join(own, "user_id", "left").select("user_id", "__at", C.clean_username(F.col("username"), F.col("__p")).alias("username"))
         else:
-            name = name.select("user_id", C.clean_username(F.col("username")).alias("username"))
-        out = out.join(name.groupBy("user_id").agg(F.max("username").alias("username")), "user_id", "left")
+            name = name.select("user_id", "__at", C.clean_username(F.col("username")).alias("username"))
+        out = out.join(name.groupBy("user_id").agg(F.min_by("username", "__at").alias("username")), "user_id", "left")
     return out
 
 
@@ -137,15 +140,40 @@ def recent_ids(contents: DataFrame, min_year: int = 2020, col: str = "created_at
     return contents.filter(F.year(when) >= min_year).select(C.to_bigint(F.col("content_id")).alias("content_id")).filter("content_id is not null").distinct()
 
 
-def genre_topk(items: DataFrame, genres: DataFrame, prefs: DataFrame, dim: int, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+def genre_topk(items: DataFrame, genres: DataFrame, prefs: DataFrame, dim: int, k: int = 5, allowed: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """(user_id, rank, content_id, score) from genre centroids; users without a known genre get the items' mean.
 
-    Only items with a genre are candidates; `allowed` narrows the genre table first.
+    Only items with a genre are candidates; `allowed` narrows the genre table first, and a ValueError says that it
+    leaves none.
     """
     if allowed is not None:
         genres = genres.join(allowed, "content_id", "left_semi")
+        if not genres.limit(1).count():
+            raise ValueError("no content that is recent enough has a genre")
     items = items.join(genres.select(C.to_bigint(F.col("content_id")).alias("content_id")).distinct(), "content_id", "left_semi")
     rows = user_genres(prefs, genres).select("user_id", "genre").distinct()
     known = V.mean_vector(rows.join(genre_centroids(items, genres, dim), "genre"), ["user_id"], "vector", dim)
     users = rows.select("user_id").distinct().join(known, "user_id", "left").crossJoin(F.broadcast(global_mean(items, dim).withColumnRenamed("vector", "mean")))
-    return topk_cosine(users.select("user_id", F.coalesce("vector", "mean").alias("vector")), items, k)
+    return topk_cosine(users.select("user_id", F.coalesce("vector", "mean").alias("vector")), items, k, digits)
+
+
+def genre_lists(genres: DataFrame, order: str | None = None) -> DataFrame:
+    """(content_id, genres_str): a content's distinct genres joined by bars, in order of `order` or else of their names."""
+    typed = genres.withColumn("content_id", C.to_bigint(F.col("content_id"))).filter("content_id is not null")
+    tall = typed.select("content_id", C.blank_to_null(F.col("raw_genre")).alias("raw_genre"), order).filter("raw_genre is not null") if order else to_tall(typed)
+    return ordered_string_agg(tall, ["content_id"], "raw_genre", order or "raw_genre", "genres_str")
+
+
+def genre_recommendations(items: DataFrame, genres: DataFrame, prefs: DataFrame, contents: DataFrame, dim: int, k: int = 5, allowed: DataFrame | None = None, digits: int = 9, order: str | None = None) -> DataFrame:
+    """genre_topk with names: user_id, username, rank, content_id, content_name, domain, genres_str, score.
+
+    Of a user's rows the first one's username counts, by `order` or as they are read. Contents and genres that are
+    not known leave nulls.
+    """
+    found = genre_topk(items, genres, prefs, dim, k, allowed, digits)
+    if allowed is not None:
+        genres = genres.join(allowed, "content_id", "left_semi")
+    people = user_genres(prefs.withColumn("__at", first_order(order)), genres, keep="__at").groupBy("user_id").agg(F.min_by("username", "__at").alias("username"))
+    named = with_meta(found, contents).withColumnRenamed("master_title", "content_name")
+    out = named.join(people, "user_id", "left").join(genre_lists(genres), "content_id", "left")
+    return out.select("user_id", "username", "rank", "content_id", "content_name", "domain", "genres_str", "score")

@@ -71,17 +71,33 @@ def unpivot_genres(wide: DataFrame) -> DataFrame:
     return tall.withColumn("raw_genre", blank_to_null(F.col("raw_genre"))).filter("raw_genre is not null").distinct()
 
 
+def kept_rows(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the session's checkpoint folder, if it has one; else cached."""
+    return df.cache() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+
+
+def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
+    """Ascending values of `key` that cut its distinct values into about `ranges` parts.
+
+    They come from a bounded sample of the keys drawn by hash, so they are the same each time.
+    """
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    sample = sorted(r[0] for r in keys.orderBy(F.xxhash64(key)).limit(20 * ranges).collect())
+    return sample[:: max(1, len(sample) // ranges)]
+
+
+def slice_of(value: Column, bounds: list) -> Column:
+    """Number of the range that the value falls in."""
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)) if bounds else F.lit(0)
+
+
 def dense_index(df: DataFrame, key: str, out: str = "idx", buckets: int = 200) -> DataFrame:
     """0-based index of each distinct key in sorted order, without one task that sorts them all.
 
-    Bounds taken from a bounded sample (by hash, so the same each time) deal the keys into ranges; each
-    range's rows are numbered from the count before it.
+    The keys are dealt into ranges; each range's rows are numbered from the count before it.
     """
     keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    sample = sorted(r[0] for r in keys.orderBy(F.xxhash64(key)).limit(20 * buckets).collect())
-    bounds = sample[:: max(1, len(sample) // buckets)]
-    within = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    dealt = keys.withColumn("__p", within)
+    dealt = keys.withColumn("__p", slice_of(F.col(key), range_bounds(keys, key, buckets)))
     own = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
     sizes = dealt.groupBy("__p").count()  # one row a range
     before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))

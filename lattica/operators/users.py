@@ -40,8 +40,8 @@ def global_mean(items: DataFrame, dim: int) -> DataFrame:
     return V.mean_vector(normalized(items), [], "vector", dim).withColumn("vector", V.l2_normalize(F.col("vector")))
 
 
-def user_genres(prefs: DataFrame, genres: DataFrame | None = None) -> DataFrame:
-    """(user_id, username, genre) from any accepted column names.
+def user_genres(prefs: DataFrame, genres: DataFrame | None = None, keep: str | None = None) -> DataFrame:
+    """(user_id, username, genre[, the column `keep`]) from any accepted column names.
 
     Without a genre column, the preference's content id is matched with the genre table; without a user
     id, users are numbered by name. Usernames missing or written nan or none are empty.
@@ -57,23 +57,27 @@ def user_genres(prefs: DataFrame, genres: DataFrame | None = None) -> DataFrame:
         genre = "__genre"
     name, user = C.resolve_column(prefs, C.USERNAME), C.resolve_column(prefs, (*C.USER_ID_GENRES, "preference_id"))
     username = C.clean_username(F.col(f"`{name}`").cast("string")) if name else F.lit("")
+    rest = [keep] if keep else []
     value = F.lower(C.py_strip(F.col(f"`{genre}`").cast("string")))
     if user:
-        rows = prefs.select(C.to_bigint(F.col(f"`{user}`")).alias("user_id"), username.alias("username"), value.alias("genre"))
+        rows = prefs.select(C.to_bigint(F.col(f"`{user}`")).alias("user_id"), username.alias("username"), value.alias("genre"), *rest)
     elif name:
         from .relational import dense_index
 
-        named = prefs.select(username.alias("username"), value.alias("genre")).filter("username != ''")
-        rows = named.join(dense_index(named, "username", "i"), "username").select((F.col("i") + 1).alias("user_id"), "username", "genre")
+        named = prefs.select(username.alias("username"), value.alias("genre"), *rest).filter("username != ''")
+        rows = named.join(dense_index(named, "username", "i"), "username").select((F.col("i") + 1).alias("user_id"), "username", "genre", *rest)
     else:
         raise ValueError("preferences need a user id or a username")
     return rows.filter("user_id is not null and genre is not null and genre != ''")
 
 
-def user_embeddings(items: DataFrame, genres: DataFrame, prefs: DataFrame, dim: int, dedupe_genres: bool = True) -> DataFrame:
-    """(user_id, username, vector): unit mean of the user's genre centroids; users without a known genre go."""
-    rows = user_genres(prefs, genres)
-    names = rows.groupBy("user_id").agg(F.max("username").alias("username"))
+def user_embeddings(items: DataFrame, genres: DataFrame, prefs: DataFrame, dim: int, dedupe_genres: bool = True, order: str | None = None) -> DataFrame:
+    """(user_id, username, vector): unit mean of the user's genre centroids; users without a known genre go.
+
+    The username is that of the user's first row, by `order` or else as the rows are read.
+    """
+    rows = user_genres(prefs.withColumn("__at", F.col(order) if order else F.monotonically_increasing_id()), genres, keep="__at")
+    names = rows.groupBy("user_id").agg(F.min_by("username", "__at").alias("username"))
     wanted = rows.select("user_id", "genre")
     wanted = wanted.distinct() if dedupe_genres else wanted
     found = V.mean_vector(wanted.join(genre_centroids(items, genres, dim), "genre"), ["user_id"], "vector", dim)

@@ -365,12 +365,13 @@ def blend_vectors(s, d):
     return V.tall_vector(item_pairs(s, d).select("a", V.blend(u, v, 0.6, 0.4).alias("vector")), ["a"], "vector", 5)
 
 
-RING = "ring AS (SELECT a.content_id AS src, b.content_id AS dst FROM items a JOIN items b ON b.content_id = (a.content_id * 7 + 3) % 500 WHERE a.content_id <> b.content_id)"
+RING = "ring AS (SELECT a.content_id AS src, b.content_id AS dst FROM items a JOIN items b ON b.content_id = (a.content_id * 7 + 3) % (SELECT count(*) FROM items) WHERE a.content_id <> b.content_id)"
 
 
 def ring(s: SparkSession, d: str) -> DataFrame:
     x = items(s, d).select("content_id")
-    return x.toDF("src").join(x.toDF("dst"), F.col("dst") == (F.col("src") * 7 + 3) % 500).filter("src != dst")
+    n = F.broadcast(x.agg(F.count("*").alias("n")))
+    return x.toDF("src").crossJoin(n).join(x.toDF("dst"), F.col("dst") == (F.col("src") * 7 + 3) % F.col("n")).filter("src != dst").select("src", "dst")
 
 
 @query(f"WITH {ITEMS}, {RING}, near AS (SELECT src, vector FROM (SELECT src, dst FROM ring UNION ALL SELECT dst, src FROM ring) JOIN items ON content_id = dst), m AS (SELECT src AS content_id, pos, avg(x) AS x FROM (SELECT src, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM near) GROUP BY src, pos) SELECT content_id, CAST(pos - 1 AS INTEGER) AS pos, round(x, 5) AS val FROM m")
@@ -439,11 +440,11 @@ def bipartite_edges(s, d):
     return bipartite.bipartite_edges(nodes6(s, d), tall(s, d))
 
 
-MEMBERS = f"{NODES6}, {TALL}, mem AS (SELECT 'DOM:' || domain AS meta_id, content_id, 0 AS kind FROM nodes UNION SELECT 'GEN:' || source || ':' || raw_genre || '@' || domain, content_id, 1 FROM tall JOIN nodes USING (content_id))"
+MEMBERS = f"{NODES6}, {TALL}, mem AS (SELECT 'DOM:' || domain AS meta_id, content_id FROM nodes UNION SELECT 'GEN:' || source || ':' || raw_genre || '@' || domain, content_id FROM tall JOIN nodes USING (content_id))"
 CAPPED = f"{MEMBERS}, cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY meta_id ORDER BY content_id) AS pos FROM mem) WHERE pos <= 2000), deg AS (SELECT *, count(*) OVER (PARTITION BY meta_id) AS deg FROM cap)"
 EDGES = f"""{CAPPED}, nn AS (SELECT count(DISTINCT content_id) AS n FROM nodes),
-wp AS (SELECT a.meta_id, a.content_id AS src, b.content_id AS dst, a.deg, a.kind FROM deg a JOIN deg b ON a.meta_id = b.meta_id AND b.pos > a.pos AND b.pos <= a.pos + 100),
-ie AS (SELECT src, dst, sum(pow(deg, -0.7) * ln(1 + n / deg)) AS weight, min(kind) AS kind FROM wp, nn GROUP BY src, dst)"""
+wp AS (SELECT a.meta_id, a.content_id AS src, b.content_id AS dst, a.deg FROM deg a JOIN deg b ON a.meta_id = b.meta_id AND b.pos > a.pos AND b.pos <= a.pos + 100),
+ie AS (SELECT src, dst, sum(pow(deg, -0.7) * ln(1 + n / deg)) AS weight, min(meta_id) AS first_meta FROM wp, nn GROUP BY src, dst)"""
 
 
 @query(f"WITH {MEMBERS} SELECT meta_id, count(DISTINCT content_id) AS deg FROM mem GROUP BY meta_id")
@@ -451,9 +452,9 @@ def meta_degree(s, d):
     return itemgraph.membership(nodes6(s, d), tall(s, d)).groupBy("meta_id").agg(F.countDistinct("content_id").alias("deg"))
 
 
-@query(f"WITH {MEMBERS}, dg AS (SELECT meta_id, count(*) AS deg FROM mem GROUP BY meta_id), nn AS (SELECT count(DISTINCT content_id) AS n FROM nodes) SELECT meta_id, round(CASE WHEN deg <= 1 THEN 0.0 ELSE pow(deg, -0.7) * ln(1 + n / deg) END, 6) AS c FROM dg, nn")
+@query(f"WITH {MEMBERS}, dg AS (SELECT meta_id, least(count(*), 2000) AS deg FROM mem GROUP BY meta_id), nn AS (SELECT count(DISTINCT content_id) AS n FROM nodes) SELECT meta_id, round(CASE WHEN deg <= 1 THEN 0.0 ELSE pow(deg, -0.7) * ln(1 + n / deg) END, 6) AS c FROM dg, nn")
 def meta_contrib(s, d):
-    deg = itemgraph.membership(nodes6(s, d), tall(s, d)).groupBy("meta_id").agg(F.count("*").alias("deg"))
+    deg = itemgraph.membership(nodes6(s, d), tall(s, d)).groupBy("meta_id").agg(F.least(F.count("*"), F.lit(itemgraph.MEMBER_CAP)).alias("deg"))
     n = nodes6(s, d).agg(F.countDistinct("content_id").alias("n"))
     return deg.crossJoin(F.broadcast(n)).select("meta_id", F.round(itemgraph.contribution(F.col("deg"), F.col("n")), 6).alias("c"))
 
@@ -468,8 +469,8 @@ def item_edges_unpruned(s, d):
     return itemgraph.item_edges(nodes6(s, d), tall(s, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {EDGES}, ends AS (SELECT src, dst, weight, kind, src AS own, dst AS other FROM ie UNION ALL SELECT src, dst, weight, kind, dst, src FROM ie),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY round(weight, 9) DESC, kind, other) AS r FROM ends)
+@query(f"""WITH {EDGES}, ends AS (SELECT src, dst, weight, first_meta, src AS own, dst AS other FROM ie UNION ALL SELECT src, dst, weight, first_meta, dst, src FROM ie),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY round(weight, 9) DESC, first_meta, other) AS r FROM ends)
 SELECT src AS src_content_id, dst AS dst_content_id, round(max(weight), 6) AS weight FROM ranked WHERE r <= 100 GROUP BY src, dst""")
 def item_edges_topk(s, d):
     return itemgraph.build_item_graph(nodes6(s, d), tall(s, d)).withColumn("weight", F.round("weight", 6))
@@ -521,13 +522,13 @@ def walks_pq(s, d):
     return path_text(walks.walks(graph(s, d), 4, 1, 0.5, 2.0))
 
 
-PATHS = "ord AS (SELECT user_id, list(genre ORDER BY event_id)[1:12] AS path FROM prefs GROUP BY user_id)"
+PATHS = "ord AS (SELECT user_id, list(genre ORDER BY event_id) AS path FROM prefs GROUP BY user_id)"
 
 
 def user_paths(s: SparkSession, d: str) -> DataFrame:
-    """The first twelve labels of every user as a path."""
+    """The labels of every user as a path."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "genre"))), lambda x: x["genre"].cast("bigint"))
-    return prefs(s, d).groupBy("user_id").agg(F.slice(listed, 1, 12).alias("path"))
+    return prefs(s, d).groupBy("user_id").agg(listed.alias("path"))
 
 
 SKIP = f"{PREFS}, {PATHS}, spot AS (SELECT user_id, CAST(unnest(path) AS BIGINT) AS tok, generate_subscripts(path, 1) AS i FROM ord), sk AS (SELECT a.tok AS center, b.tok AS context FROM spot a JOIN spot b ON a.user_id = b.user_id AND a.i <> b.i AND abs(a.i - b.i) <= 5)"
@@ -548,9 +549,9 @@ def walk_stats(s, d):
     return walks.walk_stats(user_paths(s, d)).select("n_walks", F.round("mean_length", 6).alias("mean_length"))
 
 
-@query(f"WITH {GRAPH}, q AS (SELECT DISTINCT l_partkey + 10000000 AS src, l_suppkey + l_linenumber AS dst FROM lineitem WHERE l_linenumber <= 2) SELECT q.src, q.dst, coalesce(g.weight, 1.0) AS weight FROM q LEFT JOIN g ON g.src = q.dst AND g.dst = q.src")
+@query(f"WITH {GRAPH}, q AS (SELECT DISTINCT l_partkey + 10000000 AS src, l_suppkey + l_linenumber AS dst FROM lineitem) SELECT q.src, q.dst, coalesce(g.weight, 1.0) AS weight FROM q LEFT JOIN g ON g.src = q.dst AND g.dst = q.src")
 def edge_weight_lookup(s, d):
-    pairs = t(s, d, "lineitem").filter("l_linenumber <= 2").select((F.col("l_partkey") + 10_000_000).alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst")).distinct()
+    pairs = t(s, d, "lineitem").select((F.col("l_partkey") + 10_000_000).alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst")).distinct()
     return embed.edge_weights(pairs, graph(s, d))
 
 
@@ -590,8 +591,7 @@ TOPK = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score D
 
 @query(f"WITH {SIMS} {TOPK}")
 def topk_cosine(s, d):
-    best = recommend.best_items(people(s, d), items(s, d), 5, digits=6)
-    return relational.top_k(best, ["user_id"], 5, F.desc("score"), F.col("content_id")).select("user_id", "rank", "content_id", "score")
+    return recommend.topk_cosine(people(s, d), items(s, d), 5, 6)
 
 
 @query(f"WITH {SIMS}, tk AS ({TOPK}) SELECT user_id, rank, content_id, score, 'item ' || content_id AS master_title, {THIRD.format('content_id')} AS domain FROM tk")
@@ -628,19 +628,47 @@ sims AS (SELECT user_id, content_id, round(list_inner_product(pe.vector, own.vec
 {TOPK}"""
 
 
-def rounded_topk(s: SparkSession, d: str, allowed: DataFrame | None) -> DataFrame:
-    return recommend.genre_topk(items(s, d).select("content_id", "vector"), item_genres(s, d), prefs(s, d).select("user_id", "genre"), DIM, 5, allowed).withColumn("score", F.round("score", 6))
+def genre_inputs6(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return items(s, d).select("content_id", "vector"), item_genres(s, d), prefs(s, d).select("user_id", "genre")
 
 
 @query(genre_sql("true"))
 def genre_topk(s, d):
-    return rounded_topk(s, d, None)
+    return recommend.genre_topk(*genre_inputs6(s, d), DIM, digits=6)
 
 
 @query(genre_sql("content_id % 5 > 1"))
 def genre_topk_recent(s, d):
-    dated = items(s, d).select("content_id", F.when(F.col("content_id") % 5 > 1, "2021-05-06T07:08:09").when(F.col("content_id") % 5 == 1, "2019-12-31").otherwise("unknown").alias("created_at"))
-    return rounded_topk(s, d, recommend.recent_ids(dated))
+    return recommend.genre_topk(*genre_inputs6(s, d), DIM, allowed=recommend.recent_ids(dated_items(s, d)), digits=6)
+
+
+def dated_items(s: SparkSession, d: str) -> DataFrame:
+    return items(s, d).select("content_id", F.when(F.col("content_id") % 5 > 1, "2021-05-06T07:08:09").when(F.col("content_id") % 5 == 1, "2019-12-31").otherwise("unknown").alias("created_at"))
+
+
+def named_sql(keep: str) -> str:
+    """genre_sql's rows with the first username of each user, names and the genres of each content."""
+    return f"""WITH tk AS ({genre_sql(keep)}), nm AS (SELECT user_id, coalesce(arg_min('user ' || event_type, event_id), '') AS username FROM events GROUP BY user_id),
+gn AS (SELECT vec_id AS content_id, string_agg(g, '|' ORDER BY g) AS genres_str FROM (SELECT vec_id, unnest([CAST(label AS VARCHAR), 'of ' || (vec_id % 7)]) AS g FROM embeddings WHERE {keep.replace('content_id', 'vec_id')}) GROUP BY vec_id)
+SELECT user_id, username, rank, content_id, 'item ' || content_id AS content_name, {THIRD.format('content_id')} AS domain, genres_str, score FROM tk LEFT JOIN nm USING (user_id) LEFT JOIN gn USING (content_id)"""
+
+
+def named_inputs(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """genre_inputs6 with a second genre of each item and a username in every row, and the contents."""
+    own, genres, _ = genre_inputs6(s, d)
+    more = items(s, d).select("content_id", F.lit("more").alias("source"), F.concat(F.lit("of "), F.col("content_id") % 7).alias("raw_genre"))
+    likes = t(s, d, "events").select("user_id", (F.get_json_object("props", "$.k").cast("int") % 10).cast("string").alias("genre"), F.concat(F.lit("user "), "event_type").alias("username"), "event_id")
+    return own, genres.unionByName(more), likes, item_contents(s, d)
+
+
+@query(named_sql("true"))
+def genre_topk_full(s, d):
+    return recommend.genre_recommendations(*named_inputs(s, d), DIM, digits=6, order="event_id")
+
+
+@query(named_sql("content_id % 5 > 1"))
+def genre_topk_recent_full(s, d):
+    return recommend.genre_recommendations(*named_inputs(s, d), DIM, allowed=recommend.recent_ids(dated_items(s, d)), digits=6, order="event_id")
 
 
 @query(f"WITH {PREFS} SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day, p.user_id AS user_id, genre, count(*) AS n FROM prefs p JOIN events USING (event_id) GROUP BY ALL")

@@ -119,6 +119,6 @@ def run_chain(contents: DataFrame, av: DataFrame | None, game: DataFrame | None,
         "user_embeddings": people,
         "topk": recommend.with_meta(recommend.topk_cosine(people, items, top_k), nodes, people),
         "per_domain": recommend.domain_quota(people, items, nodes),
-        "topk_genre": recommend.genre_topk(items, genres, prefs, dim, top_k),
-        "topk_genre_recent": recommend.genre_topk(items, genres, prefs, dim, top_k, recommend.recent_ids(contents)),
+        "topk_genre": recommend.genre_recommendations(items, genres, prefs, nodes, dim, top_k),
+        "topk_genre_recent": recommend.genre_recommendations(items, genres, prefs, nodes, dim, top_k, recommend.recent_ids(contents)),
     }

@@ -20,11 +20,13 @@ def ranked(items, v):
 @pytest.mark.parametrize("block", [50_000, 7])
 def test_topk(world, monkeypatch, block):
     items, people, i, u = world
-    blocks = recommend.item_blocks
-    monkeypatch.setattr(recommend, "item_blocks", lambda df: blocks(df, block))
+    monkeypatch.setattr(recommend, "BLOCK_ROWS", block)
     got = {(r["user_id"], r["rank"]): r["content_id"] for r in recommend.topk_cosine(u, i, 4).collect()}
     assert got == {(n, k + 1): x[1] for n, v in people for k, x in enumerate(ranked(items, v)[:4])}
     assert {(r["user_id"], r["rank"]): r["content_id"] for r in recommend.topk_cosine_sql(u, i, 4, 9).collect()} == got
+    monkeypatch.setattr(recommend, "STATED_USERS", 4)
+    with pytest.raises(ValueError):
+        recommend.topk_cosine_sql(u, i)
 
 
 def test_quota_and_backfill(spark, world):
@@ -74,3 +76,16 @@ def test_recent(spark):
     df = spark.createDataFrame([(1, "2021-01-01T00:00:00"), (2, "2019-12-31"), (3, "junk"), (4, None)], "content_id long, created_at string")
     assert [r[0] for r in recommend.recent_ids(df).collect()] == [1]
     assert recommend.recent_ids(df.drop("created_at")) is None
+
+
+def test_genre_recommendations(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "content_id long, vector array<double>")
+    genres = spark.createDataFrame([("1", "s", "Action"), ("2", "s", "Drama"), ("2", "t", "Crime"), (None, "s", "x")], "content_id string, source string, raw_genre string")
+    contents = spark.createDataFrame([("1", "AV", "one"), ("3", "GAME", "three")], "content_id string, domain string, title string")
+    prefs = spark.createDataFrame([(7, "zoe", "action", 2), (7, "ann", "drama", 1), (7, "nan", "crime", 3), (8, None, "none known", 1)], "user_id long, username string, genre string, o int")
+    got = [tuple(r) for r in recommend.genre_recommendations(items, genres, prefs, contents, 2, 2, order="o").orderBy("user_id", "rank").collect()]
+    half = round(0.5**0.5, 9)
+    assert [g[:7] for g in got] == [(7, "ann", 1, 2, None, None, "Crime|Drama"), (7, "ann", 2, 1, "one", "AV", "Action"), (8, "", 1, 1, "one", "AV", "Action"), (8, "", 2, 2, None, None, "Crime|Drama")]
+    assert got[2][7] == pytest.approx(half) and got[3][7] == pytest.approx(half)
+    with pytest.raises(ValueError):
+        recommend.genre_topk(items, genres, prefs, 2, allowed=spark.createDataFrame([(9,)], "content_id long"))
