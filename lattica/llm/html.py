@@ -1,14 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass classes every block by stop-word density, length, link density and the elements it stands
-in; short blocks that these leave open take, in the second pass, the class of their nearest decided
-neighbours.
+The first pass classes every block by its link density, its length and its evidence, which is its stop-word density
+with the weight of where it stands added; blocks that are short or of middling evidence take, in the second pass,
+the class of their nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,7 @@ BLOCK = frozenset("address article aside blockquote body br center col colgroup
 FRAME = frozenset("nav header footer aside form menu dialog fieldset label legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 #: An element that opens any of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset("br label legend summary figcaption dt dd li td th tr tbody thead tfoot col colgroup optgroup frame".split())
 #: Words in class, id or role that mark parts beside the content.
@@ -42,6 +44,9 @@ NOT_ASIDE = re.compile(r"(?<![a-z])(?:(?:article|entry|post|content|story|main|p
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
+WORD = re.compile(r"[^\W\d_]+")
+#: What standing within a content element, outside one where the page has one, and within a framing or so named part adds.
+WITHIN, WITHOUT, BESIDE = 0.12, -0.12, -1.0
 
 
 def names_aside(value: str) -> bool:
@@ -61,6 +66,7 @@ class Block:
 def blocks(page: str) -> list[tuple[str, int, Block]]:
     """Blocks with text in page order: text, characters in links, and where it stood."""
     stack: list[tuple[str, bool, bool]] = []  # element, beside the content, within the content
+    depth_of: Counter = Counter()  # open elements by name
     out: list[Block] = [Block(False, False, False)]
     links = 0
     at = 0
@@ -70,7 +76,15 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
 
     def start() -> None:
         beside, inside = state()
-        out.append(Block(beside, inside, any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t, *_ in stack[-3:])))
+        out.append(Block(beside, inside, any(depth_of[h] for h in HEADINGS)))
+
+    def close(name: str) -> None:
+        """Ends the innermost open element of that name and what it holds."""
+        while depth_of[name]:
+            own = stack.pop()[0]
+            depth_of[own] -= 1
+            if own == name:
+                break
 
     def text(raw: str) -> None:
         if raw:
@@ -88,9 +102,7 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
+            close(name)
             if name in BLOCK:
                 start()
             continue
@@ -101,9 +113,8 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
             continue
         if name == "a":
             links += 1
-        if name in ENDS_P and stack and any(t == "p" for t, *_ in stack[-8:]):
-            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
-            del stack[depth:]
+        if name in ENDS_P:
+            close("p")
         if name not in VOID and not m[0].endswith("/>") and name in BLOCK | {"span", "a"}:
             beside, inside = state()
             hidden = False
@@ -114,6 +125,7 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
                     hidden |= key in ("class", "id", "role") and name not in CONTENT | {"body", "html"} and names_aside(value)
             frame = name in FRAME and not (name == "header" and inside)  # an article's own head may hold its title
             stack.append((name, beside or frame or hidden, inside or name in CONTENT))
+            depth_of[name] += 1
         if name == "br" and not out[-1].parts or name == "br" and out[-1].parts[-1] != "\n":
             out[-1].parts.append("\n")  # one break is white space, two end the block
         elif name in BLOCK:
@@ -127,38 +139,64 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
     return found
 
 
-def first_pass(text: str, linked: int, block: Block, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.33) -> int | None:
-    """Class of a block; OPEN for short ones and for those of middling stop-word density."""
-    if block.beside or linked > links * len(text):
-        return BAD
+def stop_density(text: str) -> float:
+    """Share of stop words among the words of letters."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(text: str, linked: int, place: float, short: int = 70, low: float = 0.1, high: float = 0.2, links: float = 0.33) -> tuple[int | None, str]:
+    """Class of a block and the rule that gave it; place: what its surroundings add to the evidence.
+
+    A block with many characters in links is no content. A short one is open unless it stands in a part beside the
+    content, whatever its words. Of the others, evidence from `high` on is content, below `low` not, else open.
+    """
+    if linked > links * len(text):
+        return BAD, "link density"
     if len(text) < short:
-        return OPEN
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if block.inside or density >= high:
-        return GOOD
-    return OPEN if density >= low or len(text) <= long else BAD
+        return (BAD, "place") if place <= BESIDE / 2 else (OPEN, "short")
+    density = stop_density(text)
+    if density + place >= high:
+        return GOOD, "stop-word density"
+    if density + place < low:
+        return BAD, "place" if density >= low else "stop-word density"
+    return OPEN, "middling density"
+
+
+def pooled(first: list[tuple[int | None, str]], texts: list[str], place: list[float], short: int = 70, high: float = 0.2) -> list[tuple[int | None, str]]:
+    """A run of open blocks in one place that touches no content is judged as one block.
+
+    It is content if it is long enough together and its joint evidence suffices; else it stays open.
+    """
+    out, i = list(first), 0
+    while i < len(out):
+        if first[i][0] is not OPEN:
+            i += 1
+            continue
+        end = i
+        while end < len(out) and first[end][0] is OPEN and place[end] == place[i]:
+            end += 1
+        beside = [first[j][0] for j in (i - 1, end) if 0 <= j < len(out)]
+        whole = " ".join(texts[i:end])
+        if GOOD not in beside and len(whole) >= short and stop_density(whole) + place[i] >= high:
+            out[i:end] = [(GOOD, "joint density")] * (end - i)
+        i = end
+    return out
 
 
 def second_pass(classes: list[int | None], inside: list[bool], heading: list[bool]) -> list[int]:
     """Open blocks inherit from the nearest decided block on both sides; where these differ, the nearer one.
 
     At equal distance the content wins, as it does for a heading before content. Only decided blocks on
-    the same side of the content element's edge count, if there are any.
+    the same side of the content element's edge count; where there are none, blocks within it are content.
     """
+    before, after = [nearest(classes, inside, step) for step in (1, -1)]
     out = []
     for i, c in enumerate(classes):
+        near = [(abs(j - i), classes[j]) for j in (before[i], after[i]) if j is not None]
         if c is not OPEN:
             out.append(c)
-            continue
-        near = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(classes) and (classes[j] is OPEN and inside[j] == inside[i]):
-                j += step
-            near.append((abs(j - i), classes[j]) if 0 <= j < len(classes) and inside[j] == inside[i] else None)
-        near = [n for n in near if n]
-        if not near:
+        elif not near:
             out.append(GOOD if inside[i] else BAD)
         elif heading[i] and near[-1][1] == GOOD:
             out.append(GOOD)
@@ -167,17 +205,33 @@ def second_pass(classes: list[int | None], inside: list[bool], heading: list[boo
     return out
 
 
+def nearest(classes: list[int | None], inside: list[bool], step: int) -> list[int | None]:
+    """For each block the last decided one before it in the direction of `step`, on its side of the content's edge."""
+    out: list[int | None] = [None] * len(classes)
+    last = None
+    for i in range(len(classes))[::step]:
+        if last is not None and inside[last] != inside[i]:
+            last = None
+        out[i] = last
+        if classes[i] is not OPEN:
+            last = i
+    return out
+
+
+def judged(page: str) -> list[tuple[str, bool, str]]:
+    """Blocks in page order: text, whether it is content, and the first pass's rule."""
+    found = blocks(page)
+    told = any(b.inside and not b.beside for *_, b in found)  # the page has a content element
+    place = [BESIDE * b.beside + (WITHIN if b.inside else WITHOUT * told) for *_, b in found]
+    first = [first_pass(t, linked, x) for (t, linked, _), x in zip(found, place)]
+    first = pooled(first, [t for t, *_ in found], place)
+    keep = second_pass([c for c, _ in first], [b.inside for *_, b in found], [b.heading for *_, b in found])
+    return [(t, k == GOOD, rule) for (t, *_), k, (_, rule) in zip(found, keep, first)]
+
+
 def main_text(page: str | None) -> str:
     """The page's content blocks, two line feeds between them; empty if there are none."""
-    if not page:
-        return ""
-    found = blocks(page)
-    if any(b.inside and not b.beside for *_, b in found):  # the page says where its content is
-        for *_, b in found:
-            b.beside |= not b.inside
-    classes = [first_pass(t, linked, b) for t, linked, b in found]
-    keep = second_pass(classes, [b.inside for *_, b in found], [b.heading for *_, b in found])
-    return "\n\n".join(t for (t, *_), k in zip(found, keep) if k == GOOD)
+    return "\n\n".join(t for t, keep, _ in judged(page) if keep) if page else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
