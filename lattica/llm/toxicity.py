@@ -1,9 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Tokens are words and, for words too rare to judge, their stems (leading letters). Their log-odds between
-toxic and clean labelled texts have a Dirichlet prior centred on the whole corpus; only odds that stand
+toxic and clean labelled texts have a Dirichlet prior centred on all of them; only features that stand
 out of their own error count. A linear-time scan finds every maximal segment of a text, extreme-value
-statistics say which of them chance would not bring, and a logistic curve turns the evidence of the
+statistics say which of them chance would not bring, and a logistic curve turns the summed evidence of the
 significant ones into a score.
 """
 
@@ -25,6 +25,12 @@ from . import _base as B
 STEMS = (6, 5, 4)
 WORD = re.compile(r"[^\W\d_]+")
 MEMO_WORDS = 300_000
+#: Score of a token that tells nothing.
+REST = -0.02
+#: Parts of the labelled texts; what a part's evidence is judged by comes from the others.
+FOLDS = 4
+#: A passage is significant if chance brings so many of its score to a text of its length.
+LEVEL = 0.05
 
 
 def features(word: str) -> list[str]:
@@ -58,7 +64,6 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 @dataclass
 class ToxicModel:
     scores: dict[str, float] = field(default_factory=dict)
-    rest: float = -0.05  # of a token that tells nothing
     log_k: float = math.log(1e-4)
     curve: tuple[float, float] = (-2.0, 1.0)
     memo: dict[str, float] = field(default_factory=dict)
@@ -70,7 +75,7 @@ class ToxicModel:
         for f in features(word):
             if f in self.scores:
                 return self.scores[f]
-        return self.rest
+        return REST
 
     def chunk(self, chunk: str) -> float:
         words = WORD.findall(chunk.lower())
@@ -87,27 +92,74 @@ class ToxicModel:
             memo[c] = self.chunk(c)
         return chunks, np.fromiter(map(memo.__getitem__, chunks), np.float64, len(chunks))
 
-    def passages(self, scores: np.ndarray, level: float = 0.05) -> list[tuple[int, int, float, float]]:
+    def expected(self, tops: np.ndarray, m: int) -> np.ndarray:
+        """How many segments of such scores or more chance brings to a text of m tokens."""
+        return np.exp(np.minimum(50.0, self.log_k + math.log(max(1, m)) - tops))
+
+    def summed(self, expected: np.ndarray) -> float:
+        """-log10 of the chance expectations, summed over the significant ones."""
+        return float(-np.log10(np.maximum(expected[expected <= LEVEL], 1e-300)).sum())
+
+    def passages(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
         """Significant segments: start, end, score and expected number by chance in a text so long."""
-        log_m = math.log(max(1, len(scores)))
-        found = ((a, b, s, math.exp(min(50.0, self.log_k + log_m - s))) for a, b, s in segments(scores))
-        return [x for x in found if x[3] <= level]
+        found = segments(scores)
+        chance = self.expected(np.array([s for *_, s in found]), len(scores))
+        return [(a, b, s, float(e)) for (a, b, s), e in zip(found, chance) if e <= LEVEL]
 
     def evidence(self, scores: np.ndarray) -> float:
-        """-log10 of the chance expectations, summed over the significant passages."""
-        return sum(-math.log10(max(e, 1e-300)) for *_, e in self.passages(scores))
+        return self.summed(np.array([e for *_, e in self.passages(scores)]))
 
     def probability(self, evidence: float) -> float:
         a, b = self.curve
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * evidence))))
 
 
-def log_odds(a: float, b: float, n1: int, n0: int, prior: float) -> tuple[float, float]:
-    """Log-odds of a token in a of n1 toxic and b of n0 clean texts, and its z value."""
-    own = prior * (a + b) / max(1, n1 + n0)
-    up, down = a + own, b + own
-    delta = math.log(up / max(1e-9, n1 + prior - up)) - math.log(down / max(1e-9, n0 + prior - down))
-    return delta, delta / math.sqrt(1 / up + 1 / down)
+@dataclass
+class Tally:
+    """Of each feature, by class (clean, toxic): documents that hold it and its occurrences; and those of all tokens."""
+
+    docs: np.ndarray  # features x 2
+    uses: np.ndarray  # features x 2
+    all_docs: np.ndarray
+    all_uses: np.ndarray
+
+    def signed_z(self) -> np.ndarray:
+        """Root of the likelihood ratio statistic of document counts, positive for toxic features."""
+        n, total = self.docs.sum(axis=1), self.all_docs.sum()
+        part = self.all_docs / max(1, total)
+        held, free = n[:, None] * part, (total - n)[:, None] * part
+        gain = sum((o * np.log(np.where(o > 0, o, 1) / np.maximum(e, 1e-9))).sum(axis=1) for o, e in ((self.docs, held), (self.all_docs - self.docs, free)))
+        rate = self.docs / np.maximum(1, self.all_docs)
+        return np.copysign(np.sqrt(np.maximum(0, 2 * gain)), rate[:, 1] - rate[:, 0])
+
+    def log_odds(self, prior: float, prior_docs: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of occurrences and of documents; the Dirichlet priors are centred on both classes together."""
+
+        def odds(own: np.ndarray, whole: np.ndarray, weight: float) -> np.ndarray:
+            mean = weight * own.sum(axis=1, keepdims=True) / max(1, whole.sum())
+            up = own + np.maximum(mean, 1e-9)
+            logit = np.log(up / np.maximum(1e-9, whole + weight - up))
+            return logit[:, 1] - logit[:, 0]
+
+        return odds(self.uses, self.all_uses, prior), odds(self.docs, self.all_docs, prior_docs)
+
+
+def learned(features_of: list[str], tally: Tally, least_z: float, least_odds: float, least_docs: int, prior: float, prior_docs: float = 2.0, burst: float = 1.5) -> dict[str, float]:
+    """Scores of the features that tell toxic texts, and of those that share a stem with one.
+
+    A score is the log-odds of occurrences; repetition within documents lifts it by `burst` above that of documents
+    at most.
+    """
+    uses, docs = tally.log_odds(prior, prior_docs)
+    score, least = np.minimum(uses, docs + burst), np.minimum(uses, docs)
+    tells = (tally.signed_z() >= least_z) & (least >= least_odds) & (tally.docs[:, 1] >= least_docs)
+    found = {features_of[i]: float(score[i]) for i in np.nonzero(tells)[0]}
+    toxic = {f for f in found if f.endswith("*")}
+    for i in np.nonzero(~tells & (tally.docs.sum(axis=1) >= 5))[0]:  # these speak for themselves
+        f = features_of[i]
+        if any(x in toxic for x in features(f.rstrip("*"))[1:] if x != f):
+            found[f] = float(score[i]) if least[i] >= 0.5 else REST
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
@@ -122,14 +174,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 12_000, prior: float = 0.015, least_z: float = 2.5, least_odds: float = 4.0, tail: float = 3.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 12_000, prior: float = 2_000.0, least_z: float = 3.5, least_odds: float = 1.5, least_docs: int = 4, tail: float = 3.0) -> ToxicModel:
     """Learn from at most about `max_labels` labelled documents of each class, drawn by a hash of the id.
 
     labels: doc_id, toxic. Null ids, labels and texts teach nothing; of several labels of one id the
     highest counts. Without both classes every text gets the score of no evidence. Of texts whose smallest
     5-word shingle hash agrees (copies, nearly) one teaches, else the words of a copied text would look
-    toxic. prior: weight of the corpus in the Dirichlet prior, as a part of the texts, 200 texts at most. tail: the
-    score from which clean segments are counted for the extreme-value statistics.
+    toxic. prior: weight, in tokens, of the Dirichlet prior. A feature needs `least_docs` toxic documents and
+    `least_z` standard errors. tail: the score from which clean segments are counted for the extreme-value statistics.
+
+    The statistics and the curve are fitted on evidence from features that were learned without the text's own fold.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -139,51 +193,65 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = B.materialize(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000), "drawn")
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")
     five = lambda w: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))))
-    first = text.withColumn("key", B.let(B.words_of(F.lower("text")), five)).groupBy("key").agg(F.min_by(F.struct("y", "text"), F.struct("doc_id", "text")).alias("row"))
+    fold = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % FOLDS).cast("int").alias("fold")
+    first = text.withColumn("key", B.let(B.words_of(F.lower("text")), five)).groupBy("key").agg(F.min_by(F.struct("y", fold, "text"), F.struct("doc_id", "text")).alias("row"))
     rows = B.bounded_batches(B.materialize(first.select("row.*"), "taught"))
+    names = [f"{what}{y}_{k}" for what in ("docs", "uses") for y in (0, 1) for k in range(FOLDS)]
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 2_000):
-                n: Counter = Counter()
-                for y, text in zip(b["y"].iloc[lo : lo + 2_000], b["text"].iloc[lo : lo + 2_000]):
-                    n.update((f, y) for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)} | {""})
-                yield pd.DataFrame([(f, *((0, k) if y else (k, 0))) for (f, y), k in n.items()], columns=["f", "clean", "toxic"])
-
-    counts = B.materialize(rows.mapInPandas(tally, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("clean + toxic >= 5"), "tokens")
-    sizes = next(iter(counts.filter("f = ''").collect()), None)
-    if not sizes or not sizes["toxic"] or not sizes["clean"]:
+                held, used = Counter(), Counter()
+                for y, k, text in zip(b["y"].iloc[lo : lo + 2_000], b["fold"].iloc[lo : lo + 2_000], b["text"].iloc[lo : lo + 2_000]):
+                    own = Counter({"": 0})
+                    for w, n in Counter(WORD.findall(text.lower())).items():
+                        own[""] += n
+                        for f in features(w):
+                            own[f] += n
+                    held.update((f, y, k) for f in own)
+                    for f, n in own.items():
+                        used[f, y, k] += n
+                yield pd.DataFrame([(f, y, k, n, used[f, y, k]) for (f, y, k), n in held.items()], columns=["f", "y", "fold", "docs", "uses"])
+
+    counts = rows.mapInPandas(tally, "f string, y int, fold int, docs long, uses long")
+    sums = [F.sum(F.when((F.col("y") == int(c[4])) & (F.col("fold") == int(c[6:])), F.col(c[:4])).otherwise(0)).alias(c) for c in names]
+    counts = B.materialize(counts.groupBy("f").agg(*sums), "tokens")
+    whole = next(iter(counts.filter("f = ''").collect()), None)
+    if not whole or not all(sum(whole[f"docs{y}_{k}"] for k in range(FOLDS)) for y in (0, 1)):
         return ToxicModel()
-    n1, n0 = sizes["toxic"], sizes["clean"]
-    prior = min(200.0, prior * (n1 + n0))
-    tell = counts.filter((F.col("f") != "") & (F.col("toxic") >= 5) & (F.col("toxic") * n0 > F.lit(2) * F.col("clean") * n1)).toPandas()
-    model = ToxicModel()
-    for f, clean, toxic in zip(tell["f"], tell["clean"], tell["toxic"]):
-        delta, z = log_odds(toxic, clean, n1, n0, prior)
-        if z >= least_z and delta >= least_odds:
-            model.scores[f] = delta
-    stems = sorted(f for f in model.scores if f.endswith("*"))
-    if stems:  # what only shares a stem with toxic words speaks for itself
-        stem = F.explode(F.array(*(F.concat(F.substring("f", 1, k), F.lit("*")) for k in STEMS)))
-        own = counts.withColumn("stem", stem).filter("f != stem").join(F.broadcast(counts.sparkSession.createDataFrame([(x,) for x in stems], "stem string")), "stem", "left_semi")
-        for f, clean, toxic in own.select("f", "clean", "toxic").distinct().collect():
-            delta, _ = log_odds(toxic, clean, n1, n0, prior)
-            model.scores.setdefault(f, delta if delta >= 1 else model.rest)
+    docs0, docs1 = ("(" + " + ".join(f"docs{y}_{k}" for k in range(FOLDS)) + ")" for y in (0, 1))
+    share = sum(whole[f"docs1_{k}"] for k in range(FOLDS)) / max(1, sum(whole[f"docs0_{k}"] for k in range(FOLDS)))
+    tell = counts.filter((F.col("f") != "") & F.expr(f"{docs1} >= {least_docs} and {docs1} > {share} * {docs0}"))
+    stem = F.explode(F.array(*(F.concat(F.substring("f", 1, k), F.lit("*")) for k in STEMS)))
+    stems = tell.filter(F.endswith("f", F.lit("*"))).select(F.col("f").alias("stem"))  # what shares one speaks for itself
+    akin = counts.filter(F.expr(f"{docs0} + {docs1} >= 5")).withColumn("stem", stem).filter("f != stem").join(stems, "stem", "left_semi").drop("stem")
+    table = tell.unionByName(akin).distinct().orderBy("f").toPandas()
+    features_of = table["f"].tolist()
+    cells = {what: np.stack([np.stack([table[f"{what}{y}_{k}"].to_numpy(float) for y in (0, 1)], axis=1) for k in range(FOLDS)]) for what in ("docs", "uses")}
+    alls = {what: np.array([[whole[f"{what}{y}_{k}"] for y in (0, 1)] for k in range(FOLDS)], float) for what in ("docs", "uses")}
+
+    def without(fold: int | None) -> ToxicModel:
+        own = [k for k in range(FOLDS) if k != fold]
+        t = Tally(*(cells[w][own].sum(axis=0) for w in ("docs", "uses")), *(alls[w][own].sum(axis=0) for w in ("docs", "uses")))
+        return ToxicModel(learned(features_of, t, least_z, least_odds, least_docs, prior))
+
+    parts = [without(k) for k in range(FOLDS)]
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for y, text in zip(b["y"], b["text"]):
-                s = model.token_scores(text)[1]
-                out.append((int(y), len(s), max((x for *_, x in segments(s)), default=0.0)))
-            yield pd.DataFrame(out, columns=["y", "m", "top"])
+            for y, k, text in zip(b["y"], b["fold"], b["text"]):
+                s = parts[k].token_scores(text)[1]
+                out.append((int(y), len(s), [x for *_, x in segments(s) if x >= 1]))
+            yield pd.DataFrame(out, columns=["y", "m", "tops"])
 
-    found = rows.mapInPandas(weigh, "y int, m long, top double").toPandas()
+    found = rows.mapInPandas(weigh, "y int, m long, tops array<double>").toPandas()
+    model = without(None)
     clean = found[found["y"] == 0]
     # Gumbel tail with decay 1, as for any likelihood ratio: K m exp(-S) clean segments of score S or more.
-    model.log_k = math.log((clean["top"] >= tail).sum() + 1) + tail - math.log(clean["m"].sum() + 1)
-    found["evidence"] = [0.0 if e > 0.05 else -math.log10(max(e, 1e-300)) for e in np.exp(np.minimum(50, model.log_k + np.log(np.maximum(1, found["m"])) - found["top"]))]
-    model.curve = logistic(found["evidence"].to_numpy(), found["y"].to_numpy(np.float64))
+    model.log_k = math.log(sum((t >= tail).sum() for t in map(np.asarray, clean["tops"])) + 1) + tail - math.log(clean["m"].sum() + 1)
+    evidence = [model.summed(model.expected(np.asarray(t, float), m)) for t, m in zip(found["tops"], found["m"])]
+    model.curve = logistic(np.array(evidence), found["y"].to_numpy(np.float64))
     return model
 
 
