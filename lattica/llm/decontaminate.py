@@ -7,146 +7,286 @@ benchmark, and the overlap around each hit is verified token by token.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _base as B
 from . import spans
 
 #: Positions that count; no two masks ignore the same ones.
-MASKS = ("1111111", "110110111", "11010011011", "1100101110001")
-#: Seeds of benchmark items held by a worker at a time; a larger benchmark is searched in blocks.
-BLOCK_SEEDS = 400_000
-
-
-class SeedIndex:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[object, list[str]]], least: float = 0.5, identity: float = 0.75, least_tokens: int = 8):
-        self.items = [(i, t) for i, t in items if t]
-        self.vocab = spans.Vocabulary([t for _, t in self.items])
-        self.numbers = [np.array([self.vocab.ids[t] for t in toks], np.int64) for _, toks in self.items]
-        self.least, self.identity, self.least_tokens = least, identity, least_tokens
-        self.masks = [np.nonzero([c == "1" for c in m])[0] for m in MASKS]
-        short = {len(n) for n in self.numbers if len(n) < max(map(len, MASKS))}
-        self.masks += [np.arange(n) for n in sorted(short)]  # items shorter than a mask match as a whole
-        self.gap = max([int(m[-1]) for m in self.masks], default=0) + 1
-        self.index = [self._index(m) for m in self.masks]
-
-    def _index(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, who, where = [], [], []
-        for k, n in enumerate(self.numbers):
-            h, at = self.seeds(n, mask)
-            keys.append(h), who.append(np.full(len(at), k)), where.append(at)
-        if not keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        keys, who, where = map(np.concatenate, (keys, who, where))
-        order = np.argsort(keys, kind="stable")
-        return keys[order], who[order], where[order]
-
-    def seeds(self, n: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the windows of which every counted token is known."""
-        size = len(n) - int(mask[-1])
-        if size <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        known = n > 0
-        ok = known[mask[0] : mask[0] + size].copy()
-        for o in mask[1:]:
-            ok &= known[o : o + size]
-        at = np.nonzero(ok)[0]
-        h = np.zeros(len(at), np.uint64)
-        for o in mask:
-            h = (h ^ self.vocab.codes[n[at + o]]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h, at
-
-    def verify(self, doc: np.ndarray, k: int, shift: int) -> tuple[int, int, int] | None:
-        """Matched tokens, start and end of the overlap on one diagonal, if it is enough of the item."""
-        item = self.numbers[k]
-        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-        same = doc[lo + shift : hi + shift] == item[lo:hi]
-        cost = np.where(same, 1.0, -self.identity / (1 - self.identity))
-        total = np.concatenate(([0.0], np.cumsum(cost)))
-        gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        start = int(total[: end + 1].argmin())
-        matched = int(same[start:end].sum())
-        if matched < min(len(item), max(self.least_tokens, self.least * len(item))):
-            return None
-        return matched, lo + shift + start, lo + shift + end
-
-    def find(self, texts: list[str | None]) -> Iterator[list[tuple]]:
-        """For each text its overlaps: item, matched tokens, tokens of the item, start and end token."""
-        for at, end in spans.batches(texts):
-            docs = self.vocab.number(texts[at:end])
-            flat, starts = spans.joined(docs, self.gap)
-            hits: dict[int, set[tuple[int, int]]] = {}
-            for mask, (keys, who, where) in zip(self.masks, self.index):
-                h, pos = self.seeds(flat, mask)
-                lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-                for i in np.nonzero(hi > lo)[0]:
-                    d = int(np.searchsorted(starts, pos[i], "right")) - 1
-                    for j in range(lo[i], hi[i]):
-                        hits.setdefault(d, set()).add((int(who[j]), int(pos[i] - starts[d] - where[j])))
+MASKS = ("111111", "11011011", "110100111", "1100101011")
+LONGEST = max(map(len, MASKS))
+#: Bits of the filters that documents are probed with; their size does not grow with the benchmark.
+FILTER_BITS = 24
+#: An overlap holds at least this part of the item, this part of its own span, and so many tokens.
+LEAST, IDENTITY, LEAST_TOKENS = 0.5, 0.75, 8
+#: So many matched tokens are enough whatever the item's length.
+ENOUGH = 50
+#: Diagonals so near each other may be one passage with words put in or left out, if each holds PIECE matched tokens.
+NEAR, PIECE = 8, 6
+MEMO_WORDS = 300_000
+#: Digests of contaminated texts that are broadcast at most, 16 bytes each.
+KEYS = 1_000_000
+OTHER = 1  # code of every token that the benchmark does not hold
+
+
+def code_of(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) | 2
+
+
+def window_seeds(codes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the windows of which every counted token is one of the benchmark's."""
+    size = len(codes) - int(mask[-1])
+    if size <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    known = codes > OTHER
+    ok = known[mask[0] : mask[0] + size].copy()
+    for o in mask[1:]:
+        ok &= known[o : o + size]
+    at = np.nonzero(ok)[0]
+    h = np.full(len(at), int(mask[-1]), np.uint64)
+    for o in mask:
+        h = (h ^ codes[at + o]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h, at
+
+
+def masks_for(lengths: set[int]) -> list[np.ndarray]:
+    """The masks, and one for each length of an item too short for the longest of them, which matches as a whole."""
+    return [np.nonzero([c == "1" for c in m])[0] for m in MASKS] + [np.arange(n) for n in sorted(lengths)]
+
+
+class Filter:
+    """Bits of a set of 64-bit hashes: a hash of the set always passes, another one seldom."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def spots(h: Column) -> list[Column]:
+        return [F.shiftrightunsigned(h, 64 - FILTER_BITS), F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))]
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Filter:
+        """The filter of a column h; the bits are set in Spark, at most 2^FILTER_BITS / 64 words come back."""
+        spot = hashes.select(F.explode(F.array(*cls.spots(F.col("h")))).alias("s"))
+        found = spot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
+        words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        return cls(words)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for spot in (h >> np.uint64(64 - FILTER_BITS), (h >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)):
+            out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+class Probe:
+    """Looks for hits of the benchmark's seeds in documents; its size does not grow with the benchmark."""
+
+    def __init__(self, masks: list[np.ndarray], longest: int, tokens: Filter, seeds: Filter):
+        self.masks, self.longest, self.tokens, self.seeds, self.memo = masks, longest, tokens, seeds, {}
+
+    def number(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Codes of each text's tokens; chunks without letters or digits are left out."""
+        split = [(t or "").split() for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            self.memo = {}
+            new = set(chain.from_iterable(split))
+        named = {c: n for c in new if (n := spans.normal(c))}
+        codes = np.fromiter(map(code_of, named.values()), np.uint64, len(named))
+        self.memo.update(dict.fromkeys(new, 0))
+        self.memo.update(zip(named, np.where(self.tokens.has(codes), codes, np.uint64(OTHER)).tolist()))
+        found = (np.fromiter(map(self.memo.__getitem__, x), np.uint64, len(x)) for x in split)
+        return [x[x > 0] for x in found]
+
+    def hits(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its hits' hashes and positions, and the codes about them."""
+        for lo, hi in spans.batches(texts):
+            docs = self.number(texts[lo:hi])
+            flat, starts = spans.joined([d.view(np.int64) for d in docs], LONGEST)
+            flat = flat.view(np.uint64)
+            own = [window_seeds(flat, m) for m in self.masks]
+            h, at = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+            passed = self.seeds.has(h)
+            h, at = h[passed], at[passed]
+            order = np.argsort(at, kind="stable")
+            h, at = h[order], at[order]
+            cut = np.searchsorted(at, starts)
             for d, doc in enumerate(docs):
-                best: dict[int, tuple[int, int, int]] = {}
-                for k, shift in hits.get(d, ()):
-                    if (v := self.verify(doc, k, shift)) and (k not in best or (-v[0], v[1]) < (-best[k][0], best[k][1])):
-                        best[k] = v
-                yield [(self.items[k][0], v[0], len(self.numbers[k]), v[1], v[2]) for k, v in sorted(best.items())]
+                pos = at[cut[d] : cut[d + 1]] - starts[d]
+                yield h[cut[d] : cut[d + 1]], pos, self.about(doc, pos)
 
+    def about(self, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """The document's codes with 0 where no hit is within an item's reach; nothing without hits."""
+        if not len(pos):
+            return doc[:0]
+        reach, edge = self.longest + NEAR, np.zeros(len(doc) + 1, np.int64)
+        np.add.at(edge, np.maximum(0, pos - reach), 1)
+        np.add.at(edge, np.minimum(len(doc), pos + reach), -1)
+        return np.where(np.cumsum(edge)[:-1] > 0, doc, np.uint64(0))
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[SeedIndex]:
-    """Indexes of all items, a bounded number of seeds each; rows with null or empty text match nothing."""
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-words * len(MASKS) // BLOCK_SEEDS))
-    for k in range(blocks):
-        own: list[Row] = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).distinct().orderBy("id", "text").collect()
-        if own:
-            yield SeedIndex([(r["id"], spans.tokens(r["text"])) for r in own])
 
+class Benchmark:
+    """A benchmark's items and seeds as tables, and the probe for them."""
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, matched, n_tokens, start_token, end_token: the best overlap of each document and item.
+    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
+        rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null and text is not null").distinct()
+        named = B.materialize(rows.withColumn("item", F.monotonically_increasing_id()), "items")
+
+        def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                codes = [np.array([code_of(t) for t in spans.tokens(x)], np.uint64).view(np.int64) for x in b["text"]]
+                yield pd.DataFrame({"item": b["item"], "codes": codes})
+
+        items = B.bounded_batches(named).select("item", "text").mapInPandas(coded, "item long, codes array<long>").filter("size(codes) > 0")
+        self.items = B.materialize(items.join(named.select("item", "item_id"), "item"), "codes")
+        size = F.size("codes")
+        found = self.items.agg(F.max(size).alias("longest"), F.collect_set(F.when(size < LONGEST, size)).alias("short")).first()
+        short = set(found["short"])
+
+        def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for item, codes in zip(b["item"], b["codes"]):
+                    own = [window_seeds(np.asarray(codes, np.int64).view(np.uint64), m) for m in masks_for(short & {len(codes)})]
+                    yield pd.DataFrame({"h": np.concatenate([h for h, _ in own]).view(np.int64), "item": item, "pos": np.concatenate([at for _, at in own])})
 
-    An overlap counts if at least half of the item's tokens (8 at least, or all of a shorter item) match in
-    place, three of four in its span. Null and empty texts overlap nothing; repeated rows give repeated
-    results; an empty benchmark gives none; other columns are ignored. Texts are not shuffled: each block
-    of the benchmark is searched in one pass over the documents.
+        self.seeds = B.materialize(self.items.select("item", "codes").mapInPandas(seeded, "h long, item long, pos long"), "seeds")
+        self.probe = Probe(masks_for(short), found["longest"] or 0, Filter.of(self.items.select(F.explode("codes").alias("h"))), Filter.of(self.seeds))
+
+
+def runs(codes: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """Starts and lengths of the stretches of codes that are not 0, and those codes."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], codes > 0, [0]))))
+    return edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), codes[codes > 0]
+
+
+def on_diagonal(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """Matched tokens, start and end in doc of the span with most of them of which IDENTITY match in place."""
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    if lo >= hi:
+        return None
+    same = doc[lo + shift : hi + shift] == item[lo:hi]
+    height = np.concatenate(([0.0], np.cumsum(same - IDENTITY)))
+    count = np.concatenate(([0], np.cumsum(same)))
+    lows = np.minimum.accumulate(height)  # the span to j starts best at the first height not above its own
+    first = np.searchsorted(-lows, -(height + 1e-9), side="left")
+    matched = count - count[np.minimum(first, np.arange(len(height)))]
+    end = int(matched.argmax())
+    if not matched[end]:
+        return None
+    start = int(first[end])
+    hits = np.flatnonzero(same[start:end])
+    return int(matched[end]), lo + shift + start + int(hits[0]), lo + shift + start + int(hits[-1]) + 1
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> tuple[int, int, int] | None:
+    """Matched tokens, start and end in doc of the best overlap, if it is enough of the item.
+
+    Best: most matched tokens, then the first. Spans on near diagonals add up where they follow one another.
     """
-    kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)["item_id"]
-    schema = f"`{id_col}` {kind}, item_id {item_kind}, matched long, n_tokens long, start_token long, end_token long"
-    names = [id_col, "item_id", "matched", "n_tokens", "start_token", "end_token"]
+    n = len(item)
+    pieces = sorted({(x[1], x[2], x[0], s) for s in shifts if (x := on_diagonal(doc, item, s))})
+    best, chains = None, []
+    for start, end, matched, shift in pieces:
+        whole, since = matched, start
+        if matched >= PIECE:
+            for begun, e, s, m, b in reversed(chains):
+                if start - begun > n + NEAR:
+                    break
+                if e <= start and e - s <= start - shift and abs(s - shift) <= NEAR and (m + matched, -b) > (whole, -since):
+                    whole, since = m + matched, b
+            chains.append((start, end, shift, whole, since))
+        if best is None or (whole, -since) > (best[0], -best[1]):
+            best = whole, since, end
+    if best is None or best[0] < min(n, max(LEAST_TOKENS, min(ENOUGH, LEAST * n))):
+        return None
+    return best
 
-    def search(index: SeedIndex):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in parts:
-                found = index.find(b.iloc[:, 1].tolist())
-                yield pd.DataFrame([(i, *x) for i, own in zip(b.iloc[:, 0], found) for x in own], columns=names)
 
-        return run
+def found_hits(docs: DataFrame, probe: Probe, id_col: str, text_col: str) -> DataFrame:
+    """A row for each document with hits: its id, a key of the row, hits, and the codes about them."""
+    kind = dict(docs.dtypes)[id_col]
 
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark):
-        out = out.unionByName(B.bounded_batches(docs).select(id_col, text_col).mapInPandas(search(index), schema))
-    return out
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            rows = []
+            for i, text_key, (h, pos, codes) in zip(b.iloc[:, 0], b.iloc[:, 1], probe.hits(b.iloc[:, 2].tolist())):
+                if len(h):
+                    starts, sizes, kept = runs(codes)
+                    rows.append((i, uuid.uuid4().bytes, text_key, h.view(np.int64), pos, starts, sizes, kept.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "row", "text_key", "hs", "ps", "starts", "sizes", "codes"])
 
+    text = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return B.materialize(B.bounded_batches(text).mapInPandas(run, f"id {kind}, row binary, text_key binary, hs array<long>, ps array<long>, starts array<long>, sizes array<long>, codes array<long>"), "hits")
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that overlap no item of the benchmark, with all their columns."""
 
-    def clean(index: SeedIndex):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in parts:
-                yield b[np.array([not own for own in index.find(b[text_col].tolist())], bool)]
+def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_key, item_id, matched, n_tokens, start_token, end_token of each document and item that overlap."""
+    bench = Benchmark(benchmark)
+    item_kind = dict(benchmark.dtypes)["item_id"]
+    hits = found_hits(docs, bench.probe, id_col, text_col)
+    kind = dict(hits.dtypes)["id"]
+    every = hits.select("row", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
+    places = bench.seeds.groupBy("h").agg(F.collect_list(F.struct("item", "pos")).alias("at"))
+    if B.small_enough(places):
+        joined = every.join(F.broadcast(places), "h")
+    else:  # a seed that many documents hold is sent to all tasks
+        often = every.groupBy("h").agg(F.count("*").alias("n"))
+        joined = B.skew_join(every, places.join(often, "h"), "h", "n", every.count())
+    pairs = joined.select("row", "p", F.explode("at").alias("at")).select("row", F.col("at.item").alias("item"), (F.col("p") - F.col("at.pos")).alias("shift"))
+    jobs = pairs.groupBy("row", "item").agg(F.collect_set("shift").alias("shifts"))
+    jobs = B.lookup_join(jobs, bench.items.withColumnRenamed("codes", "item_codes"), "item", rows=20_000)
 
-        return run
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, key, item, item_codes, shifts, starts, sizes, codes in zip(b["id"], b["text_key"], b["item_id"], b["item_codes"], b["shifts"], b["starts"], b["sizes"], b["codes"]):
+                doc, at = np.zeros(int(starts[-1] + sizes[-1]), np.int64), 0
+                for start, size in zip(starts, sizes):
+                    doc[start : start + size] = codes[at : at + size]
+                    at += size
+                if best := overlap(doc, np.asarray(item_codes, np.int64), np.asarray(shifts).tolist()):
+                    out.append((i, key, item, best[0], len(item_codes), best[1], best[2]))
+            yield pd.DataFrame(out, columns=["id", "text_key", "item_id", "matched", "n_tokens", "start_token", "end_token"])
 
-    for index in indexes(benchmark):
-        docs = B.bounded_batches(docs).mapInPandas(clean(index), docs.schema)
-    return docs
+    rows = jobs.join(hits.select("id", "row", "text_key", "starts", "sizes", "codes"), "row").select("id", "text_key", "item_id", "item_codes", "shifts", "starts", "sizes", "codes")
+    return rows.mapInPandas(run, f"id {kind}, text_key binary, item_id {item_kind}, matched long, n_tokens long, start_token long, end_token long")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, matched, n_tokens, start_token, end_token: the best overlap of each document and item.
+
+    An overlap counts if at least half of the item's tokens (8 at least, or all of a shorter item; 50 are enough)
+    match in place, three of four in its span; spans of near diagonals that follow one another count together. Of
+    overlaps with as many matched tokens the first is given. Items that share an id but not the text count
+    apart. Null and empty texts overlap nothing; repeated rows give repeated results; an empty
+    benchmark gives none; other columns are ignored. Texts are read once and not shuffled: only hits and the tokens
+    about them are.
+    """
+    found = verified(docs, benchmark, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "item_id", "matched", "n_tokens", "start_token", "end_token")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that overlap no item of the benchmark, with all their columns."""
+    found = B.materialize(verified(docs.select(F.lit(0).alias("id"), text_col), benchmark, "id", text_col).groupBy("text_key").agg(F.count("*").alias("n")), "contaminated")
+    keyed = docs.select(F.struct("*").alias("doc"), text_digest(F.col(text_col)).alias("text_key"))
+    if B.small_enough(found, KEYS):
+        return keyed.join(F.broadcast(found.select("text_key")), "text_key", "left_anti").select("doc.*")
+    hot = found.orderBy(F.desc("n"), "text_key").limit(B.HOT_KEYS).select("text_key")  # copies go before the shuffle
+    left = keyed.join(F.broadcast(hot), "text_key", "left_anti")
+    return left.join(found.select("text_key"), "text_key", "left_anti").select("doc.*")

@@ -350,17 +350,90 @@ def test_decontamination_on_documents(spark):
     assert want and got == want
 
 
-def test_substitutions_and_edges(spark, monkeypatch):
+def test_substitutions_and_edges(spark):
     item = [f"t{i}" for i in range(30)]
     sub = [("zz" if i % 6 == 3 else x) for i, x in enumerate(item)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "tiny item here"), (3, None), (4, ""), (1, " ".join(item))], "item_id long, text string")
     rows = [(1, "a b " + " ".join(sub) + " c"), (2, " ".join(item[:14])), (3, " ".join(item[5:22])), (4, "x Tiny, ITEM here! y"), (5, None), (6, ""), (7, "tiny item"), (None, " ".join(item)), (8, " ".join(item)), (8, " ".join(item))]
-    for block in (400_000, 40):
-        monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", block)
-        got = sorted((r["doc_id"] or 0, r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect())
-        assert got == [(0, 1, 30), (1, 1, 23), (3, 1, 17), (4, 2, 3), (8, 1, 30), (8, 1, 30)]
+    rows += [(9, "a " * 30_000 + " ".join(item) + " b" * 30_000)]
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect())
+    assert got == [(0, 1, 30), (1, 1, 25), (3, 1, 17), (4, 2, 3), (8, 1, 30), (8, 1, 30), (9, 1, 30)]
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [2, 5, 6, 7]
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == decontaminate.overlaps(docs(spark, []), bench).count() == 0
+    assert decontaminate.drop_contaminated(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_contaminated_texts_beyond_the_broadcast(spark, monkeypatch):
+    item = " ".join(f"t{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "KEYS", 0)
+    rows = [(i, f"a b {item} c") for i in range(40)] + [(i, f"a b {item} c {i}") for i in range(40, 60)] + [(60, "clean text"), (None, None)]
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [0, 60]
+
+
+def plain_overlap(doc, item):
+    """Seeds, spans of every diagonal with a hit, and chains of them, all by trying."""
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS] + ([list(range(len(item)))] if len(item) < 10 else [])
+    shifts = {p - q for m in masks for p in range(len(doc) - m[-1]) for q in range(len(item) - m[-1]) if all(doc[p + o] == item[q + o] for o in m)}
+    pieces = []
+    for s in shifts:
+        same = [0 <= k + s < len(doc) and doc[k + s] == item[k] for k in range(len(item))]
+        inside = [k for k in range(len(item)) if 0 <= k + s < len(doc)]
+        spans_of = [(sum(same[i : j + 1]), -j, i) for i in inside for j in range(i, inside[-1] + 1) if same[i] and same[j] and 4 * sum(same[i : j + 1]) >= 3 * (j - i + 1)]
+        if spans_of:
+            n, j, i = max(spans_of)
+            pieces.append((i + s, -j + s + 1, n, s))
+    best = {}
+    for x in sorted(pieces):
+        before = [best[y] for y in best if x[2] >= 6 and y[2] >= 6 and y[1] <= x[0] and y[1] - y[3] <= x[0] - x[3] and abs(y[3] - x[3]) <= 8]
+        best[x] = x[2] + max(before, default=0)
+    most = max(best.values(), default=0)
+    return most if most and most >= min(len(item), max(8, min(50, 0.5 * len(item)))) else None
+
+
+def test_overlaps_against_plain_python(spark):
+    rng = random.Random(21)
+    vocabulary = [f"t{i}" for i in range(40)]
+    bench = [(k, rng.choices(vocabulary, k=rng.choice([3, 7, 9, 12, 15, 30, 120]))) for k in range(24)]
+    rows = []
+    for i in range(120):
+        doc = rng.choices(vocabulary + ["zz"] * 20, k=rng.randrange(60))
+        for _ in range(rng.randrange(3)):
+            item = list(rng.choice(bench)[1])
+            for _ in range(rng.randrange(1 + len(item) // 3)):
+                k = rng.randrange(len(item))
+                item[k : k + rng.choice([0, 1, 1, 1, 1, 2])] = [rng.choice(vocabulary)]
+            at = rng.randrange(len(doc) + 1)
+            doc[at:at] = item[rng.randrange(5) :]
+        rows.append((i, doc))
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in bench], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.overlaps(docs(spark, [(i, " ".join(d)) for i, d in rows]), frame).collect()}
+    want = {(i, k): n for i, d in rows for k, t in bench if (n := plain_overlap(d, t))}
+    assert len(want) > 40 and got == want
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2, 0.25])
+def test_recall_under_substitutions(spark, rate):
+    """Items with some tokens replaced, of which at least three of four stay: nine of ten are found, and no clean text."""
+    rng = random.Random(int(100 * rate))
+    items = [(r["item_id"], spans.tokens(r["text"])) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rows = []
+    for i, t in items:
+        new = [f"new{rng.randrange(10**6)}" if rng.random() < rate else x for x in t]
+        if sum(a == b for a, b in zip(new, t)) >= 0.76 * len(t):
+            rows.append((i, " ".join(["before"] * 20 + new + ["after"] * 20)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert len({(i, i) for i, _ in rows} & got) >= 0.9 * len(rows)
+
+
+def test_passages_of_long_items_and_inserted_words(spark):
+    rng = random.Random(4)
+    item = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    third = item[:20] + ["put"] + item[20:40] + ["in", "here"] + item[40:60]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:60]))], "item_id long, text string")
+    rows = [(1, " ".join(item[40:100])), (2, " ".join(third)), (3, " ".join(item[60:100]))]
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()} == {(1, 1, 60), (2, 1, 60), (2, 2, 60)}
 
 
 # -- op7 -----------------------------------------------------------------------------------------
