@@ -74,12 +74,24 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return left.join(F.broadcast(right) if small_enough(right, rows) else right, key, how)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], n_col: str, total: int) -> DataFrame:
     """Inner join on a unique right key where a few keys may hold a large part of left.
 
     `right[n_col]` is the number of left rows with the key. Keys with at least total / HOT_KEYS
     rows number HOT_KEYS at most; those are broadcast, all others are shuffled.
     """
+    keys = [key] if isinstance(key, str) else key
     least = max(64, -(-total // HOT_KEYS))
     hot = F.broadcast(right.filter(F.col(n_col) >= least))
-    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n_col) < least), key))
+    return left.join(hot, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(n_col) < least), keys))
+
+
+def anti_join(left: DataFrame, keys: DataFrame, key: str, rows: int = 500_000) -> DataFrame:
+    """The rows of left without those of `keys` (key, n: how many rows have it), whatever part of left a key holds.
+
+    Up to `rows` digests are broadcast. Beyond that the most frequent ones are, so that they do not meet in one task.
+    """
+    if small_enough(keys, rows):
+        return left.join(F.broadcast(keys.select(key)), key, "left_anti")
+    hot = keys.orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key)
+    return left.join(F.broadcast(hot), key, "left_anti").join(keys.select(key), key, "left_anti")

@@ -33,7 +33,7 @@ ENOUGH = 50
 NEAR, PIECE = 8, 6
 MEMO_WORDS = 300_000
 #: Digests of contaminated texts that are broadcast at most, 16 bytes each.
-KEYS = 1_000_000
+KEYS = 500_000
 OTHER = 1  # code of every token that the benchmark does not hold
 
 
@@ -285,8 +285,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The documents that overlap no item of the benchmark, with all their columns."""
     found = B.materialize(verified(docs.select(F.lit(0).alias("id"), text_col), benchmark, "id", text_col).groupBy("text_key").agg(F.count("*").alias("n")), "contaminated")
     keyed = docs.select(F.struct("*").alias("doc"), text_digest(F.col(text_col)).alias("text_key"))
-    if B.small_enough(found, KEYS):
-        return keyed.join(F.broadcast(found.select("text_key")), "text_key", "left_anti").select("doc.*")
-    hot = found.orderBy(F.desc("n"), "text_key").limit(B.HOT_KEYS).select("text_key")  # copies go before the shuffle
-    left = keyed.join(F.broadcast(hot), "text_key", "left_anti")
-    return left.join(found.select("text_key"), "text_key", "left_anti").select("doc.*")
+    return B.anti_join(keyed, found, "text_key", KEYS).select("doc.*")

@@ -1,6 +1,7 @@
 """Near-duplicate documents by MinHash bands, odd sketches and exact confirmation.
 
-Equal shingle sets collapse into one node. Nodes whose MinHash samples agree in a band are candidates;
+Equal shingle sets collapse into one node, which has a number of its own, so that null and repeated ids link as
+others do. Nodes whose MinHash samples agree in a band are candidates;
 the parities of the samples, folded into a bitmap, estimate their similarity, and clearly lower ones
 go. Each bucket first links its members to its smallest node, so a group of copies costs its size and
 not its square; members that this leaves outside the bucket's main component are then held in memory, in bounded
@@ -17,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _base as B
@@ -28,9 +29,11 @@ SAMPLES = BANDS * ROWS
 LEAST_PERCENT = 80
 MEMO_WORDS = 200_000
 #: Members of one leader that one task compares at most, give or take chance.
-LEADER_PART = 2_000
+LEADER_PART = 250
 #: Shingles of a bucket's outsiders that one task holds, give or take one document and chance.
 HELD_SHINGLES = 1_000_000
+#: Members of a bucket that stream past one task's outsiders, give or take chance.
+STREAM_PART = 2_000
 #: Documents whose comparisons are broadcast to the scan of the texts; more of them are shuffled.
 JOB_ROWS = 50_000
 
@@ -110,7 +113,7 @@ def least_estimate(percent: int) -> float:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, digest of the shingle set (null if empty), n_shingles, bands and odd sketch (null below least_size)."""
+    """doc_id, row_key, digest of the shingle set (null if empty), n_shingles, bands and odd sketch (null below least_size)."""
     least = least_size(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +126,10 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
                     rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, len(s), None if m is None else band_keys(m), None if m is None else odd_sketch(m)))
                 out = pd.DataFrame(rows, columns=["digest", "n_shingles", "bands", "odd"])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
+                out.insert(1, "row_key", part["row_key"].to_numpy())
                 yield out
 
-    return docs.mapInPandas(run, "doc_id long, digest binary, n_shingles long, bands array<long>, odd binary")
+    return docs.mapInPandas(run, "doc_id long, row_key binary, digest binary, n_shingles long, bands array<long>, odd binary")
 
 
 def differing(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -159,34 +163,45 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def shown(docs: DataFrame, jobs: DataFrame, fields: str) -> DataFrame:
-    """The packed shingle set of every document in `jobs`, once for each of its jobs (structs of `fields`)."""
-    jobs = B.materialize(jobs.groupBy("doc_id").agg(F.collect_list("job").alias("jobs")), "jobs")
-    wanted = F.broadcast(jobs) if B.small_enough(jobs, JOB_ROWS) else jobs.hint("shuffle_hash")
+def shown(docs: DataFrame, sets: DataFrame, jobs: DataFrame, fields: str) -> DataFrame:
+    """The packed shingle set of every node in `jobs`, for each of its jobs (structs of `fields`).
+
+    A node's set is taken from any row with its row key; each task shows it once.
+    """
+    listed = jobs.groupBy("node").agg(F.collect_list("job").alias("jobs")).join(sets.select("node", "row_key", "n"), "node")
+    listed = B.materialize(listed, "jobs")
+    if B.small_enough(listed, JOB_ROWS):
+        texts = docs.join(F.broadcast(listed), "row_key")
+    else:
+        texts = B.skew_join(docs, listed, "row_key", "n", sets.agg(F.sum("n")).first()[0])
     names = [f.split()[0] for f in fields.split(", ")]
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[int] = set()
         for x in batches:
+            x = x[~x["node"].isin(done)].drop_duplicates("node")
+            done.update(x["node"])
             for lo in range(0, len(x), 200):
                 own = x.iloc[lo : lo + 200]
                 rows = []
-                for i, s, todo in zip(own["doc_id"], shingle_sets(own["text"].tolist()), own["jobs"]):
+                for i, s, todo in zip(own["node"], shingle_sets(own["text"].tolist()), own["jobs"]):
                     raw = packed(s)
                     rows += [(*(j[n] for n in names), i, raw) for j in todo]
                 yield pd.DataFrame(rows, columns=[*names, "node", "set"])
 
-    return docs.join(wanted, "doc_id").mapInPandas(sets, f"{fields}, node long, set binary")
+    return texts.select("node", "text", "jobs").mapInPandas(show, f"{fields}, node long, set binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets reach the threshold.
 
     A leader's set is sent once to each part of its members, which stream past it.
     """
-    leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PART).cast("int").alias("parts"))
+    leaders = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / LEADER_PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    lead = leaders.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a"), F.lit(True).alias("lead"))
-    jobs = lead.unionByName(pairs.join(leaders, "a").select(F.col("b").alias("doc_id"), part.alias("part"), "a", F.lit(False).alias("lead")))
+    lead = leaders.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a"), F.lit(True).alias("lead"))
+    led = B.skew_join(pairs, leaders, "a", "n", pairs.count())
+    jobs = lead.unionByName(led.select(F.col("b").alias("node"), part.alias("part"), "a", F.lit(False).alias("lead")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, None
@@ -204,7 +219,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                             out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    rows = shown(docs, jobs.select("doc_id", F.struct("a", "part", "lead").alias("job")), "a long, part int, lead boolean")
+    rows = shown(docs, sets, jobs.select("node", F.struct("a", "part", "lead").alias("job")), "a long, part int, lead boolean")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead")).mapInPandas(compare, "a long, b long").distinct()
 
 
@@ -232,110 +247,153 @@ class Held:
         return [(min(node, x), max(node, x)) for x in self.nodes[hit[first]].tolist()]
 
 
-def across(placed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def across(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components of a bucket: its outsiders against all its other members.
 
-    placed: band, key, node, n_shingles, component. Buckets of one component need nothing. The work
-    grows with outsiders times members of a bucket; rows sent grow with its members for each
-    HELD_SHINGLES of its outsiders, and rows returned with its members and the components they join.
+    placed: band, key, node, n_shingles, component. Buckets of one component need nothing. The outsiders are cut into
+    parts of HELD_SHINGLES and the members into streams of STREAM_PART; each part meets each stream in one group. The
+    work grows with outsiders times members of a bucket; rows sent grow with its members for each part of its
+    outsiders, and rows returned with its members and the components they join.
     """
     split = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     main = F.max_by(F.struct("component", "w"), F.struct("n", -F.col("component")))
-    buckets = split.groupBy("band", "key").agg(main.alias("main"), F.sum("w").alias("w"), F.count("*").alias("k")).filter("k > 1")
-    buckets = buckets.select("band", "key", F.col("main.component").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / HELD_SHINGLES).cast("int").alias("parts"))
-    rest = B.materialize(placed.join(buckets, ["band", "key"]), "mixed")
-    own = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    jobs = rest.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    jobs = jobs.select(F.col("node").alias("doc_id"), F.struct("band", "key", "part", "component", F.coalesce(F.col("own") == F.col("part"), F.lit(False)).alias("held")).alias("job"))
+    buckets = split.groupBy("band", "key").agg(main.alias("main"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    buckets = buckets.select("band", "key", "n", F.col("main.component").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / HELD_SHINGLES).cast("int").alias("parts"), F.ceil(F.col("n") / STREAM_PART).cast("int").alias("streams"))
+    rest = B.materialize(B.skew_join(placed, buckets, ["band", "key"], "n", placed.count()), "mixed")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = rest.filter("component != main").select("*", dealt("parts", 1).alias("part"), F.explode(every("streams")).alias("stream"), F.lit(True).alias("held"))
+    passing = rest.select("*", F.explode(every("parts")).alias("part"), dealt("streams", 2).alias("stream"), F.lit(False).alias("held"))
+    passing = passing.filter((F.col("component") == F.col("main")) | (dealt("parts", 1) != F.col("part")))
+    jobs = held.unionByName(passing).select("node", F.struct("band", "key", "part", "stream", "component", "held").alias("job"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, rows, held = None, [], None
+        at, rows, held, last = (0, 0, 0, 0), [], None, None
+
+        def complete() -> list[tuple[int, int]]:
+            """Once a group's outsiders are there, the links among them, which its first stream reports."""
+            nonlocal held
+            if held or not rows:
+                return []
+            held = Held(rows)
+            return [link for r in rows for link in held.links(*r, percent)] if at[3] == 0 else []
+
         for x in batches:
             out: set[tuple[int, int]] = set()
-            for band, key, part, component, is_held, node, raw in zip(x["band"], x["key"], x["part"], x["component"], x["held"], x["node"], x["set"]):
-                if at != (band, key, part):
-                    at, rows, held = (band, key, part), [], None
+            for band, key, part, stream, component, is_held, node, raw in zip(x["band"], x["key"], x["part"], x["stream"], x["component"], x["held"], x["node"], x["set"]):
+                if at != (band, key, part, stream):
+                    out.update(complete())
+                    at, rows, held, last = (band, key, part, stream), [], None, None
+                if last == node:  # another task showed it, too
+                    continue
+                last = node
                 if is_held:
                     rows.append((node, component, unpacked(raw)))
                 elif rows:
-                    if held is None:  # the outsiders are complete: they also meet each other
-                        held = Held(rows)
-                        out.update(link for r in rows for link in held.links(*r, percent))
+                    out.update(complete())
                     out.update(held.links(node, component, unpacked(raw), percent))
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
+        yield pd.DataFrame(sorted(complete()), columns=["a", "b"])
 
-    found = shown(docs, jobs, "band int, key long, part int, component long, held boolean")
-    return found.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", F.desc("held")).mapInPandas(compare, "a long, b long").distinct()
+    found = shown(docs, sets, jobs, "band int, key long, part int, stream int, component long, held boolean")
+    return found.repartition("band", "key", "part", "stream").sortWithinPartitions("band", "key", "part", "stream", F.desc("held"), "node").mapInPandas(compare, "a long, b long").distinct()
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined to a table with one row a key, whatever part of left a key holds."""
+    if B.small_enough(right):
+        return left.join(F.broadcast(right), key)
+    often = left.groupBy(key).agg(F.count("*").alias("__n"))
+    return B.skew_join(left, right.join(often, key), key, "__n", left.count()).drop("__n")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of the nodes that have a link.
 
     Labels fall to the smallest one among the neighbours' and then jump to their own label's label, so
-    the rounds grow with the logarithm of the longest path.
+    the rounds grow with the logarithm of the longest path. A hub's row is sent to its leaves, never they to it.
     """
     both = B.materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     label = B.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = both.join(label.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
+        near = hot_join(both, label.toDF("b", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
         low = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "other").alias("mid"), F.col("component").alias("old"))
-        jump = low.join(label.toDF("mid", "next"), "mid").select("node", F.least("mid", "next").alias("component"), "old")
+        jump = hot_join(low, label.toDF("mid", "next"), "mid").select("node", F.least("mid", "next").alias("component"), "old")
         new = B.materialize(jump, "labels")
         if not new.filter("component != old").limit(1).count():
             return new.select("node", "component")
         label = new.select("node", "component")
 
 
-def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for every input row.
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Digest of a row's id and text; rows that agree in both are one row's copies."""
+    return F.unhex(F.md5(F.concat_ws("\u0000", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary")))
 
-    Documents link if 100 * intersection >= percent * union of their shingle sets. A null or empty text has
-    an empty set and links with nothing. Repeated rows and copies share a component and keep their rows; a
-    null id is counted in but never names a component, so a component of null ids has a null component_id
-    and is not kept. Ties do not arise: the smallest id wins. Other columns are ignored.
-    """
+
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id and the component's number (null without words) of every row of (doc_id, text)."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"the bands are set for a similarity of {LEAST_PERCENT} % or more")
-    docs = B.bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = B.bounded_batches(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
     made = B.materialize(sketch(docs, percent), "sketches")
-    sets = B.materialize(made.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "sets")
-    nodes = B.materialize(made.filter("bands is not null").join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "nodes")
+    one = made.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row_key", "n_shingles", "bands", "odd")))
+    sets = B.materialize(one.withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = sets.filter("bands is not null").select("node", "n_shingles", "bands", "odd")
     spread = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    members = B.materialize(spread.join(shared.select("band", "key", "a"), ["band", "key"]), "members")
+    shared = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("__n")).filter("__n > 1")
+    members = B.materialize(B.skew_join(spread, shared, ["band", "key"], "__n", BANDS * nodes.count()).drop("__n"), "members")
     stars = B.materialize(promising(members.filter("a < node").select("a", F.col("node").alias("b")).distinct(), nodes, percent), "stars")
-    unique = docs.filter("doc_id is not null")
-    links = B.materialize(confirmed(stars, unique, percent), "star-links")
+    texts = docs.select("row_key", "text")
+    links = B.materialize(confirmed(stars, texts, sets, percent), "star-links")
     label = components(links)
 
     placed = members.join(label, "node", "left").select("band", "key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    more = B.materialize(across(placed, unique, percent), "more-links")
+    more = B.materialize(across(placed, texts, sets, percent), "more-links")
     if more.limit(1).count():
-        links = links.unionByName(more)
-        label = components(links)
+        label = components(links.unionByName(more))
+
+    own = label.join(sets.select("node", "least"), "node")
+    names = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = sets.join(hot_join(own.select("node", "component"), names, "component"), "node", "left")
+    named = named.select("digest", "n", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "node").alias("component"))
+    full = made.filter("digest is not null").select("doc_id", "row_key", "digest", "n_shingles")
+    out = B.skew_join(full, named, "digest", "n", made.count()).select("doc_id", "row_key", "n_shingles", "component_id", "component")
+    empty = made.filter("digest is null").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return out.unionByName(empty)
+
+
+def group(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for every input row.
 
-    named = sets.join(label, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id"))
-    full = made.filter("digest is not null").select("doc_id", "digest", "n_shingles")
-    out = B.skew_join(full, named, "digest", "n", made.count()).select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(made.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    Documents link if 100 * intersection >= percent * union of their shingle sets. A null or empty text has
+    an empty set and links with nothing. Repeated rows and copies share a component and keep their rows, and rows that
+    share an id are grouped by their own texts; a null id links as others do but never names a component, so a
+    component of null ids has a null component_id and is not kept. Ties do not arise: the smallest id wins. Other
+    columns are ignored.
+    """
+    found = grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent)
+    return found.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group, with all its columns: that of the smallest id.
+    """One document of each group, with all its columns: that of the smallest id, null ids last, then of the smallest digest.
 
-    Rows that share an id are one document only if their texts group them or have no words; of such rows that
-    of the smallest text hash stays. Rows without an id go.
+    Rows that share an id are documents of their own unless their texts group them. Of rows without words, those of
+    one id are one document, and those without an id stay. Of rows that agree in id and text one stays.
     """
-    key, named = "doc_id", docs.filter("doc_id is not null")
-    if not named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = group(named, percent).filter("kept").select("doc_id")
-    else:
-        key = "__row"
-        named = B.materialize(named.withColumn(key, F.monotonically_increasing_id()), "rows")
-        ids = named.select(key, F.struct("doc_id", F.xxhash64("text").alias("hash"), key).alias("order"))
-        found = group(named, percent, key).join(ids, key).withColumn("empty", F.col("n_shingles") == 0)
-        of = F.when(F.col("empty"), F.col("order.doc_id")).otherwise(F.col("component_id"))
-        kept = found.groupBy("empty", of.alias("of")).agg(F.min("order").alias("order")).select(F.col(f"order.{key}").alias(key))
-    kept = B.materialize(kept, "kept")
-    return named.join(F.broadcast(kept) if B.small_enough(kept, 10_000) else kept.hint("shuffle_hash"), key).select(*docs.columns)
+    found = B.materialize(grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent), "grouped")
+    wordless = F.col("component").isNull()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("order")
+    best = found.filter(~wordless).groupBy("component").agg(F.min(order).alias("best"))
+    rows = hot_join(found.filter(~wordless), best, "component").select("row_key", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+    blank = found.filter(wordless & F.col("doc_id").isNotNull())
+    first = blank.groupBy("doc_id").agg(F.min("row_key").alias("best"))
+    rows = rows.unionByName(hot_join(blank, first, "doc_id").select("row_key", (F.col("row_key") == F.col("best")).alias("stays")))
+    counted = B.materialize(rows.groupBy("row_key").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "decided")
+    keyed = docs.withColumn("__row_key", row_key(F.col("doc_id").cast("long"), F.col("text")))
+    named = counted.withColumnRenamed("row_key", "__row_key")
+    left = B.anti_join(keyed, named.select("__row_key", "n"), "__row_key")
+    twice = named.filter("stays")
+    if twice.limit(1).count():
+        left = left.unionByName(hot_join(keyed, twice.select("__row_key"), "__row_key").dropDuplicates(["__row_key"]))
+    return left.select(*docs.columns)

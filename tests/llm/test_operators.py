@@ -81,6 +81,52 @@ def test_near_dedup_against_all_pairs(spark, seed):
     assert got == brute_components(rows)
 
 
+def brute_rows(rows, percent=85):
+    """(n_shingles, component_id) of each row, whatever its id: rows link by their own texts."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        same = len(sets[i] & sets[j])
+        if same and 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+            a, b = group[i], group[j]
+            group = [min(a, b) if g in (a, b) else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return [(len(s), least.get(g)) for s, g in zip(sets, group)], group
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_null_and_repeated_ids_link_as_others(spark, monkeypatch, tight):
+    """Bridges through rows without an id, and different texts under one id; then with every part as small as can be."""
+    if tight:
+        for name, n in (("LEADER_PART", 2), ("STREAM_PART", 3), ("HELD_SHINGLES", 60), ("JOB_ROWS", 0)):
+            monkeypatch.setattr(near_dedup, name, n)
+        small = B.small_enough
+        monkeypatch.setattr(B, "small_enough", lambda df, rows=0: small(df, 0))
+        monkeypatch.setattr(B, "HOT_KEYS", 3)
+    rng = random.Random(31)
+    rows = near_copies(3, n=30, size=40)
+    rows = [(None if i % 4 == 1 else 7 if i % 4 == 2 else doc_id, t) for i, (doc_id, t) in enumerate(rows)]
+    rows += [(None, rows[0][1]), (7, rows[4][1]), (7, rows[4][1]), (None, None), (7, ""), (3, "a b"), (None, "A B")]
+    rng.shuffle(rows)
+    want, group = brute_rows(rows)
+    got = near_dedup.group(docs(spark, rows)).collect()
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=key)
+    left = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs(spark, rows), 85).collect()]
+    of = {}
+    for (i, t), g in zip(rows, group):
+        of.setdefault(g, []).append((i, t))
+    for own in of.values():  # one row of each group, of the smallest id
+        here = [x for x in left if x in own]
+        if shingles(own[0][1]):
+            assert len(here) == 1 and here[0][0] == min((i for i, _ in own if i is not None), default=None)
+        else:
+            assert len(here) == 1
+
+
 def test_near_dedup_on_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
     found = queries.op1_near_dedup(spark, DIR).collect()

@@ -37,7 +37,7 @@ def plain_survivors(rows, item):
     left = [(i, t) for i, t in rows if not ((c := base_counts(t))[0] < 10 or 100 * c[4] > 20 * c[0])]
     left = [(i, t) for i, t in left if not any(w in t for w in toxic)]
     names = brute_components([(i, t) for i, t in left if i is not None])
-    left = [(i, t) for i, t in left if i is not None and names[i][1] == i]
+    left = [(i, t) for i, t in left if i is None or names[i][1] == i]  # no text without an id has a copy here
     return {i: t for i, t in left if item not in t}
 
 
