@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame expressions only.
 
-Each rule rejects a text whose metric reaches a cutoff. Cutoffs come from labelled documents: for every
-stratum and rule the exact binomial tail tests whether a cutoff rejects more than its share of good
-documents; cutoffs are tested from the mildest to the strictest until one fails, and the error level
-is divided among strata and rules. With probability 1 - delta no stratum loses more than alpha of its
-good documents to the rules.
+Each rule rejects a text whose metric reaches a cutoff. Cutoffs come from labelled documents. Every set of rules is a
+path: at each step, from mild to strict, all its rules take their next cutoffs together, and the exact binomial tail
+tests whether what they reject together is more than its share of good documents, until a test fails. The error level
+is divided among strata and paths, and the best certified step of a stratum is taken: with probability 1 - delta no
+stratum loses more than alpha of its good documents to the rules.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ GRID = {
     "dup_line_ratio": [round(0.05 + 0.04 * i, 4) for i in range(24)],
     "repeat_ratio": [round(0.01 + 0.008 * i, 4) for i in range(24)],
 }
+STEPS = 24
+#: All sets of rules, by their positions in GRID. Fixed beforehand, as the grid is.
+PATHS = [p for k in range(1, len(GRID) + 1) for p in combinations(range(len(GRID)), k)]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -95,40 +100,59 @@ def ln_gamma(x: Column) -> Column:
     return F.lit(0.9189385332046727) + (z + 0.5) * F.ln(z + 7.5) - (z + 7.5) + F.ln(series)
 
 
-def binomial_tail(k: Column, n: Column, p: Column, most: int = 100_000) -> Column:
-    """P(Binomial(n, p) <= k) for k < n p, else 1; terms past `most` are bounded from above."""
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(Binomial(n, p) <= k) for k < n p, else 1: the terms from k downwards, to ten standard deviations.
+
+    What lies below is less than 1e-20 of the sum.
+    """
     log_top = ln_gamma(n + 1.0) - ln_gamma(k + 1.0) - ln_gamma(n - k + 1.0) + k * F.ln(p) + (n - k) * F.ln(1 - p)
     ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)  # noqa: E731  term i-1 over term i
-    steps = F.when(k >= 1, F.sequence(F.lit(0), F.least(k - 1, F.lit(most)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    far = 10 * F.sqrt(n * p * (1 - p)) + 100
+    steps = F.when((k >= 1) & (k < n * p), F.sequence(F.lit(0), F.least(k - 1, far).cast("int"))).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
     total = F.aggregate(steps, start, lambda a, i: F.struct((a["term"] * ratio(k - i)).alias("term"), (a["sum"] + a["term"] * ratio(k - i)).alias("sum")))
-    rest = F.when(k > most, total["term"] / (1 - ratio(k - F.lit(most)))).otherwise(F.lit(0.0))
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_top) * (total["sum"] + rest)))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_top) * total["sum"]))
+
+
+def trials(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, quality, levels (of each rule the number of cutoffs reached): one row for each id, then for each text.
+
+    Of an id's texts the one of smallest digest counts, and the highest of its labels; so copies and repeated rows
+    are one trial.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    reached = lambda metric, grid: F.aggregate(F.array(*map(F.lit, grid)), F.lit(0), lambda a, c: a + (metric >= c).cast("int"))
+    level = [reached(F.col(r), g) for r, g in GRID.items()]
+    rows = measured.filter("not base_failed and doc_id is not null").select("doc_id", "text_key", F.struct("stratum", F.array(*level).alias("levels")).alias("x"))
+    own = lambda df, *more: df.groupBy("doc_id", *more).agg(F.min("text_key").alias("text_key"), F.min_by("x", "text_key").alias("x"))
+    few = B.small_enough(known)
+    one = own(rows.join(F.broadcast(known), "doc_id"), "quality") if few else own(rows).join(known, "doc_id")
+    return one.groupBy("x.stratum", "text_key").agg(F.max("quality").alias("quality"), F.first("x.levels").alias("levels")).select("stratum", "quality", "levels")
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, gain: float = 0.99) -> DataFrame:
-    """One row a stratum: stratum and, for each rule, its cutoff or null where none is certified.
+    """One row a stratum with a certified step: stratum and, for each rule, its cutoff or null where it takes no part.
 
-    measured: doc_id, stratum, base_failed and the metrics. labels: doc_id, quality (null teaches
-    nothing). Of the certified cutoffs the mildest one is taken that catches `gain` of the bad documents
-    which the strictest certified one catches.
+    measured: doc_id, text_key, stratum, base_failed and the metrics. labels: doc_id, quality (null teaches
+    nothing). Of the certified steps that catch `gain` of the bad documents which the best one catches, that is
+    taken which loses fewest good ones, then the mildest, then the first path.
     """
-    good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = measured.filter("not base_failed").join(good, "doc_id")
-    level_of = lambda metric, grid: F.aggregate(F.array(*map(F.lit, grid)), F.lit(0), lambda a, c: a + (metric >= c).cast("int"))
-    level = [F.struct(F.lit(r).alias("rule"), level_of(F.col(r), g).alias("level")) for r, g in GRID.items()]
-    tally = held.select("stratum", "quality", F.explode(F.array(*level)).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
-    grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("level"), F.lit(c).alias("cutoff")) for r, g in GRID.items() for i, c in enumerate(g)))
-    strata = tally.select("stratum").distinct()
-    cells = strata.select("stratum", F.explode(grid).alias("g")).select("stratum", "g.*").join(tally, ["stratum", "rule", "level"], "full_outer").na.fill(0, ["good", "bad"])
-    whole = Window.partitionBy("stratum", "rule")
+    level_on = lambda path: F.greatest(*(F.col("levels")[i] for i in path), F.lit(0))
+    spots = F.array(*(F.struct(F.lit(k).alias("path"), level_on(p).alias("level")) for k, p in enumerate(PATHS)))
+    good, bad = (F.sum((F.col("quality") == q).cast("long")).alias(n) for q, n in ((1, "good"), (0, "bad")))
+    tally = B.materialize(trials(measured, labels).select("stratum", "quality", F.explode(spots).alias("x")).groupBy("stratum", "x.path", "x.level").agg(good, bad), "tally")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(STEPS)))
+    cells = tally.select("stratum", "path").distinct().select("stratum", "path", grid.alias("level")).join(tally, ["stratum", "path", "level"], "left").na.fill(0, ["good", "bad"])
+    whole = Window.partitionBy("stratum", "path")
     down = whole.orderBy(F.desc("level"))
-    tests = F.greatest(F.lit(1), F.size(F.collect_set("stratum").over(Window.partitionBy("rule")))) * len(GRID)
-    own = cells.select("*", F.sum("good").over(whole).alias("n"), F.sum("good").over(down).alias("k"), F.sum("bad").over(down).alias("caught"), tests.alias("tests")).filter("level > 0")
-    passed = own.withColumn("ok", (binomial_tail(F.col("k").cast("double"), F.col("n").cast("double"), F.lit(alpha / len(GRID))) <= F.lit(delta) / F.col("tests")) & (F.col("n") > 0))
-    certified = passed.withColumn("ok", F.min("ok").over(down)).filter("ok").withColumn("best", F.max("caught").over(whole))
-    chosen = certified.filter((F.col("caught") > 0) & (F.col("caught") >= gain * F.col("best"))).groupBy("stratum").pivot("rule", list(GRID)).agg(F.max("cutoff"))
-    return chosen.select("stratum", *(F.col(r).alias(f"{r}_cutoff") for r in GRID))
+    tests = tally.agg((F.greatest(F.countDistinct("stratum"), F.lit(1)) * len(PATHS)).alias("tests"))
+    own = cells.select("*", F.sum("good").over(whole).alias("n"), F.sum("good").over(down).alias("k"), F.sum("bad").over(down).alias("caught")).filter("level > 0").crossJoin(F.broadcast(tests))
+    passed = own.withColumn("ok", (binomial_tail(F.col("k").cast("double"), F.col("n").cast("double"), F.lit(alpha)) <= F.lit(delta) / F.col("tests")) & (F.col("n") > 0))
+    certified = passed.withColumn("ok", F.min("ok").over(down)).filter("ok and caught > 0").withColumn("best", F.max("caught").over(Window.partitionBy("stratum")))
+    chosen = certified.filter(F.col("caught") >= gain * F.col("best")).groupBy("stratum").agg(F.min_by(F.struct("path", "level"), F.struct("k", -F.col("level"), "path")).alias("x"))
+    takes = F.element_at(F.array(*(F.array(*(F.lit(i in p) for i in range(len(GRID)))) for p in PATHS)), F.col("x.path") + 1)
+    cutoff = lambda i, g: F.when(takes[i], F.element_at(F.array(*map(F.lit, g)), F.col("x.level")))
+    return chosen.select("stratum", *(cutoff(i, g).alias(f"{r}_cutoff") for i, (r, g) in enumerate(GRID.items())))
 
 
 def stratum(lang: Column) -> Column:
@@ -143,8 +167,11 @@ def verdict() -> Column:
     return ~(F.col("base_failed") | hit)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), stratum(F.col(lang_col)).alias("stratum"), measures(F.col(text_col)).alias("m")).select("doc_id", "stratum", "m.*")
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """doc_id, stratum, text_key, the counts and metrics of every row[, and the row as it is]."""
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key")
+    own = docs.select(F.col(id_col).alias("doc_id"), stratum(F.col(lang_col)).alias("stratum"), key, measures(F.col(text_col)).alias("m"), *([F.struct("*").alias("row")] if whole else []))
+    return own.select("doc_id", "stratum", "text_key", "m.*", *(["row"] if whole else []))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,7 +179,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails the base; a null lang is a stratum of its own; a null
     or repeated doc_id is judged by its own text (labels of a null id teach nothing, of several labels
-    of one id the highest counts). Without enough labels no cutoff is certified and only the base
+    of one id or one text the highest counts). Without enough labels no cutoff is certified and only the base
     rejects. Other columns are ignored.
     """
     measured = B.materialize(measure(docs), "measures")
@@ -162,8 +189,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that `judge` keeps, with all their columns. Texts are measured twice and never shuffled."""
-    cutoffs = B.materialize(fit_cutoffs(B.materialize(measure(docs), "measures"), labels), "cutoffs")
+    """The documents that `judge` keeps, with all their columns. Texts are measured once, written with their measures, and never shuffled."""
+    measured = B.materialize(measure(docs, whole=True), "measures")
+    cutoffs = B.materialize(fit_cutoffs(measured, labels), "cutoffs")
     right = F.broadcast(cutoffs) if B.small_enough(cutoffs, 10_000) else cutoffs
-    rows = docs.select(F.struct("*").alias("row"), stratum(docs["lang"]).alias("stratum"), measures(docs["text"]).alias("m")).select("row", "stratum", "m.*")
-    return rows.join(right, "stratum", "left").filter(verdict()).select("row.*")
+    return measured.join(right, "stratum", "left").filter(verdict()).select("row.*")

@@ -75,27 +75,34 @@ SELECT s.doc_id AS doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id,
 def op7_sql(alpha: float = 0.05, delta: float = 0.05, gain: float = 0.99) -> str:
     part = lambda a, b: f"CAST({a} AS DOUBLE) / greatest({b}, 1)"
     metrics = {"symbol_ratio": part("n_symbols", "word_chars"), "upper_ratio": part("n_upper", "word_chars"), "mark_ratio": part("n_marks", "n_words"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words")}
-    grid = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, own in quality.GRID.items() for c in own)
     rows = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {m} AS v FROM base" for r, m in metrics.items())
-    p, rules = alpha / len(quality.GRID), len(quality.GRID)
+    rules = list(quality.GRID)
+    paths = ", ".join(f"({k}, '{rules[i]}')" for k, p in enumerate(quality.PATHS) for i in p)
+    cut = ", ".join(f"('{r}', {level}, CAST({c} AS DOUBLE))" for r, own in quality.GRID.items() for level, c in enumerate(own, 1))
     return rf"""WITH w AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY doc_id),
-ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM w),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM w),
 base AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w JOIN ln ON ln.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
 fail AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 long AS ({rows}),
-lab AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT stratum, rule, v, q FROM long JOIN lab USING (doc_id) JOIN fail f USING (doc_id, stratum) WHERE NOT base_failed),
-grid(rule, cut) AS (VALUES {grid}),
-cell AS (SELECT stratum, g.rule, cut, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND v >= cut) AS k, count(*) FILTER (q = 0 AND v >= cut) AS caught FROM held JOIN grid g USING (rule) GROUP BY ALL),
-test AS (SELECT *, n > 0 AND k < n * {p} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {delta} / ({rules} * (SELECT count(DISTINCT stratum) FROM held)) AS ok FROM cell),
-cert AS (SELECT * FROM test QUALIFY bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY cut DESC)),
-best AS (SELECT *, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM cert),
-cutoff AS (SELECT stratum, rule, max(cut) AS cut FROM best WHERE caught > 0 AND caught >= {gain} * most GROUP BY ALL),
+lab AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+grid(rule, level, cut) AS (VALUES {cut}),
+path(path, rule) AS (VALUES {paths}),
+one AS (SELECT doc_id, stratum, md5(t) AS text_key, q FROM fail JOIN w USING (doc_id, stratum) JOIN lab USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY md5(t)) = 1),
+trial AS (SELECT min(doc_id) AS doc_id, stratum, max(q) AS q FROM one GROUP BY stratum, text_key),
+lev AS (SELECT doc_id, stratum, q, g.rule, count(*) FILTER (v >= cut) AS level FROM trial JOIN long USING (doc_id, stratum) JOIN grid g USING (rule) GROUP BY ALL),
+onpath AS (SELECT doc_id, stratum, q, path, max(level) AS level FROM lev JOIN path USING (rule) GROUP BY ALL),
+cell AS (SELECT stratum, path, s.level AS level, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND p.level >= s.level) AS k, count(*) FILTER (q = 0 AND p.level >= s.level) AS caught FROM onpath p, (SELECT unnest(range(1, {quality.STEPS + 1})) AS level) s GROUP BY ALL),
+test AS (SELECT *, n > 0 AND k < n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) <= {delta} / ({len(quality.PATHS)} * (SELECT count(DISTINCT stratum) FROM trial)) AS ok FROM cell),
+cert AS (SELECT * FROM test QUALIFY bool_and(ok) OVER (PARTITION BY stratum, path ORDER BY level DESC)),
+best AS (SELECT *, max(caught) OVER (PARTITION BY stratum) AS most FROM cert WHERE caught > 0),
+pick AS (SELECT stratum, path, level FROM best WHERE caught >= {gain} * most QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY k, level DESC, path) = 1),
+cutoff AS (SELECT stratum, rule, cut FROM pick JOIN path USING (path) JOIN grid USING (rule, level)),
 hit AS (SELECT DISTINCT doc_id FROM long JOIN cutoff USING (stratum, rule) WHERE v >= cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM fail"""
 
