@@ -679,18 +679,14 @@ def preference_windows(s, d):
 # -- learned stages: rows only -----------------------------------------------------------------------
 
 
-def small_paths(s: SparkSession, d: str) -> DataFrame:
-    return walks.walks(graph(s, d), 6, 1)
-
-
 @query()
 def item_embeddings_sgns(s, d):
-    return embed.train_skipgram(walks.skipgram_pairs(small_paths(s, d)), 16, epochs=1, shards=4)
+    return embed.item_embeddings(graph(s, d))
 
 
 @query()
 def item_embeddings_word2vec(s, d):
-    return embed.word2vec(small_paths(s, d), 16)
+    return embed.word2vec(walks.walks(graph(s, d)))
 
 
 @query()

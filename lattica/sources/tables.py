@@ -14,7 +14,6 @@ from pyspark.sql.types import StructType
 
 #: Encodings tried in this order.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin1")
-SAMPLE_BYTES = 1 << 20
 COMMA = "⟐"
 
 
@@ -23,32 +22,63 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """The first encoding that decodes a bounded sample of the first file strictly.
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, file, start): the bytes of every line that is not blank, its file, and where its split of it starts.
 
-    A multi-byte character cut by the sample's end does not count against an encoding.
+    A line feed is no part of a longer character in any of the encodings, so large files stay splittable.
     """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE_BYTES).alias("c")).first()
-    if head is None:
-        return "utf-8"
-    raw = bytes(head["c"])
-    for e in encodings:
-        for cut in range(4 if len(raw) == SAMPLE_BYTES else 1):
-            try:
-                raw[: len(raw) - cut].decode(e)
-                return e
-            except UnicodeDecodeError:
-                continue
+    at = F.col("_metadata")
+    return spark.read.format("text").load(path).filter(F.trim("value") != "").select(F.col("value").cast("binary").alias("raw"), at["file_path"].alias("file"), at["file_block_start"].alias("start"))
+
+
+def survey(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[str, bool]:
+    """The first encoding that decodes every line strictly, and whether a quoted field may hold a line break.
+
+    One pass over all files; an odd number of quotes in a line says that its last field goes on in the next one.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fits, odd = [True] * len(encodings), False
+        for b in batches:
+            for raw in b["raw"]:
+                odd |= raw.count(b'"') % 2 == 1
+                if not raw.isascii():
+                    fits = [ok and decodes(raw, e) for ok, e in zip(fits, encodings)]
+        yield pd.DataFrame([[fits, odd]], columns=["fits", "odd"])
+
+    found = raw_lines(spark, path).select("raw").mapInPandas(look, "fits array<boolean>, odd boolean")
+    row = found.agg(F.max("odd").alias("odd"), *(F.min(F.get("fits", F.lit(i))).alias(f"e{i}") for i in range(len(encodings)))).first()
+    if row["odd"] is None:
+        return "utf-8", False
+    for i, e in enumerate(encodings):
+        if row[f"e{i}"]:
+            return e, row["odd"]
     raise ValueError(f"{path}: no encoding fits")
 
 
+def decodes(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
+    """The first encoding that decodes all files strictly."""
+    return survey(spark, path, encodings)[0]
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, encodings: Sequence[str] = ENCODINGS, **options: Any) -> DataFrame:
-    """CSV with a header in any of the encodings; all columns are strings unless a schema says otherwise."""
-    encoding = detect_encoding(spark, path, encodings)
+    """CSV with a header in any of the encodings; all columns are strings unless a schema says otherwise.
+
+    Quoted fields may hold line breaks; files that have any are read whole by one task each, others in splits.
+    """
+    encoding, broken = survey(spark, path, encodings)
     if encoding in ("cp949", "euc-kr"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "latin1": "ISO-8859-1"}.get(encoding, encoding)
-    reader = spark.read.options(header=True, encoding=java, quote='"', escape='"', multiLine=False, **options)
+    reader = spark.read.options(header=True, encoding=java, quote='"', escape='"', multiLine=broken, **options)
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
     return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
 
@@ -83,15 +113,11 @@ def from_records(spark: SparkSession, rows: list[dict] | dict | None, schema: St
 
 
 def protect_commas(line: str) -> str:
-    """Commas inside brackets become a placeholder; an opening bracket that never closes guards to the end."""
-    open_ = {"{": "}", "[": "]", "(": ")"}
-    waiting, out = [], []
+    """Commas inside brackets become a placeholder; any closing bracket ends the innermost open one."""
+    depth, out = 0, []
     for c in line:
-        if c in open_:
-            waiting.append(open_[c])
-        elif waiting and c == waiting[-1]:
-            waiting.pop()
-        out.append(COMMA if c == "," and waiting else c)
+        depth = depth + 1 if c in "{[(" else max(0, depth - 1) if c in "}])" else depth
+        out.append(COMMA if c == "," and depth else c)
     return "".join(out)
 
 
@@ -99,44 +125,46 @@ def read_tolerant_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """(rows, rejects) of a CSV whose unquoted fields may hold bracketed commas.
 
     A line with the header's number of fields is taken as it is; another one is parsed again with the
-    commas inside brackets protected; what still does not fit is rejected with its text.
+    commas inside brackets protected; what still does not fit is rejected with its text. Of each file the first
+    line is the header; a later line like it is a row.
     """
     encoding = detect_encoding(spark, path)
-    lines = spark.read.format("text").load(path).filter(F.trim("value") != "") if encoding.startswith("utf") else decoded_lines(spark, path, encoding)
-    head = lines.first()
+    lines = raw_lines(spark, path)
+    head = lines.filter("start = 0").first()
     if head is None:
         raise ValueError(f"{path} is empty")
-    names = [n.strip().strip('"') for n in head["value"].lstrip("﻿").split(",")]
-    body = lines.filter(F.col("value") != head["value"])
+    names = [n.strip().strip('"') for n in bytes(head["raw"]).decode(encoding, errors="ignore").lstrip("﻿").split(",")]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
 
+        begun = set()
         for b in batches:
             rows = []
-            for line in b["value"]:
+            for raw, file, start in zip(b["raw"], b["file"], b["start"]):
+                if start == 0 and file not in begun:
+                    begun.add(file)
+                    continue
+                line = raw.decode(encoding, errors="ignore")
                 fields = next(csv.reader([line]), [])
                 if len(fields) != len(names):
                     fields = [f.replace(COMMA, ",") for f in next(csv.reader([protect_commas(line)]), [])]
                 rows.append((fields if len(fields) == len(names) else None, line))
             yield pd.DataFrame(rows, columns=["fields", "line"])
 
-    parsed = body.mapInPandas(split, "fields array<string>, line string")
+    parsed = lines.mapInPandas(split, "fields array<string>, line string")
     good = parsed.filter("fields is not null").select(*(F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)))
     return good, parsed.filter("fields is null").select("line")
 
 
 def decoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of text files in an encoding that Spark's text reader does not take; one file is one task."""
+    """The lines (value) of text files in an encoding that Spark's text reader does not take, blank ones left out."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for raw in b["content"]:
-                lines = raw.decode(encoding, errors="ignore").splitlines()
-                for lo in range(0, len(lines), 10_000):
-                    yield pd.DataFrame({"value": [x for x in lines[lo : lo + 10_000] if x.strip()]})
+            yield pd.DataFrame({"value": [raw.decode(encoding, errors="ignore") for raw in b["raw"]]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "value string")
+    return raw_lines(spark, path).select("raw").mapInPandas(decode, "value string")
 
 
 def list_csv(spark: SparkSession, folder: str) -> list[str]:

@@ -18,6 +18,30 @@ def test_csv_encodings(spark, tmp_path, encoding):
     assert df.columns == ["content_id", "genre"] and [tuple(r) for r in df.collect()] == [("1", "드라마, 범죄"), ("2", None)]
 
 
+def test_encoding_of_a_late_line(spark, tmp_path):
+    """The only characters beyond ASCII stand behind more than a mebibyte, in the second file of a folder too."""
+    path = write(tmp_path / "late.csv", "content_id,title\n" + "".join(f"{i},{'x' * 60}\n" for i in range(25_000)) + "7,한글\n", "cp949")
+    assert tables.detect_encoding(spark, path) == "cp949"
+    assert [r[0] for r in tables.read_csv(spark, path).filter("content_id = '7'").select("title").collect()] == ["x" * 60, "한글"]
+    (tmp_path / "two").mkdir()
+    write(tmp_path / "two" / "a.csv", "content_id,title\n1,plain\n")
+    write(tmp_path / "two" / "b.csv", "content_id,title\n2,한글\n", "cp949")
+    assert tables.detect_encoding(spark, str(tmp_path / "two")) == "cp949"
+    with pytest.raises(ValueError):
+        tables.detect_encoding(spark, str(tmp_path / "two"), ("utf-8",))
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    df = tables.read_csv(spark, write(tmp_path / "q.csv", 'content_id,synopsis\n1,"one\ntwo, ""three"""\n2,plain\n'))
+    assert {tuple(r) for r in df.collect()} == {("1", 'one\ntwo, "three"'), ("2", "plain")}
+
+
+def test_tolerant_csv_keeps_rows_like_the_header(spark, tmp_path):
+    for encoding in ("utf-8-sig", "cp949"):
+        good, bad = tables.read_tolerant_csv(spark, write(tmp_path / f"{encoding}.csv", "id,z\n\n1,한\nid,z\n2,{a,b],c\n3,{a,b}\n", encoding))
+        assert {tuple(r) for r in good.collect()} == {("1", "한"), ("id", "z"), ("3", "{a,b}")} and [r[0] for r in bad.collect()] == ["2,{a,b],c"]
+
+
 def test_optional_and_fallback(spark, tmp_path):
     assert tables.read_optional(spark, str(tmp_path / "none.csv")) is None
     assert tables.read_optional(spark, write(tmp_path / "head.csv", "a,b\n")) is None
