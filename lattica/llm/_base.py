@@ -82,8 +82,11 @@ def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], n_col: st
     """
     keys = [key] if isinstance(key, str) else key
     least = max(64, -(-total // HOT_KEYS))
-    hot = F.broadcast(right.filter(F.col(n_col) >= least))
-    return left.join(hot, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(n_col) < least), keys))
+    rest = [c for c in right.columns if c not in keys]
+    hot = F.broadcast(right.filter(F.col(n_col) >= least).select(*keys, F.struct(*rest).alias("__hot"), F.lit(True).alias("__is_hot")))
+    marked = left.join(hot, keys, "left").withColumn("__is_hot", F.coalesce("__is_hot", F.lit(False)))
+    often = marked.filter("__is_hot").select(*keys, *(c for c in left.columns if c not in keys), *(F.col(f"__hot.{c}").alias(c) for c in rest))
+    return often.unionByName(marked.filter("not __is_hot").drop("__hot", "__is_hot").join(right.filter(F.col(n_col) < least), keys))
 
 
 def anti_join(left: DataFrame, keys: DataFrame, key: str, rows: int = 500_000) -> DataFrame:

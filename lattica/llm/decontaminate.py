@@ -31,7 +31,7 @@ LEAST, IDENTITY, LEAST_TOKENS = 0.5, 0.75, 8
 ENOUGH = 50
 #: Diagonals so near each other may be one passage with words put in or left out, if each holds PIECE matched tokens.
 NEAR, PIECE = 8, 6
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 #: Digests of contaminated texts that are broadcast at most, 16 bytes each.
 KEYS = 500_000
 OTHER = 1  # code of every token that the benchmark does not hold
@@ -111,7 +111,7 @@ class Probe:
 
     def hits(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its hits' hashes and positions, and the codes about them."""
-        for lo, hi in spans.batches(texts):
+        for lo, hi in spans.batches(texts, 500_000):
             docs = self.number(texts[lo:hi])
             flat, starts = spans.joined([d.view(np.int64) for d in docs], LONGEST)
             flat = flat.view(np.uint64)
@@ -241,7 +241,7 @@ def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str)
     hits = found_hits(docs, bench.probe, id_col, text_col)
     kind = dict(hits.dtypes)["id"]
     every = hits.select("row", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
-    places = bench.seeds.groupBy("h").agg(F.collect_list(F.struct("item", "pos")).alias("at"))
+    places = B.materialize(bench.seeds.groupBy("h").agg(F.collect_list(F.struct("item", "pos")).alias("at")), "places")
     if B.small_enough(places):
         joined = every.join(F.broadcast(places), "h")
     else:  # a seed that many documents hold is sent to all tasks

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from . import _base as B
 
+#: Hashed trigrams of a model, which takes four bytes for each of them and language: 256 kB a language.
 BUCKETS = 1 << 16
-#: Languages in a model at most, the most frequent first; bounds what is sent to the executors.
-MAX_LANGUAGES = 200
 _letters: np.ndarray | None = None
 
 
@@ -108,10 +107,10 @@ def infer(scores: np.ndarray, penalty: float = 0.5) -> tuple[np.ndarray, np.ndar
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 6_000, alpha: float = 0.05) -> LanguageModel:
     """Learn from at most about `max_docs_per_lang` documents of each language, drawn by a hash of the id.
 
-    Rows with null text or language teach nothing. Counts are hashed to BUCKETS for each language.
+    Rows with null text or language teach nothing. Every language of the rows is learned.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
@@ -119,18 +118,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = rows.join(keep, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("part") * 1_000_000).select("lang", "text")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {}
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
-                total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                total[lang] += np.bincount(grams(text)[0], minlength=BUCKETS)
-        for lang, n in total.items():
-            at = np.nonzero(n)[0]
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
+            for lang, own in b.groupby("lang")["text"]:
+                n = np.bincount(np.concatenate([grams(text)[0] for text in own]), minlength=BUCKETS)
+                at = np.nonzero(n)[0]
+                yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
     counts = B.bounded_batches(drawn).mapInPandas(tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    column = {lang: i for i, lang in enumerate(langs)}
     table = np.zeros((BUCKETS, len(langs)))
-    table[counts["bucket"].to_numpy(np.int64), [langs.index(x) for x in counts["lang"]]] = counts["n"].to_numpy()
+    table[counts["bucket"].to_numpy(np.int64), [column[x] for x in counts["lang"]]] = counts["n"].to_numpy()
     return LanguageModel(langs, np.log((table + alpha) / (table.sum(axis=0) + alpha * BUCKETS)).astype(np.float32))
 
 

@@ -55,6 +55,8 @@ TEMPLATES = [
 ]
 #: Tokens of a fingerprint and fingerprints of a window: four tokens in a row always share one.
 GRAM, WINDOW = 3, 2
+#: Templates up to this length have a fingerprint for every two tokens, and need several hits near one diagonal.
+SHORT, PAIR = 24, 2
 BAND = 8
 CHUNK = re.compile(r"\S+")
 
@@ -97,28 +99,48 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -
     return best[1:]
 
 
+def band_of(template: np.ndarray) -> int:
+    """Half-width of the alignment's band: less than half of a short template, so that repeats keep apart."""
+    return min(BAND, max(1, (len(template) - 1) // 2))
+
+
 class LicenseIndex:
-    """Inverted index from fingerprints to (template, token position)."""
+    """Inverted indexes from fingerprints to (template, token position), of long and of short templates."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], coverage: float = 0.8):
         texts = [(name, spans.tokens(text)) for name, text in templates]
         self.templates = [(name, t) for name, t in texts if t]
         self.vocab = spans.Vocabulary([t for _, t in self.templates])
         self.numbers = [np.array([self.vocab.ids[t] for t in toks], np.int64) for _, toks in self.templates]
-        found: dict[int, list[tuple[int, int]]] = {}
-        for k, n in enumerate(self.numbers):
-            h = self.grams(n)
-            for at in winnow(h):
-                found.setdefault(int(h[at]), []).append((k, int(at)))
-        self.places = found
-        self.keys = np.array(sorted(found), np.uint64)
-
-    def grams(self, n: np.ndarray) -> np.ndarray:
-        if len(n) < GRAM:
+        self.coverage = coverage
+        self.indexes = []  # size of a fingerprint, fingerprints of a window, places by hash, hashes
+        for size, window, own in ((GRAM, WINDOW, False), (PAIR, 1, True)):
+            places: dict[int, list[tuple[int, int]]] = {}
+            for k, n in enumerate(self.numbers):
+                if (len(n) <= SHORT) is own:
+                    h = self.grams(n, min(size, len(n)))
+                    for at in winnow(h, window):
+                        places.setdefault(int(h[at]), []).append((k, int(at)))
+            self.indexes.append((size, window, places, np.array(sorted(places), np.uint64)))
+        self.single = {int(n[0]) for n in self.numbers if len(n) == 1}
+
+    def votes(self, k: int) -> int:
+        """Distinct fingerprints that a passage of sufficient coverage shares with the template at least.
+
+        A short template loses two of its pairs for each token that is missing; half of what remains allows for
+        tokens put in between.
+        """
+        n = len(self.numbers[k])
+        if n > SHORT:
+            return 1
+        return max(1, (2 * int(np.ceil(self.coverage * n - 1e-9)) - n) // 2)
+
+    def grams(self, n: np.ndarray, size: int = GRAM) -> np.ndarray:
+        if len(n) < size:
             return np.empty(0, np.uint64)
-        h = np.zeros(len(n) - GRAM + 1, np.uint64)
-        for k in range(GRAM):
-            h = (h ^ self.vocab.codes[n[k : len(n) - GRAM + 1 + k]]) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.full(len(n) - size + 1, size, np.uint64)
+        for k in range(size):
+            h = (h ^ self.vocab.codes[n[k : len(n) - size + 1 + k]]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         return h
 
@@ -127,26 +149,42 @@ class LicenseIndex:
         for lo, hi in spans.batches(texts):
             docs = self.vocab.number(texts[lo:hi])
             flat, starts = spans.joined(docs, GRAM + WINDOW)
-            h = self.grams(flat)
-            at = winnow(h)
-            at = at[flat[at] > 0]
-            slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-            at = at[self.keys[slot] == h[at]] if len(self.keys) else at[:0]
-            hits: dict[int, set[tuple[int, int]]] = {}
-            for p in at.tolist():
-                d = int(np.searchsorted(starts, p, "right")) - 1
-                for k, q in self.places[int(h[p])]:
-                    hits.setdefault(d, set()).add((k, p - int(starts[d]) - q))
+            hits: dict[int, set[tuple[int, int, int]]] = {}
+            for size, window, places, keys in self.indexes:
+                sizes = [size, 1] if size == PAIR and self.single else [size]
+                for own in sizes if len(keys) else ():
+                    h = self.grams(flat, own)
+                    at = winnow(h, window) if window > 1 else np.arange(len(h))
+                    at = at[flat[at] > 0]
+                    slot = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+                    for p in at[keys[slot] == h[at]].tolist():
+                        d = int(np.searchsorted(starts, p, "right")) - 1
+                        for k, q in places[int(h[p])]:
+                            hits.setdefault(d, set()).add((k, p - int(starts[d]) - q, q))
             for d, doc in enumerate(docs):
                 yield self._report(texts[lo + d], doc, hits[d], coverage) if d in hits else []
 
-    def _report(self, text: str, doc: np.ndarray, hits: set[tuple[int, int]], coverage: float) -> list[tuple]:
-        found, last = [], {}
-        for k, shift in sorted(hits):
-            if k in last and shift - last[k] <= BAND // 2:
-                continue  # the band of the hit before covers it
-            last[k] = shift
-            matched, a, b = align(doc, self.numbers[k], shift)
+    def _diagonals(self, hits: set[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+        """Template and shift of each diagonal to align about: with enough votes in its band, none within half a band of the last."""
+        by: dict[int, list[tuple[int, int]]] = {}
+        for k, shift, q in hits:
+            by.setdefault(k, []).append((shift, q))
+        for k, own in sorted(by.items()):
+            own.sort()
+            band, need, last, lo, hi = band_of(self.numbers[k]), self.votes(k), None, 0, 0
+            for shift, _ in own:
+                while own[lo][0] < shift - band:
+                    lo += 1
+                while hi < len(own) and own[hi][0] <= shift + band:
+                    hi += 1
+                if (last is None or shift - last > band // 2) and (need == 1 or len({q for _, q in own[lo:hi]}) >= need):
+                    last = shift
+                    yield k, shift
+
+    def _report(self, text: str, doc: np.ndarray, hits: set[tuple[int, int, int]], coverage: float) -> list[tuple]:
+        found = []
+        for k, shift in self._diagonals(hits):
+            matched, a, b = align(doc, self.numbers[k], shift, band_of(self.numbers[k]))
             if matched and matched >= coverage * len(self.numbers[k]):
                 found.append((matched, matched / len(self.numbers[k]), self.templates[k][0], a, b))
         chosen: list[tuple] = []
@@ -166,7 +204,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
     shuffle; the index grows with the templates only.
     """
     kind = dict(docs.dtypes)[id_col]
-    index = LicenseIndex(templates)
+    index = LicenseIndex(templates, coverage)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:

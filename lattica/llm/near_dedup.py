@@ -33,7 +33,7 @@ LEADER_PART = 250
 #: Shingles of a bucket's outsiders that one task holds, give or take one document and chance.
 HELD_SHINGLES = 1_000_000
 #: Members of a bucket that stream past one task's outsiders, give or take chance.
-STREAM_PART = 2_000
+STREAM_PART = 500
 #: Documents whose comparisons are broadcast to the scan of the texts; more of them are shuffled.
 JOB_ROWS = 50_000
 

@@ -47,6 +47,21 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
+def first_rows(whole: DataFrame, missing: DataFrame, total: int) -> DataFrame:
+    """(digest, text) of the missing digests: one row of each that is few or frequent, else rows that meet in one task.
+
+    missing: digest, n rows of whole with it. Frequent digests number B.HOT_KEYS at most; each task brings one row of
+    each to the shuffle. Rows of the others are shuffled as they are.
+    """
+    one = lambda own: whole.join(F.broadcast(own.select("digest")), "digest").groupBy("digest").agg(F.first("text").alias("text"))
+    if B.small_enough(missing, FEW_MISSES):
+        return one(missing)
+    least = max(64, -(-total // B.HOT_KEYS))
+    hot, rest = missing.filter(F.col("n") >= least), missing.filter(F.col("n") < least).select("digest")
+    cold = whole.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.hint("shuffle_hash"), "digest", "left_semi")
+    return one(hot).unionByName(cold.select("digest", "text"))
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows id, n_bytes, n_tokens, over_limit: one for every input row.
 
@@ -55,21 +70,19 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     are encoded once, whatever their ids; rows with null or repeated ids keep their own rows; other
     columns are ignored. An empty table gives an empty result.
 
-    Texts that are not in the cache are sent once to the place that encodes them, by id and digest, so
-    no group of copies meets in one task; counts go back by digest with frequent digests broadcast.
+    Texts that are not in the cache move once to the place that encodes them, by digest. Of the texts with
+    many copies each task sends one, so no group of copies meets in one task, whatever the ids; counts go back by
+    digest with frequent digests broadcast.
     """
     spark, version = docs.sparkSession, tokenizer_digest(path)
     cache = cache or f"{B.shared_dir(spark)}/lattica-llm/{uuid.uuid4().hex}/counts"
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     keyed = B.materialize(whole.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    owner = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    groups = B.materialize(keyed.groupBy("digest").agg(F.min(owner).alias("owner"), F.count("*").alias("n")), "contents")
+    groups = B.materialize(keyed.groupBy("digest").agg(F.count("*").alias("n")), "contents")
 
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("digest").distinct()
-    missing = groups.join(known, "digest", "left_anti").select("owner", "digest")
-    missing = F.broadcast(missing) if B.small_enough(missing, FEW_MISSES) else missing.hint("shuffle_hash")
-    todo = whole.withColumn("owner", owner).join(missing, ["owner", "digest"], "left_semi").select("digest", "text")
+    todo = first_rows(whole.select("digest", "text"), groups.join(known, "digest", "left_anti"), keyed.count())
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, done = counter(path), set()

@@ -46,7 +46,7 @@ def substrings(text: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> DataFrame:
-    """gram, value: what each substring adds to ln P(accepted) - ln P(rejected).
+    """gram, value, n: what each substring adds to ln P(accepted) - ln P(rejected), and how often it was seen.
 
     labelled: text, bad (0 accepted, 1 rejected). Counts cover every row. In both models the probability
     of a character after a context is (n + t p) / (N + t), with n of N occurrences, t distinct successors
@@ -74,7 +74,7 @@ def fit(labelled: DataFrame) -> DataFrame:
     left = lambda b: F.when(F.col(f"all{b}") > 0, F.col(f"types{b}") / (F.col(f"all{b}") + F.col(f"types{b}"))).otherwise(F.lit(1.0))
     backoff = contexts.select("context", F.ln(left(0) / left(1)).alias("beta"))
     grams_value = values.join(backoff, "context").select("gram", (F.col("step") - F.col("beta")).alias("value"))
-    return B.materialize(grams_value.unionByName(backoff.select(F.col("context").alias("gram"), F.col("beta").alias("value"))).groupBy("gram").agg(F.sum("value").alias("value")), "values")
+    return B.materialize(grams_value.unionByName(backoff.select(F.col("context").alias("gram"), F.col("beta").alias("value"))).groupBy("gram").agg(F.sum("value").alias("value")).join(grams.select("gram", (F.col("n0") + F.col("n1")).alias("n")), "gram", "left").na.fill(0, ["n"]), "values")
 
 
 def ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
@@ -85,7 +85,15 @@ def ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
     always = model.filter("gram = ''").select("value").first()
     spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each text becomes hundreds of rows
     own = texts.select("text").repartition(spread, "text").distinct().select("text", F.explode(substrings(F.col("text"))).alias("gram"))
-    return B.lookup_join(own, model, "gram", "left").groupBy("text").agg((F.sum(F.coalesce("value", F.lit(0.0))) / (F.length("text") + 1) + F.lit(always["value"] if always else 0.0)).alias("ratio"))
+    values = model.select("gram", "value")
+    if B.small_enough(model):
+        found = own.join(F.broadcast(values), "gram", "left").select("text", "value")
+    else:  # the grams seen most are broadcast; none of the others is frequent
+        often = model.orderBy(F.desc("n"), "gram").limit(B.BROADCAST_ROWS).select("gram", "value")
+        first = own.join(F.broadcast(often), "gram", "left")
+        rest = values.join(F.broadcast(often.select("gram")), "gram", "left_anti")
+        found = first.select("text", "value").unionByName(first.filter("value is null").select("text", "gram").join(rest, "gram").select("text", "value"))
+    return found.groupBy("text").agg((F.sum(F.coalesce("value", F.lit(0.0))) / (F.length("text") + 1) + F.lit(always["value"] if always else 0.0)).alias("ratio"))
 
 
 def calibrate(scored: DataFrame) -> float:

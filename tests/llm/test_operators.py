@@ -169,6 +169,14 @@ def test_keep_one_keeps_other_texts_of_a_repeated_id(spark):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] > 5) == [7, 8]
 
 
+def test_very_long_texts_link(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-3000])), (3, " ".join(long[30_000:])), (4, "w " * 50_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.group(docs(spark, rows)).collect()}
+    assert got == {1: (59_996, 1), 2: (56_996, 1), 3: (29_996, 3), 4: (1, 4)}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.85, 0.95):
@@ -212,6 +220,83 @@ def test_language_edges(spark):
     assert language.identify(docs(spark, []), model).count() == 0
 
 
+def plain_language(train, tests, alpha=0.05, penalty=0.5):
+    """Trigram counts, word likelihoods, EM and the choice of the language set, one word after the other."""
+    mask = (1 << 64) - 1
+
+    def bucket(a, b, c):
+        return ((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & mask) * 0xD6E8FEB86659FD93 % (1 << 64) >> 48
+
+    def words_of(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        return [[bucket(ord(a) if a else 0, ord(b), ord(c) if c else 0) for a, b, c in zip(["", *w], w, [*w[1:], ""])] for w in low]
+
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: Counter(g for t, x in train if x == lang for w in words_of(t) for g in w) for lang in langs}
+    logp = lambda lang, g: math.log((counts[lang][g] + alpha) / (sum(counts[lang].values()) + alpha * language.BUCKETS))
+
+    def mix(rows):
+        share = [1 / len(rows[0])] * len(rows[0])
+        for _ in range(40):
+            new = [0.0] * len(share)
+            for r in rows:
+                own = [s * math.exp(x - max(r)) for s, x in zip(share, r)]
+                for j, x in enumerate(own):
+                    new[j] += x / sum(own) / len(rows)
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+            share = new
+            if done:
+                break
+        return share, sum(math.log(sum(s * math.exp(x - max(r)) for s, x in zip(share, r))) + max(r) for r in rows)
+
+    out = []
+    for text in tests:
+        rows = [[sum(logp(lang, g) for g in w) for lang in langs] for w in words_of(text)]
+        if not rows:
+            out.append(("und", 0.0))
+            continue
+        single = [sum(r[j] for r in rows) for j in range(len(langs))]
+        best = max(range(len(langs)), key=lambda j: (single[j], -j))
+        cost = penalty * math.log(max(2, len(rows)))
+        found, value = (best, 1.0), single[best]
+        share, full = mix(rows)
+        order = sorted(range(len(langs)), key=lambda j: -share[j])
+        for k in range(2, len(langs) + 1):
+            if full - cost * (k - 1) <= value:
+                break
+            part, ll = mix([[r[j] for j in order[:k]] for r in rows])
+            if ll - cost * (k - 1) > value:
+                top = max(range(k), key=lambda j: part[j])
+                found, value = (order[top], part[top]), ll - cost * (k - 1)
+        out.append((langs[found[0]], min(1.0, found[1])))
+    return out
+
+
+def test_language_against_plain_python(spark):
+    rng = random.Random(2)
+    known = {lang: ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(40)] for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "xyzab"))}
+    some = lambda lang, n: " ".join(rng.choices(known[lang], k=n))
+    train = [(some(lang, 30), lang) for lang in known for _ in range(8)]
+    tests = [some(lang, n) for lang in known for n in (1, 5, 40)] + [some("aa", 20) + " " + some("cc", 9), some("bb", 12) + ", " + some("cc", 12) + "! " + some("aa", 12), "", None, "12 3", "Q", some("aa", 20_000)]
+    model = language.fit(docs(spark, [(i, t, lang) for i, (t, lang) in enumerate(train)]))
+    got = language.identify(docs(spark, list(enumerate(tests))), model).collect()
+    for r, (lang, score) in zip(got, plain_language(train, tests)):
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=2e-3), r
+
+
+def test_any_number_of_languages(spark):
+    train = [(i, f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" * 3, f"l{i:03}") for i in range(260)]
+    model = language.fit(docs(spark, train))
+    assert len(model.langs) == 260
+    got = language.identify(docs(spark, [(i, t) for i, t, _ in train]), model).collect()
+    assert [r["lang_pred"] for r in got] == [lang for *_, lang in train]
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = language.fit(docs(spark, [(1, "same words", "bb"), (2, "same words", "aa")]))
+    assert [r["lang_pred"] for r in language.identify(docs(spark, [(1, "same words")]), model).collect()] == ["aa"]
+
+
 def test_mixture_is_the_likeliest():
     scores = np.log(np.random.default_rng(0).dirichlet([1, 1, 1], 200))
     share, ll = language.mixture(scores, rounds=500, tol=1e-9)
@@ -268,6 +353,8 @@ def test_encode_documents(spark):
         assert r["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(docs(spark, []), PATH).count() == 0
+    long = "Wörter und words 123 " * 20_000
+    assert bpe.encode_documents(docs(spark, [(1, long)]), PATH).collect()[0]["n_tokens"] == len(lib.encode(long, add_special_tokens=False).ids)
 
 
 def test_token_counts_and_cache(spark, tmp_path):
@@ -284,6 +371,17 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts.count_tokens(docs(spark, []), PATH, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_token_counts_of_copies_without_ids(spark, tmp_path, monkeypatch, few):
+    """A third of all rows one text without an id: counted once, whichever way texts travel."""
+    monkeypatch.setattr(token_counts, "FEW_MISSES", few)
+    rows = [(None, "the same text")] * 300 + [(7, f"text {i % 90}") for i in range(300)] + [(i, None if i % 3 else "z" * 40_000) for i in range(30)]
+    got = token_counts.count_tokens(docs(spark, rows), PATH, str(tmp_path / "c")).collect()
+    lib, seen = library(), spark.read.parquet(str(tmp_path / "c"))
+    want = Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want and seen.count() == seen.select("digest").distinct().count() == 93
+
+
 def test_token_counts_of_the_other_library(spark, tmp_path):
     import sentencepiece
 
@@ -315,6 +413,67 @@ def test_license_alignment_and_edges(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def plain_alignment(doc, template):
+    """Most matched tokens of a local alignment anywhere: a match scores 2, anything else costs 1."""
+    best, rows = (0, 0), [[(0, 0)] * (len(template) + 1)]
+    for x in doc:
+        row = [(0, 0)]
+        for j, t in enumerate(template, 1):
+            diag, up, left = rows[-1][j - 1], rows[-1][j], row[-1]
+            row.append(max((0, 0), (diag[0] + (2 if x == t else -1), diag[1] + (x == t)), (up[0] - 1, up[1]), (left[0] - 1, left[1])))
+        best = max(best, *row)
+        rows.append(row)
+    return best[1]
+
+
+def test_licenses_against_plain_alignment(spark):
+    """Edited notices among other words: whatever a full dynamic programme covers is reported, and nothing else."""
+    rng = random.Random(17)
+    notices = [(name, spans.tokens(text)) for name, text in licenses.TEMPLATES if len(spans.tokens(text)) <= 60]
+    filler = [f"word{i}" for i in range(300)] + ["the", "under", "of", "this", "license"] * 20
+    rows = []
+    for i in range(150):
+        text = rng.choices(filler, k=rng.randrange(5, 40))
+        if i % 5:
+            name, own = rng.choice(notices)
+            own = [("other" if rng.random() < 0.12 else t) for t in own]
+            if len(own) > 12 and i % 2:
+                own.insert(rng.randrange(len(own)), "inserted")
+            at = rng.randrange(len(text))
+            text[at:at] = own
+        rows.append((i, text))
+    got = {}
+    for r in licenses.scan(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["matched"]))
+    found = missed = 0
+    for i, text in rows:
+        covered = [(plain_alignment(text, t), name, len(t)) for name, t in notices]
+        covered = [(m, name) for m, name, n in covered if m >= 0.8 * n]
+        assert all(any(m <= best for best, other in covered if other == name) for name, m in got.get(i, ())), (i, got.get(i), covered)
+        found += bool(covered) and i in got
+        missed += bool(covered) and i not in got
+    assert found > 60 and missed <= 0.02 * found
+
+
+def test_substituted_notices_are_found(spark):
+    rng = random.Random(18)
+    for rate in (0.05, 0.1, 0.15):
+        rows, want = [], 0
+        for i in range(120):
+            own = spans.tokens(licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1])
+            new = [(f"new{rng.randrange(1000)}" if rng.random() < rate else t) for t in own]
+            if sum(a == b for a, b in zip(own, new)) >= 0.8 * len(own):
+                rows.append((i, " ".join(["before"] * 10 + new + ["after"] * 10)))
+        got = {r["doc_id"] for r in licenses.scan(docs(spark, rows)).collect()}
+        assert len(got) >= 0.97 * len(rows), rate
+
+
+def test_repeats_of_a_short_notice(spark):
+    text = "Licensed under CC BY 4.0. Licensed under CC BY 4.0. and " + "x " * 50_000 + "Licensed under CC BY 4.0."
+    got = licenses.scan(docs(spark, [(1, text)])).collect()
+    assert [text[r["start_char"] : r["end_char"]] for r in got] == ["Licensed under CC BY 4.0."] * 3
+
+
 def test_winnowing_keeps_every_shared_run():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
@@ -385,6 +544,32 @@ def test_url_models_against_plain_python(spark):
         assert got[t] == pytest.approx(markov_ratio(train, t)), t
 
 
+def test_url_verdicts_against_plain_python(spark, monkeypatch):
+    """The models, the cutoff and the verdicts written out; then with most grams beyond the broadcast."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(3, 8)))
+    urls_of = [f"http://{word('abc')}.com/fr/{word('abc')}" for _ in range(60)] + [f"http://{word('xyz')}.com/de/{word('xyz')}" for _ in range(50)] + [f"http://{word('abc' if i % 2 else 'xyz')}.net/{word('abcxyz')}" for i in range(40)] + ["http://a.net/" + "x" * 3000]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    aside = {r["url"] for r in pages.filter(F.pmod(F.xxhash64(F.regexp_replace("url", "^http://", "")), F.lit(5)) == 0).collect()}
+    text = lambda u: u.split("://", 1)[1]
+    bad = lambda u: int(plain_url(u)[3] == "block")
+    ruled = [u for u in urls_of if plain_url(u)[3]]
+    train = Counter((text(u), bad(u)) for u in ruled if u not in aside)
+    train = [(t, b, n) for (t, b), n in train.items()]
+    held = [(round(markov_ratio(train, text(u)), 3), bad(u)) for u in ruled if u in aside]
+    cuts = sorted({c for c, _ in held})
+    goods, bads = sum(not b for _, b in held), sum(b for _, b in held)
+    gain = lambda c: sum(b for x, b in held if x < c) / bads - sum(not b for x, b in held if x < c) / goods
+    half = [(c + (cuts[i - 1] if i else c)) / 2 for i, c in enumerate(cuts)]
+    cut = max(((round(gain(c), 12), -abs(h)), h) for c, h in zip(cuts, half))[1]
+    want = {i: plain_url(u)[3] or ("allow" if markov_ratio(train, text(u)) >= cut else "block") for i, u in enumerate(urls_of)}
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()} == want and len(set(want.values())) == 2
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 50)
+    small = B.small_enough
+    monkeypatch.setattr(B, "small_enough", lambda df, rows=50: small(df, rows))
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()} == want
+
+
 # -- op6 -----------------------------------------------------------------------------------------
 
 
