@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import bipartite, embed, itemgraph, recommend, relational, users, walks
+from ..sources import exports, sinks
 from ..streaming import preferences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,6 +677,85 @@ def preference_windows(s, d):
     return preferences.preference_counts(t(s, d, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "user_id", "genre", "n")
 
 
+# -- exports: lines of JSON made from the tables, and what the clean tables should hold ------------------
+
+
+def export(df: DataFrame, *fields: Column) -> DataFrame:
+    """The rows as the lines of a row_to_json export, read back as JSON."""
+    lines = df.select(F.concat(F.lit('"'), F.replace(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), F.lit('"'), F.lit('""')), F.lit('"')).alias("value"))
+    return exports.json_lines(lines)[0]
+
+
+KEY = "CAST(p_partkey AS VARCHAR) AS content_id"
+
+
+@query(f"SELECT {KEY}, {THIRD.format('p_partkey')} AS domain, p_name AS master_title, '' AS original_title, '' AS poster_image_url, CAST(1990 + p_partkey % 30 AS VARCHAR) AS release_year, '2023-01-0' || p_partkey % 9 AS created_at, '' AS updated_at, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS synopsis FROM part")
+def etl_contents(s, d):
+    k = F.col("content_id")
+    rows = export(contents(s, d), k, F.col("domain"), F.col("master_title"), F.concat(1990 + k % 30, F.lit("-03-04")).alias("release_date"), F.concat(F.lit("2023-01-0"), k % 9, F.lit("T10:00:00")).alias("created_at"), F.when(k % 4 != 0, F.col("kind")).alias("synopsis"))
+    return exports.contents(rows)
+
+
+@query(f"SELECT {KEY}, p_brand AS developer, '' AS publisher, '' AS release_date, p_partkey % 2 = 0 AS platform_mac, false AS platform_linux, p_partkey % 3 = 0 AS platform_windows, replace(p_name, ' ', '|') AS genres_str FROM part")
+def etl_game(s, d):
+    k = F.col("content_id")
+    platforms = F.struct((k % 2 == 0).alias("mac"), F.lit(None).cast("boolean").alias("linux"), (k % 3 == 0).alias("windows"))
+    return exports.game_contents(export(contents(s, d), k, F.col("brand").alias("developer"), platforms.alias("platforms"), F.split("master_title", " ").alias("genres")))
+
+
+@query(
+    f"SELECT CAST(p_partkey + 7 AS VARCHAR) AS platform_data_id, {KEY}, CASE WHEN p_partkey % 2 = 0 THEN 'TMDB' ELSE 'STEAM' END AS platform_name, '' AS platform_specific_id, 'http://x/' || p_partkey AS url, '' AS last_seen_at, CAST(p_partkey % 200 AS VARCHAR) AS runtime, "
+    "CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE p_partkey % 5 END::DOUBLE AS season_count, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS cast_count, 0 AS crew_count, p_brand || '|' || p_type AS watch_providers_keys FROM part"
+)
+def etl_platform_data(s, d):
+    k = F.col("content_id")
+    own = F.struct((k % 200).alias("runtime"), F.when(k % 5 != 0, k % 5).alias("season_count"), F.split("master_title", " ").alias("cast"), F.array("brand", "kind").alias("watch_providers"))
+    return exports.platform_data(export(contents(s, d), (k + 7).alias("platform_data_id"), k, F.when(k % 2 == 0, "TMDB_TV").otherwise("STEAM").alias("platform_name"), F.concat(F.lit("http://x/"), k).alias("url"), own.alias("attributes")))
+
+
+@query(
+    f"SELECT CAST(p_partkey AS VARCHAR) AS raw_id, {THIRD.format('p_partkey')} AS domain, '' AS platform_name, '' AS platform_specific_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS name, 'tv' AS content_type, p_brand || '|' || p_type AS genres_str, CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END AS is_free, "
+    "false AS platform_mac, p_partkey % 3 = 1 AS platform_linux, false AS platform_windows, CASE p_partkey % 3 WHEN 0 THEN '2001-02-03' WHEN 1 THEN '2004-05-06' ELSE '' END AS release_date, '2023-05-06' AS fetched_at, '' AS processed_at, '' AS url FROM part"
+)
+def etl_raw_item(s, d):
+    k = F.col("content_id")
+    released = F.when(k % 3 == 0, F.lit('"2001-02-03"')).when(k % 3 == 1, F.lit('{"date":"2004-05-06"}')).otherwise(F.lit("null"))
+    rest = F.to_json(F.struct(F.when(k % 2 == 0, F.col("master_title")).otherwise("").alias("name"), F.col("kind").alias("original_name"), F.lit("tv").alias("av_type"), F.array("brand", "kind").alias("genres"), (k % 3 == 0).alias("is_free"), F.struct((k % 3 == 1).alias("linux")).alias("platforms")))
+    payload = F.concat(F.lit('{"release_date":'), released, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    head = F.to_json(F.struct(k.alias("raw_id"), "domain", F.lit("2023-05-06T07:08:09").alias("fetched_at")))
+    lines = contents(s, d).select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"source_payload":'), payload, F.lit("}")).alias("value"))
+    return exports.raw_item(exports.json_lines(lines)[0])
+
+
+@query(
+    f"SELECT upper(p_type) AS av_type, {KEY}, '28' AS \"genres.tmdb_genres.0.id\", '액션' AS \"genres.tmdb_genres.0.name\", '' AS \"genres.tmdb_genres.1.id\", p_brand AS \"genres.tmdb_genres.1.name\", CASE WHEN p_partkey % 2 = 0 THEN '18' ELSE '' END AS \"genres.tmdb_genres.2.id\", CASE WHEN p_partkey % 2 = 0 THEN '드라마' ELSE '' END AS \"genres.tmdb_genres.2.name\", "
+    "'' AS \"genres.tmdb_genres.3.id\", '' AS \"genres.tmdb_genres.3.name\", '' AS release_date, CAST(p_partkey * 2 AS VARCHAR) AS tmdb_id FROM part"
+)
+def etl_av(s, d):
+    k = F.col("content_id")
+    genres = F.array_compact(F.array(F.lit("액션"), F.col("brand"), F.when(k % 2 == 0, F.lit("드라마"))))
+    return exports.av_contents(export(contents(s, d), k, F.col("kind").alias("av_type"), genres.alias("genres"), (k * 2).alias("tmdb_id")))
+
+
+@query(f"SELECT {KEY}, '' AS age_rating, p_brand AS author, p_type AS publisher, replace(p_name, ' ', '|') AS genres_str, '2020-01-0' || p_partkey % 9 AS started_at FROM part")
+def etl_webnovel(s, d):
+    k = F.col("content_id")
+    return exports.webnovel_contents(export(contents(s, d), k, F.col("brand").alias("author"), F.col("kind").alias("publisher"), F.split("master_title", " ").alias("genres"), F.concat(F.lit("2020-01-0"), k % 9).alias("started_at")))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS created_at, CASE WHEN o_orderkey % 2 = 0 THEN '{\"a\":' || o_orderkey || '}' ELSE o_orderstatus END AS payload FROM orders")
+def etl_clean_cells(s, d):
+    k = F.col("o_orderkey")
+    cell = F.when(k % 2 == 0, F.concat(F.lit('"{""a"": '), k, F.lit('}"'))).otherwise(F.col("o_orderstatus"))
+    when = F.when(k % 3 == 0, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return exports.clean_cells(t(s, d, "orders").select(k.cast("string").alias("id"), when.alias("created_at"), cell.alias("payload")))
+
+
+@query(f"WITH {SIMS}, tk AS ({TOPK}) SELECT user_id, string_agg(rank || '. item ' || content_id || ' (' || CAST(round(score, 4) AS VARCHAR) || ')', '; ' ORDER BY rank) AS summary FROM tk GROUP BY user_id")
+def user_summary(s, d):
+    return sinks.user_summary(topk_with_meta(s, d))
+
+
 # -- learned stages: rows only -----------------------------------------------------------------------
 
 
