@@ -74,19 +74,27 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return left.join(F.broadcast(right) if small_enough(right, rows) else right, key, how)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], n_col: str, total: int) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
     """Inner join on a unique right key where a few keys may hold a large part of left.
 
     `right[n_col]` is the number of left rows with the key. Keys with at least total / HOT_KEYS
     rows number HOT_KEYS at most; those are broadcast, all others are shuffled.
     """
-    keys = [key] if isinstance(key, str) else key
     least = max(64, -(-total // HOT_KEYS))
-    rest = [c for c in right.columns if c not in keys]
-    hot = F.broadcast(right.filter(F.col(n_col) >= least).select(*keys, F.struct(*rest).alias("__hot"), F.lit(True).alias("__is_hot")))
-    marked = left.join(hot, keys, "left").withColumn("__is_hot", F.coalesce("__is_hot", F.lit(False)))
-    often = marked.filter("__is_hot").select(*keys, *(c for c in left.columns if c not in keys), *(F.col(f"__hot.{c}").alias(c) for c in rest))
-    return often.unionByName(marked.filter("not __is_hot").drop("__hot", "__is_hot").join(right.filter(F.col(n_col) < least), keys))
+    rest = [c for c in right.columns if c != key]
+    hot = F.broadcast(right.filter(F.col(n_col) >= least).select(key, F.struct(*rest).alias("__hot"), F.lit(True).alias("__is_hot")))
+    marked = left.join(hot, key, "left").withColumn("__is_hot", F.coalesce("__is_hot", F.lit(False)))
+    often = marked.filter("__is_hot").select(key, *(c for c in left.columns if c != key), *(F.col(f"__hot.{c}").alias(c) for c in rest))
+    return often.unionByName(marked.filter("not __is_hot").drop("__hot", "__is_hot").join(right.filter(F.col(n_col) < least), key))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Inner join to a table with one row for each of a part of the keys, which is sent to `salts` places.
+
+    Rows of left go to one of them by their column `by`, so a key's rows are spread over so many tasks.
+    """
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"]).drop("__salt")
 
 
 def anti_join(left: DataFrame, keys: DataFrame, key: str, rows: int = 500_000) -> DataFrame:

@@ -259,7 +259,7 @@ def across(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) ->
     main = F.max_by(F.struct("component", "w"), F.struct("n", -F.col("component")))
     buckets = split.groupBy("band", "key").agg(main.alias("main"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
     buckets = buckets.select("band", "key", "n", F.col("main.component").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / HELD_SHINGLES).cast("int").alias("parts"), F.ceil(F.col("n") / STREAM_PART).cast("int").alias("streams"))
-    rest = B.materialize(B.skew_join(placed, buckets, ["band", "key"], "n", placed.count()), "mixed")
+    rest = B.materialize(B.salted_join(placed, buckets, ["band", "key"], "node"), "mixed")
     dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     held = rest.filter("component != main").select("*", dealt("parts", 1).alias("part"), F.explode(every("streams")).alias("stream"), F.lit(True).alias("held"))
@@ -340,8 +340,8 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     sets = B.materialize(one.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = sets.filter("bands is not null").select("node", "n_shingles", "bands", "odd")
     spread = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("__n")).filter("__n > 1")
-    members = B.materialize(B.skew_join(spread, shared, ["band", "key"], "__n", BANDS * nodes.count()).drop("__n"), "members")
+    shared = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
+    members = B.materialize(B.salted_join(spread, shared, ["band", "key"], "node"), "members")
     stars = B.materialize(promising(members.filter("a < node").select("a", F.col("node").alias("b")).distinct(), nodes, percent), "stars")
     texts = docs.select("row_key", "text")
     links = B.materialize(confirmed(stars, texts, sets, percent), "star-links")
