@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,8 +73,14 @@ def unpivot_genres(wide: DataFrame) -> DataFrame:
 
 
 def kept_rows(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the session's checkpoint folder, if it has one; else cached."""
-    return df.cache() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    """df written to the session's checkpoint folder and read from it, without its lineage.
+
+    Where the session names no folder (as in tests, on one machine), a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+    return df.checkpoint()
 
 
 def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
