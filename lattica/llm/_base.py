@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Upper bound of rows that a size-checked broadcast may ship (about 100 bytes a row at most).
 BROADCAST_ROWS = 200_000
@@ -19,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one is made only where the session names none (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or the context's checkpoint folder, or on one machine one below its warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if at.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-            at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = at.get()
+        if not at.isEmpty():
+            found = at.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/lattica-checkpoints"
+        else:
+            raise ValueError("tables between steps need a folder that all executors share: set spark.checkpoint.dir")
     return found.rstrip("/")
 
 
@@ -45,6 +52,80 @@ def bounded_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
     return df
 
 
+def schema_with(df: DataFrame, fields: str) -> StructType:
+    """The schema of df and further fields, given as DDL."""
+    return StructType(df.schema.fields + StructType.fromDDL(fields).fields)
+
+
+def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], fn: Callable[..., tuple[np.ndarray | None, pd.DataFrame]], schema: str, rows: int = 500) -> DataFrame:
+    """The columns of `keep`, untouched, beside what `fn` makes of the columns of `inputs`.
+
+    `fn` gets a list for each input and gives a frame of the fields of `schema`, and for each of its rows the
+    number of the input row that it belongs to (None: one row each, in order). Kept columns stay in Arrow, so an id
+    is never a float, whatever nulls are beside it. `rows` go to `fn` at a time.
+    """
+    out = StructType([df.schema[c] for c in keep] + StructType.fromDDL(schema).fields)
+    own = to_arrow_schema(out, timezone="UTC")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                at, made = fn(*(b.column(len(keep) + k).to_pylist() for k in range(len(inputs))))
+                kept = [b.column(k) if at is None else b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+                new = [pa.Array.from_pandas(made.iloc[:, k], type=own.field(len(keep) + k).type) for k in range(made.shape[1])]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*kept, *new], own)], names=own.names)
+
+    renamed = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)))
+    return bounded_batches(renamed).mapInArrow(run, out)
+
+
+def filtered(df: DataFrame, column: str, fn: Callable[[list], np.ndarray], rows: int = 500) -> DataFrame:
+    """The rows of df that `fn` keeps by their values of one column; rows stay in Arrow."""
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                yield b.filter(pa.array(fn(b.column(place).to_pylist()), pa.bool_()))
+
+    return bounded_batches(df).mapInArrow(run, df.schema)
+
+
+class BitFilter:
+    """Bits of a set of 64-bit hashes: a hash of the set always passes, another one seldom.
+
+    About 16 bits a hash, two of them set: one other hash in 70 passes. Beyond `most_bits` (2^30: 128 MB)
+    more pass, which costs work and changes no result, as what passes is checked.
+    """
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @staticmethod
+    def bits_for(n: int, least_bits: int = 16, most_bits: int = 30) -> int:
+        return min(most_bits, max(least_bits, (16 * max(1, n) - 1).bit_length()))
+
+    @classmethod
+    def of(cls, hashes: DataFrame, most_bits: int = 30) -> "BitFilter":
+        """The filter of a long column h; the bits are set in Spark, at most 2^bits / 64 words come back."""
+        bits = cls.bits_for(hashes.count(), most_bits=most_bits)
+        h = F.col("h")
+        spot = hashes.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << bits) - 1)))).alias("s"))
+        found = spot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+        words = np.zeros(1 << bits - 6, np.uint64)
+        for batch in found.toArrow().to_batches():
+            words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+        return cls(words, bits)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for spot in (h >> np.uint64(64 - self.bits), (h >> np.uint64(8)) & np.uint64((1 << self.bits) - 1)):
+            out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

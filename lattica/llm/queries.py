@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, language, licenses, near_dedup, quality, token_counts, toxicity, urls
+from . import bpe, chunks, clusters, decontaminate, html, language, licenses, near_dedup, quality, token_counts, toxicity, urls, whitening
 from ._base import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -53,8 +53,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_near_dedup, op2_language_id, op3_bpe_roundtrip, op4_license_scan, op5_url_filter, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_toxicity, op10_main_text)
+    every = (op1_near_dedup, op2_language_id, op3_bpe_roundtrip, op4_license_scan, op5_url_filter, op6_decontaminate, op7_quality_rules, op8_token_counts, op9_toxicity, op10_main_text, op11_centroid_clusters, op12_exact_dedup, op13_whitening)
     return {f.__name__: f for f in every}
 
 
@@ -107,6 +119,28 @@ hit AS (SELECT DISTINCT doc_id FROM long JOIN cutoff USING (stratum, rule) WHERE
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM fail"""
 
 
+def op11_sql(k: int = 8, rounds: int = 10) -> str:
+    nearest = lambda i: f"SELECT vec_id, x, c.k AS cluster, list_sum(list_transform(list_zip(x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, c.k) = 1"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x AS c FROM v QUALIFY k < {k})",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({nearest(i)})",
+            f"m{i} AS (SELECT cluster, d, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, unnest(range(1, 65)) AS d FROM a{i}) GROUP BY ALL)",
+            f"n{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS c FROM m{i} GROUP BY cluster)",
+            f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN n{i} n ON cluster = k)",
+        ]
+    return "WITH " + ",\n".join(steps) + f""",
+last AS MATERIALIZED ({nearest(rounds)})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM last JOIN c{rounds} ON k = cluster"""
+
+
+OP12_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute-force versions in tests/llm."""
-    return {"op1_near_dedup": OP1_SQL, "op7_quality_rules": op7_sql()}
+    return {"op1_near_dedup": OP1_SQL, "op7_quality_rules": op7_sql(), "op11_centroid_clusters": op11_sql(), "op12_exact_dedup": OP12_SQL}
