@@ -65,7 +65,7 @@ def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], fn: Callab
     is never a float, whatever nulls are beside it. `rows` go to `fn` at a time.
     """
     out = StructType([df.schema[c] for c in keep] + StructType.fromDDL(schema).fields)
-    own = to_arrow_schema(out, timezone="UTC")
+    own = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,8 +73,8 @@ def beside(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], fn: Callab
                 b = whole.slice(lo, rows)
                 at, made = fn(*(b.column(len(keep) + k).to_pylist() for k in range(len(inputs))))
                 kept = [b.column(k) if at is None else b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
-                new = [pa.Array.from_pandas(made.iloc[:, k], type=own.field(len(keep) + k).type) for k in range(made.shape[1])]
-                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*kept, *new], own)], names=own.names)
+                new = [pa.Array.from_pandas(made.iloc[:, k], type=f.type) for k, f in enumerate(own)]
+                yield pa.RecordBatch.from_arrays([*kept, *new], names=out.names)
 
     renamed = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)))
     return bounded_batches(renamed).mapInArrow(run, out)
@@ -169,13 +169,18 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, n_col: str, total: in
     return often.unionByName(marked.filter("not __is_hot").drop("__hot", "__is_hot").join(right.filter(F.col(n_col) < least), key))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
-    """Inner join to a table with one row for each of a part of the keys, which is sent to `salts` places.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, n_col: str, per: int = 10_000) -> DataFrame:
+    """Inner join to a table with one row for each of a part of the keys, whose column n_col says how many rows of left have it.
 
-    Rows of left go to one of them by their column `by`, so a key's rows are spread over so many tasks.
+    A key's rows are dealt by their column `by` among a place for each `per` of them (for more, where over HOT_KEYS keys
+    would have several), and its row of right is sent to each; a cold key has one place.
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return salted.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"]).drop("__salt")
+    part = max(per, -(-(right.agg(F.sum(n_col)).first()[0] or 0) // HOT_KEYS))
+    places = F.ceil(F.col(n_col) / part).cast("int")
+    none = right.sparkSession.range(1).select(*(F.lit(None).cast(right.schema[k].dataType).alias(k) for k in keys), F.lit(1).alias("__places"))
+    hot = F.broadcast(right.filter(F.col(n_col) > part).select(*keys, places.alias("__places")).unionByName(none))  # never empty, so the plan is the same with and without hot keys
+    dealt = left.join(hot, keys, "left").withColumn("__place", F.pmod(F.xxhash64(by), F.coalesce("__places", F.lit(1))).cast("int"))
+    return dealt.join(right.withColumn("__place", F.explode(F.sequence(F.lit(0), places - 1))), [*keys, "__place"]).drop("__place", "__places")
 
 
 def anti_join(left: DataFrame, keys: DataFrame, key: str, rows: int = 500_000) -> DataFrame:

@@ -275,22 +275,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     rows give repeated results, an empty table an empty one; other columns are ignored. One pass
     without a shuffle; a worker holds a batch of texts and a bounded memo of words.
     """
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for b in batches:
-            keys, texts = b.iloc[:, 0], b.iloc[:, 1].tolist()
-            for lo in range(0, len(b), 500):
-                rows = []
-                for raw in own.encode_batch(texts[lo : lo + 500]):
-                    ids = np.frombuffer(raw, dtype="<u4")
-                    text = own.decode_bytes(ids)
-                    rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest(), *((ids.tolist(), text.decode(errors="replace")) if with_ids else ())))
-                out = pd.DataFrame(rows, columns=names)
-                out.insert(0, id_col, keys.iloc[lo : lo + 500].to_numpy())
-                yield out
+
+    def run(texts: list[str | None]) -> tuple[None, pd.DataFrame]:
+        own, rows = codec(path), []
+        for raw in own.encode_batch(texts):
+            ids = np.frombuffer(raw, dtype="<u4")
+            text = own.decode_bytes(ids)
+            rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest(), *((ids.tolist(), text.decode(errors="replace")) if with_ids else ())))
+        return None, pd.DataFrame(rows, columns=names)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, schema)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
+    return B.beside(docs, [id_col], [text_col], run, schema)

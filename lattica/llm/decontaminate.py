@@ -23,8 +23,6 @@ from . import spans
 #: Positions that count; no two masks ignore the same ones.
 MASKS = ("111111", "11011011", "110100111", "1100101011")
 LONGEST = max(map(len, MASKS))
-#: Bits of the filters that documents are probed with; their size does not grow with the benchmark.
-FILTER_BITS = 24
 #: An overlap holds at least this part of the item, this part of its own span, and so many tokens.
 LEAST, IDENTITY, LEAST_TOKENS = 0.5, 0.75, 8
 #: So many matched tokens are enough whatever the item's length.
@@ -32,6 +30,8 @@ ENOUGH = 50
 #: Diagonals so near each other may be one passage with words put in or left out, if each holds PIECE matched tokens.
 NEAR, PIECE = 8, 6
 MEMO_WORDS = 100_000
+#: Places of a seed in the benchmark that one row lists, give or take chance.
+PLACES = 1_000
 #: Digests of contaminated texts that are broadcast at most, 16 bytes each.
 KEYS = 500_000
 OTHER = 1  # code of every token that the benchmark does not hold
@@ -63,36 +63,10 @@ def masks_for(lengths: set[int]) -> list[np.ndarray]:
     return [np.nonzero([c == "1" for c in m])[0] for m in MASKS] + [np.arange(n) for n in sorted(lengths)]
 
 
-class Filter:
-    """Bits of a set of 64-bit hashes: a hash of the set always passes, another one seldom."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @staticmethod
-    def spots(h: Column) -> list[Column]:
-        return [F.shiftrightunsigned(h, 64 - FILTER_BITS), F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))]
-
-    @classmethod
-    def of(cls, hashes: DataFrame) -> Filter:
-        """The filter of a column h; the bits are set in Spark, at most 2^FILTER_BITS / 64 words come back."""
-        spot = hashes.select(F.explode(F.array(*cls.spots(F.col("h")))).alias("s"))
-        found = spot.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
-        words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-        return cls(words)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for spot in (h >> np.uint64(64 - FILTER_BITS), (h >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)):
-            out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
-
-
 class Probe:
-    """Looks for hits of the benchmark's seeds in documents; its size does not grow with the benchmark."""
+    """Looks for hits of the benchmark's seeds in documents; its filters grow with the benchmark up to 128 MB each."""
 
-    def __init__(self, masks: list[np.ndarray], longest: int, tokens: Filter, seeds: Filter):
+    def __init__(self, masks: list[np.ndarray], longest: int, tokens: B.BitFilter, seeds: B.BitFilter):
         self.masks, self.longest, self.tokens, self.seeds, self.memo = masks, longest, tokens, seeds, {}
 
     def number(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -161,7 +135,7 @@ class Benchmark:
                     yield pd.DataFrame({"h": np.concatenate([h for h, _ in own]).view(np.int64), "item": item, "pos": np.concatenate([at for _, at in own])})
 
         self.seeds = B.materialize(self.items.select("item", "codes").mapInPandas(seeded, "h long, item long, pos long"), "seeds")
-        self.probe = Probe(masks_for(short), found["longest"] or 0, Filter.of(self.items.select(F.explode("codes").alias("h"))), Filter.of(self.seeds))
+        self.probe = Probe(masks_for(short), found["longest"] or 0, B.BitFilter.of(self.items.select(F.explode("codes").alias("h")).distinct()), B.BitFilter.of(self.seeds.select("h").distinct()))
 
 
 def runs(codes: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
@@ -215,19 +189,18 @@ def overlap(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> tuple[int,
 
 def found_hits(docs: DataFrame, probe: Probe, id_col: str, text_col: str) -> DataFrame:
     """A row for each document with hits: its id, a key of the row, hits, and the codes about them."""
-    kind = dict(docs.dtypes)[id_col]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in parts:
-            rows = []
-            for i, text_key, (h, pos, codes) in zip(b.iloc[:, 0], b.iloc[:, 1], probe.hits(b.iloc[:, 2].tolist())):
-                if len(h):
-                    starts, sizes, kept = runs(codes)
-                    rows.append((i, uuid.uuid4().bytes, text_key, h.view(np.int64), pos, starts, sizes, kept.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "row", "text_key", "hs", "ps", "starts", "sizes", "codes"])
+    def run(texts: list[str | None]) -> tuple[list[int], pd.DataFrame]:
+        at, rows = [], []
+        for k, (h, pos, codes) in enumerate(probe.hits(texts)):
+            if len(h):
+                starts, sizes, kept = runs(codes)
+                at.append(k)
+                rows.append((uuid.uuid4().bytes, h.view(np.int64), pos, starts, sizes, kept.view(np.int64)))
+        return at, pd.DataFrame(rows, columns=["row", "hs", "ps", "starts", "sizes", "codes"])
 
     text = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return B.materialize(B.bounded_batches(text).mapInPandas(run, f"id {kind}, row binary, text_key binary, hs array<long>, ps array<long>, starts array<long>, sizes array<long>, codes array<long>"), "hits")
+    return B.materialize(B.beside(text, ["id", "text_key"], ["text"], run, "row binary, hs array<long>, ps array<long>, starts array<long>, sizes array<long>, codes array<long>", 1_000), "hits")
 
 
 def text_digest(text: Column) -> Column:
@@ -237,34 +210,47 @@ def text_digest(text: Column) -> Column:
 def verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_key, item_id, matched, n_tokens, start_token, end_token of each document and item that overlap."""
     bench = Benchmark(benchmark)
-    item_kind = dict(benchmark.dtypes)["item_id"]
     hits = found_hits(docs, bench.probe, id_col, text_col)
-    kind = dict(hits.dtypes)["id"]
     every = hits.select("row", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
-    places = B.materialize(bench.seeds.groupBy("h").agg(F.collect_list(F.struct("item", "pos")).alias("at")), "places")
-    if B.small_enough(places):
-        joined = every.join(F.broadcast(places), "h")
-    else:  # a seed that many documents hold is sent to all tasks
-        often = every.groupBy("h").agg(F.count("*").alias("n"))
-        joined = B.skew_join(every, places.join(often, "h"), "h", "n", every.count())
-    pairs = joined.select("row", "p", F.explode("at").alias("at")).select("row", F.col("at.item").alias("item"), (F.col("p") - F.col("at.pos")).alias("shift"))
-    jobs = pairs.groupBy("row", "item").agg(F.collect_set("shift").alias("shifts"))
+    pairs = seeded_pairs(every, bench.seeds)
+    jobs = pairs.groupBy("row", "item").agg(F.collect_set(F.col("p") - F.col("pos")).alias("shifts"))
     jobs = B.lookup_join(jobs, bench.items.withColumnRenamed("codes", "item_codes"), "item", rows=20_000)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, key, item, item_codes, shifts, starts, sizes, codes in zip(b["id"], b["text_key"], b["item_id"], b["item_codes"], b["shifts"], b["starts"], b["sizes"], b["codes"]):
-                doc, at = np.zeros(int(starts[-1] + sizes[-1]), np.int64), 0
-                for start, size in zip(starts, sizes):
-                    doc[start : start + size] = codes[at : at + size]
-                    at += size
-                if best := overlap(doc, np.asarray(item_codes, np.int64), np.asarray(shifts).tolist()):
-                    out.append((i, key, item, best[0], len(item_codes), best[1], best[2]))
-            yield pd.DataFrame(out, columns=["id", "text_key", "item_id", "matched", "n_tokens", "start_token", "end_token"])
-
-    rows = jobs.join(hits.select("id", "row", "text_key", "starts", "sizes", "codes"), "row").select("id", "text_key", "item_id", "item_codes", "shifts", "starts", "sizes", "codes")
-    return rows.mapInPandas(run, f"id {kind}, text_key binary, item_id {item_kind}, matched long, n_tokens long, start_token long, end_token long")
+    def run(*columns: list) -> tuple[list[int], pd.DataFrame]:
+        at, out = [], []
+        for k, (item_codes, shifts, starts, sizes, codes) in enumerate(zip(*columns)):
+            doc, done = np.zeros(int(starts[-1] + sizes[-1]), np.int64), 0
+            for start, size in zip(starts, sizes):
+                doc[start : start + size] = codes[done : done + size]
+                done += size
+            if best := overlap(doc, np.asarray(item_codes, np.int64), shifts):
+                at.append(k)
+                out.append((best[0], len(item_codes), best[1], best[2]))
+        return at, pd.DataFrame(out, columns=["matched", "n_tokens", "start_token", "end_token"])
+
+    rows = jobs.join(hits.select("id", "row", "text_key", "starts", "sizes", "codes"), "row")
+    return B.beside(rows, ["id", "text_key", "item_id"], ["item_codes", "shifts", "starts", "sizes", "codes"], run, "matched long, n_tokens long, start_token long, end_token long", 200)
+
+
+def seeded_pairs(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """row, p, item, pos: every hit (row, h, p) with every place (h, item, pos) of its seed.
+
+    Where the seeds are too many to broadcast, they are cut into rows of at most PLACES places, which meet the seed's
+    hits one by one, and the hits of a seed that many documents hold are spread; no row or task holds all of either.
+    """
+    if B.small_enough(seeds):
+        return hits.join(F.broadcast(seeds), "h")
+    numbered = seeds.withColumn("lot", F.pmod(F.xxhash64("item", "pos"), F.lit(1 << 20)))
+    sizes = seeds.groupBy("h").agg(F.count("*").alias("n"))
+    lots = F.greatest(F.lit(1), F.ceil(F.col("n") / PLACES)).cast("int")
+    often = B.skew_join(numbered, sizes, "h", "n", seeds.count()).withColumn("lot", F.pmod("lot", lots).cast("int"))
+    places = B.materialize(often.groupBy("h", "lot").agg(F.collect_list(F.struct("item", "pos")).alias("at")), "places")
+    met = hits.join(places.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("hits"))
+    keys = B.materialize(met.join(places.groupBy("h").agg(F.max("lot").alias("last")), "h"), "met")
+    own = B.salted_join(hits, keys, ["h"], "row", "hits").select("row", "p", "h", F.explode(F.sequence(F.lit(0), "last")).alias("lot"))
+    shared = own.groupBy("h", "lot").agg(F.count("*").alias("n"))
+    joined = B.salted_join(own, places.join(shared, ["h", "lot"]), ["h", "lot"], "row", "n")
+    return joined.select("row", "p", F.explode("at").alias("at")).select("row", "p", "at.item", "at.pos")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -240,14 +239,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     A null or empty html gives the empty text. Rows are independent: repeated rows, null ids and urls and
     other columns change nothing. One pass without a shuffle.
     """
-    kinds = dict(pages.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[[id_col, *keep]].copy()
-            out["text"] = [main_text(x) for x in b[html_col]]
-            out["n_chars"] = [len(x) for x in out["text"]]
-            yield out
+    def run(htmls: list[str | None]) -> tuple[None, pd.DataFrame]:
+        texts = [main_text(x) for x in htmls]
+        return None, pd.DataFrame({"text": texts, "n_chars": [len(x) for x in texts]})
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", text string, n_chars long"
-    return B.bounded_batches(pages).select(id_col, *keep, html_col).mapInPandas(run, schema)
+    return B.beside(pages, [id_col, *keep], [html_col], run, "text string, n_chars long")

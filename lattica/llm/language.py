@@ -138,22 +138,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     language. score: share of lang_pred in the document. Ties go to the language first in the alphabet.
     Rows are independent; repeated rows, null ids and other columns change nothing.
     """
-    kind = dict(docs.dtypes)[id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pred, score, langs = [], [], []
-            for text in b.iloc[:, 1]:
-                words = model.word_scores(text) if model.langs else ()
-                if not len(words):
-                    pred.append("und"), score.append(0.0), langs.append([])
-                    continue
-                who, share = infer(words)
-                pred.append(model.langs[who[0]]), score.append(min(1.0, float(share[0])))
-                langs.append([{"lang": model.langs[i], "share": float(s)} for i, s in zip(who, share)])
-            yield pd.DataFrame({id_col: b.iloc[:, 0].to_numpy(), "lang_pred": pred, "score": score, "languages": langs})
-
-    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    def run(texts: list[str | None]) -> tuple[None, pd.DataFrame]:
+        pred, score, langs = [], [], []
+        for text in texts:
+            words = model.word_scores(text) if model.langs else ()
+            if not len(words):
+                pred.append("und"), score.append(0.0), langs.append([])
+                continue
+            who, share = infer(words)
+            pred.append(model.langs[who[0]]), score.append(min(1.0, float(share[0])))
+            langs.append([{"lang": model.langs[i], "share": float(s)} for i, s in zip(who, share)])
+        return None, pd.DataFrame({"lang_pred": pred, "score": score, "languages": langs})
+
+    return B.beside(docs, [id_col], [text_col], run, "lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:

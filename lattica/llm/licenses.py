@@ -203,12 +203,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
     texts have none; repeated rows give repeated results; other columns are ignored. One pass without a
     shuffle; the index grows with the templates only.
     """
-    kind = dict(docs.dtypes)[id_col]
     index = LicenseIndex(templates, coverage)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in parts:
-            rows = [(i, *x) for i, own in zip(b.iloc[:, 0], index.find(b.iloc[:, 1].tolist(), coverage)) for x in own]
-            yield pd.DataFrame(rows, columns=[id_col, "license", "coverage", "matched", "start_char", "end_char"])
+    def run(texts: list[str | None]) -> tuple[list[int], pd.DataFrame]:
+        found = [(i, x) for i, own in enumerate(index.find(texts, coverage)) for x in own]
+        return [i for i, _ in found], pd.DataFrame([x for _, x in found], columns=["license", "coverage", "matched", "start_char", "end_char"])
 
-    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, license string, coverage double, matched long, start_char long, end_char long")
+    return B.beside(docs, [id_col], [text_col], run, "license string, coverage double, matched long, start_char long, end_char long", 1_000)

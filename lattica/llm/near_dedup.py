@@ -34,6 +34,8 @@ LEADER_PART = 250
 HELD_SHINGLES = 1_000_000
 #: Members of a bucket that stream past one task's outsiders, give or take chance.
 STREAM_PART = 500
+#: Parts or streams of one lot of a node's jobs, and bytes of sets that a task sends at a time, give or take a lot.
+LOT, SHOWN_BYTES = 64, 16 << 20
 #: Documents whose comparisons are broadcast to the scan of the texts; more of them are shuffled.
 JOB_ROWS = 50_000
 
@@ -116,20 +118,14 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, row_key, digest of the shingle set (null if empty), n_shingles, bands and odd sketch (null below least_size)."""
     least = least_size(percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 400):
-                part = b.iloc[lo : lo + 400]
-                rows = []
-                for s in shingle_sets(part["text"].tolist()):
-                    m = minhash(s) if len(s) >= least else None
-                    rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, len(s), None if m is None else band_keys(m), None if m is None else odd_sketch(m)))
-                out = pd.DataFrame(rows, columns=["digest", "n_shingles", "bands", "odd"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                out.insert(1, "row_key", part["row_key"].to_numpy())
-                yield out
+    def sketched(texts: list[str | None]) -> tuple[None, pd.DataFrame]:
+        rows = []
+        for s in shingle_sets(texts):
+            m = minhash(s) if len(s) >= least else None
+            rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, len(s), None if m is None else band_keys(m), None if m is None else odd_sketch(m)))
+        return None, pd.DataFrame(rows, columns=["digest", "n_shingles", "bands", "odd"])
 
-    return docs.mapInPandas(run, "doc_id long, row_key binary, digest binary, n_shingles long, bands array<long>, odd binary")
+    return B.beside(docs, ["doc_id", "row_key"], ["text"], sketched, "digest binary, n_shingles long, bands array<long>, odd binary", 400)
 
 
 def differing(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -166,9 +162,9 @@ def unpacked(raw: bytes) -> np.ndarray:
 def shown(docs: DataFrame, sets: DataFrame, jobs: DataFrame, fields: str) -> DataFrame:
     """The packed shingle set of every node in `jobs`, for each of its jobs (structs of `fields`).
 
-    A node's set is taken from any row with its row key; each task shows it once.
+    A node's set is taken from any row with its row key; each task shows it once a lot. Lots bound a node's list of jobs.
     """
-    listed = jobs.groupBy("node").agg(F.collect_list("job").alias("jobs")).join(sets.select("node", "row_key", "n"), "node")
+    listed = jobs.groupBy("node", "lot").agg(F.collect_list("job").alias("jobs")).join(sets.select("node", "row_key", "n"), "node")
     listed = B.materialize(listed, "jobs")
     if B.small_enough(listed, JOB_ROWS):
         texts = docs.join(F.broadcast(listed), "row_key")
@@ -177,19 +173,23 @@ def shown(docs: DataFrame, sets: DataFrame, jobs: DataFrame, fields: str) -> Dat
     names = [f.split()[0] for f in fields.split(", ")]
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for x in batches:
-            x = x[~x["node"].isin(done)].drop_duplicates("node")
-            done.update(x["node"])
+            x = x[[k not in done for k in zip(x["node"], x["lot"])]].drop_duplicates(["node", "lot"])
+            done.update(zip(x["node"], x["lot"]))
+            rows, held = [], 0
             for lo in range(0, len(x), 200):
                 own = x.iloc[lo : lo + 200]
-                rows = []
                 for i, s, todo in zip(own["node"], shingle_sets(own["text"].tolist()), own["jobs"]):
                     raw = packed(s)
                     rows += [(*(j[n] for n in names), i, raw) for j in todo]
-                yield pd.DataFrame(rows, columns=[*names, "node", "set"])
+                    held += len(raw) * len(todo)
+                    if held > SHOWN_BYTES:
+                        yield pd.DataFrame(rows, columns=[*names, "node", "set"])
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=[*names, "node", "set"])
 
-    return texts.select("node", "text", "jobs").mapInPandas(show, f"{fields}, node long, set binary")
+    return texts.select("node", "lot", "text", "jobs").mapInPandas(show, f"{fields}, node long, set binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,6 +199,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int)
     """
     leaders = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / LEADER_PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    lot = F.floor(F.col("part") / LOT).cast("int").alias("lot")
     lead = leaders.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a"), F.lit(True).alias("lead"))
     led = B.skew_join(pairs, leaders, "a", "n", pairs.count())
     jobs = lead.unionByName(led.select(F.col("b").alias("node"), part.alias("part"), "a", F.lit(False).alias("lead")))
@@ -219,7 +220,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int)
                             out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    rows = shown(docs, sets, jobs.select("node", F.struct("a", "part", "lead").alias("job")), "a long, part int, lead boolean")
+    rows = shown(docs, sets, jobs.select("node", lot, F.struct("a", "part", "lead").alias("job")), "a long, part int, lead boolean")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead")).mapInPandas(compare, "a long, b long").distinct()
 
 
@@ -258,14 +259,15 @@ def across(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) ->
     split = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     main = F.max_by(F.struct("component", "w"), F.struct("n", -F.col("component")))
     buckets = split.groupBy("band", "key").agg(main.alias("main"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
-    buckets = buckets.select("band", "key", "n", F.col("main.component").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / HELD_SHINGLES).cast("int").alias("parts"), F.ceil(F.col("n") / STREAM_PART).cast("int").alias("streams"))
-    rest = B.materialize(B.salted_join(placed, buckets, ["band", "key"], "node"), "mixed")
+    buckets = B.materialize(buckets.select("band", "key", "n", F.col("main.component").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / HELD_SHINGLES).cast("int").alias("parts"), F.ceil(F.col("n") / STREAM_PART).cast("int").alias("streams")), "buckets")
+    rest = B.materialize(B.salted_join(placed, buckets, ["band", "key"], "node", "n"), "mixed")
     dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     held = rest.filter("component != main").select("*", dealt("parts", 1).alias("part"), F.explode(every("streams")).alias("stream"), F.lit(True).alias("held"))
     passing = rest.select("*", F.explode(every("parts")).alias("part"), dealt("streams", 2).alias("stream"), F.lit(False).alias("held"))
     passing = passing.filter((F.col("component") == F.col("main")) | (dealt("parts", 1) != F.col("part")))
-    jobs = held.unionByName(passing).select("node", F.struct("band", "key", "part", "stream", "component", "held").alias("job"))
+    lot = F.floor(F.when(F.col("held"), F.col("stream")).otherwise(F.col("part")) / LOT).cast("int").alias("lot")
+    jobs = held.unionByName(passing).select("node", lot, F.struct("band", "key", "part", "stream", "component", "held").alias("job"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, rows, held, last = (0, 0, 0, 0), [], None, None
@@ -340,8 +342,8 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     sets = B.materialize(one.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = sets.filter("bands is not null").select("node", "n_shingles", "bands", "odd")
     spread = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
-    members = B.materialize(B.salted_join(spread, shared, ["band", "key"], "node"), "members")
+    shared = B.materialize(spread.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = B.materialize(B.salted_join(spread, shared, ["band", "key"], "node", "n").drop("n"), "members")
     stars = B.materialize(promising(members.filter("a < node").select("a", F.col("node").alias("b")).distinct(), nodes, percent), "stars")
     texts = docs.select("row_key", "text")
     links = B.materialize(confirmed(stars, texts, sets, percent), "star-links")

@@ -261,23 +261,21 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: st
     A null or empty text has no passage and the score of no evidence. Rows are independent: repeated rows,
     null ids and other columns change nothing.
     """
-    kind = dict(docs.dtypes)[id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, spans = [], []
-            for text in b.iloc[:, 1]:
-                chunks, s = model.token_scores(text)
-                out.append(model.probability(model.evidence(s)))
-                if with_passages:
-                    spans.append([{"text": " ".join(chunks[x:y]), "start": x, "end": y, "expected": e} for x, y, _, e in model.passages(s)])
-            frame = pd.DataFrame({id_col: b.iloc[:, 0].to_numpy(), "score": out})
-            frame["predicted"] = (frame["score"] >= threshold).astype("int32")
+    def run(texts: list[str | None]) -> tuple[None, pd.DataFrame]:
+        out, spans = [], []
+        for text in texts:
+            chunks, s = model.token_scores(text)
+            out.append(model.probability(model.evidence(s)))
             if with_passages:
-                frame["passages"] = spans
-            yield frame
+                spans.append([{"text": " ".join(chunks[x:y]), "start": x, "end": y, "expected": e} for x, y, _, e in model.passages(s)])
+        frame = pd.DataFrame({"score": out})
+        frame["predicted"] = (frame["score"] >= threshold).astype("int32")
+        if with_passages:
+            frame["passages"] = spans
+        return None, frame
 
-    return B.bounded_batches(docs).select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, score double, predicted int" + ", passages array<struct<text:string,start:long,end:long,expected:double>>" * with_passages)
+    return B.beside(docs, [id_col], [text_col], run, "score double, predicted int" + ", passages array<struct<text:string,start:long,end:long,expected:double>>" * with_passages)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,9 +287,4 @@ def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents below the threshold, with all their columns; learned from all labelled documents."""
     model = fit(docs, labels)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[np.array([model.probability(model.evidence(model.token_scores(t)[1])) < threshold for t in b["text"]], bool)]
-
-    return B.bounded_batches(docs).mapInPandas(run, docs.schema)
+    return B.filtered(docs, "text", lambda texts: np.array([model.probability(model.evidence(model.token_scores(t)[1])) < threshold for t in texts], bool))
