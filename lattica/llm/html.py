@@ -33,11 +33,16 @@ CONTENT = frozenset("article main".split())
 HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 #: An element that opens any of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset("br label legend summary figcaption dt dd li td th tr tbody thead tfoot col colgroup optgroup frame".split())
-#: Words in class, id or role that mark parts beside the content.
-ASIDE = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|respond|discussion|disqus|cookies?|consent|gdpr|copyright|footer|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|notice|alert|popup|topbar|login|repl(?:y|ies)|rail|aside|sticky|modal|overlay|promo\w*|related|recommended|share|sharing|social|sidebar|sponsor\w*|toolbar|widget|pagination|pager|complementary|contentinfo|search)(?![a-z])",
-    re.I,
-)
+#: Words in class, id or role that mark parts beside the content: readers' words, such parts, and parts that may as well hold it.
+MARKS = {
+    2: "comments? commentlist respond discussion disqus repl(?:y|ies)",
+    1: "ads? advert\\w* adsense breadcrumbs? cookies? consent gdpr copyright footer footnav menu nav navbar navigation aside related recommended sidebar sponsor\\w* pagination pager complementary contentinfo",
+    0: "banner header masthead newsletter subscribe signup notice alert popup topbar login rail sticky modal overlay promo\\w* share sharing social toolbar widget search",
+}
+ASIDE = {kind: re.compile(rf"(?<![a-z])(?:{words.replace(' ', '|')})(?![a-z])", re.I) for kind, words in MARKS.items()}
+READERS, STRONG, WEAK = 2, 1, 0
+#: Framing elements that seldom hold the content.
+FRAMES_STRONG = frozenset("nav footer aside menu".split())
 #: Compounds that hold such a word but name the content or its layout.
 NOT_ASIDE = re.compile(r"(?<![a-z])(?:(?:article|entry|post|content|story|main|page)-?(?:header|heading|head)|(?:has|with|without|no|hide)-[a-z-]+|comments?-(?:open|closed|enabled|disabled))(?![a-z])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -45,37 +50,52 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 #: What standing within a content element, outside one where the page has one, and within a framing or so named part adds.
-WITHIN, WITHOUT, BESIDE = 0.12, -0.12, -1.0
+WITHIN, WITHOUT = 0.12, -0.12
+BESIDE = {WEAK: -0.35, STRONG: -1.0, READERS: -1.0}
 
 
-def names_aside(value: str) -> bool:
-    """Whether a class, id or role marks a part beside the content."""
+def mark_of(value: str) -> int:
+    """The strongest mark in a class, id or role of a part beside the content, -1 if there is none."""
     plain = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).replace("_", "-")
-    return bool(ASIDE.search(NOT_ASIDE.sub(" ", plain)))
+    plain = NOT_ASIDE.sub(" ", plain)
+    return next((kind for kind, words in ASIDE.items() if words.search(plain)), -1)
+
+
+class Mark:
+    """A marked element: its kind, the marked one above it, and the nearest that is no weak one, itself included."""
+
+    __slots__ = ("number", "above", "kind", "firm")
+
+    def __init__(self, number: int, above: Mark | None, kind: int):
+        self.number, self.above, self.kind = number, above, kind
+        self.firm = self if kind > WEAK else above and above.firm
 
 
 class Block:
-    __slots__ = ("parts", "linked", "beside", "inside", "heading")
+    __slots__ = ("parts", "linked", "mark", "inside", "heading")
 
-    def __init__(self, beside: bool, inside: bool, heading: bool):
+    def __init__(self, mark: Mark | None, inside: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.beside, self.inside, self.heading = 0, beside, inside, heading
+        self.linked, self.mark, self.inside, self.heading = 0, mark, inside, heading
 
 
 def blocks(page: str) -> list[tuple[str, int, Block]]:
-    """Blocks with text in page order: text, characters in links, and where it stood."""
-    stack: list[tuple[str, bool, bool]] = []  # element, beside the content, within the content
+    """Blocks with text in page order: text, characters in links, and where it stood.
+
+    A content element within weakly marked ones is free of them.
+    """
+    stack: list[tuple[str, Mark | None, bool]] = []  # element, innermost mark, within the content
     depth_of: Counter = Counter()  # open elements by name
-    out: list[Block] = [Block(False, False, False)]
+    out: list[Block] = [Block(None, False, False)]
     links = 0
     at = 0
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def state() -> tuple[Mark | None, bool]:
+        return (stack[-1][1], stack[-1][2]) if stack else (None, False)
 
     def start() -> None:
-        beside, inside = state()
-        out.append(Block(beside, inside, any(depth_of[h] for h in HEADINGS)))
+        mark, inside = state()
+        out.append(Block(mark, inside, any(depth_of[h] for h in HEADINGS)))
 
     def close(name: str) -> None:
         """Ends the innermost open element of that name and what it holds."""
@@ -115,15 +135,20 @@ def blocks(page: str) -> list[tuple[str, int, Block]]:
         if name in ENDS_P:
             close("p")
         if name not in VOID and not m[0].endswith("/>") and name in BLOCK | {"span", "a"}:
-            beside, inside = state()
-            hidden = False
+            mark, inside = state()
+            kind, hidden = -1, False
             if m[3]:
                 for key, value in ATTR.findall(m[3]):
                     key, value = key.lower(), value.strip("\"'")
                     hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
-                    hidden |= key in ("class", "id", "role") and name not in CONTENT | {"body", "html"} and names_aside(value)
-            frame = name in FRAME and not (name == "header" and inside)  # an article's own head may hold its title
-            stack.append((name, beside or frame or hidden, inside or name in CONTENT))
+                    if key in ("class", "id", "role") and name not in CONTENT | {"body", "html"}:
+                        kind = max(kind, mark_of(value))
+            if name in FRAME and not (name == "header" and inside):  # an article's own head may hold its title
+                kind = max(kind, STRONG if name in FRAMES_STRONG else WEAK)
+            kind = READERS if hidden else kind  # never content either
+            if name in CONTENT:
+                mark = mark and mark.firm
+            stack.append((name, Mark(m.start(), mark, kind) if kind >= 0 else mark, inside or name in CONTENT))
             depth_of[name] += 1
         if name == "br" and not out[-1].parts or name == "br" and out[-1].parts[-1] != "\n":
             out[-1].parts.append("\n")  # one break is white space, two end the block
@@ -153,7 +178,7 @@ def first_pass(text: str, linked: int, place: float, short: int = 70, low: float
     if linked > links * len(text):
         return BAD, "link density"
     if len(text) < short:
-        return (BAD, "place") if place <= BESIDE / 2 else (OPEN, "short")
+        return (BAD, "place") if place <= BESIDE[WEAK] + WITHIN else (OPEN, "short")
     density = stop_density(text)
     if density + place >= high:
         return GOOD, "stop-word density"
@@ -217,11 +242,41 @@ def nearest(classes: list[int | None], inside: list[bool], step: int) -> list[in
     return out
 
 
+def kinds_of(found: list[tuple[int, Block]]) -> list[int]:
+    """For each block (characters outside links, block) the strongest mark above it that holds, -1 without one.
+
+    A marked element with at least half of the page's text outside links is its frame and no part beside it, so its mark
+    does not hold. Only if no content element stands outside it, and, for a strong mark, if hardly any text is
+    without marks. What readers wrote and what is hidden stays marked.
+    """
+    marks: dict[int, Mark] = {}
+    text: Counter = Counter()
+    content: Counter = Counter()
+    for n, b in found:
+        m = b.mark
+        if m:
+            text[m.number] += n
+        content[m.number if m else -1] += b.inside and not (m and m.firm)
+        while m and m.number not in marks:
+            marks[m.number], m = m, m.above
+    total, every, unmarked = sum(n for n, _ in found), content.total(), sum(n for n, b in found if not b.mark)
+    for k in sorted(marks, reverse=True):  # an element starts after those that hold it
+        if above := marks[k].above:
+            text[above.number] += text[k]
+            content[above.number] += content[k]
+    holds: dict[int, int] = {}
+    for k, m in sorted(marks.items()):
+        frame = m.kind < READERS and 2 * text[k] >= total and content[k] == every and (m.kind == WEAK or 10 * unmarked < total)
+        holds[k] = max(-1 if frame else m.kind, holds[m.above.number] if m.above else -1)
+    return [holds[b.mark.number] if b.mark else -1 for _, b in found]
+
+
 def judged(page: str) -> list[tuple[str, bool, str]]:
     """Blocks in page order: text, whether it is content, and the first pass's rule."""
     found = blocks(page)
-    told = any(b.inside and not b.beside for *_, b in found)  # the page has a content element
-    place = [BESIDE * b.beside + (WITHIN if b.inside else WITHOUT * told) for *_, b in found]
+    marked = kinds_of([(len(t) - linked, b) for t, linked, b in found])
+    told = any(b.inside and kind < 0 for (*_, b), kind in zip(found, marked))  # the page has a content element
+    place = [BESIDE.get(kind, 0) + (WITHIN if b.inside else WITHOUT * told) for (*_, b), kind in zip(found, marked)]
     first = [first_pass(t, linked, x) for (t, linked, _), x in zip(found, place)]
     first = pooled(first, [t for t, *_ in found], place)
     keep = second_pass([c for c, _ in first], [b.inside for *_, b in found], [b.heading for *_, b in found])

@@ -925,6 +925,16 @@ PAGES = {
     "hidden": (f"<article><p>{LONG}</p><p style='display: none'>{LONG}</p><p hidden>{LONG}</p></article>", LONG),
     "layout names": (f"<body><div class='layout has-sidebar comments-open'><div class='entry-header'><h1>Head</h1></div><div class=postBody><p>{LONG}</p></div><div class=side_bar id=leftSidebar><p>{LONG}</p></div></div><div class=siteFooter><p>{LONG}</p></div></body>", f"Head\n\n{LONG}"),
     "own footer": (f"<article><header><h1>Head</h1></header><p>{LONG}</p><footer><p>{LONG}</p></footer></article>", f"Head\n\n{LONG}"),
+    "form around": (f"<body><form id=aspnetForm><ul><li><a href=1>One</a></ul><div><p>{LONG}</p></div></form></body>", LONG),
+    "form around article": (f"<form><article><p>{LONG}</p></article></form>", LONG),
+    "sticky post": (f"<div class='post sticky'><p>{LONG}</p></div>", LONG),
+    "notice": (f"<div class='notice'><p>{LONG}</p></div>", LONG),
+    "search results": (f"<div class='search'><article><p>{LONG}</p></article></div>", LONG),
+    "social": (f"<main><div class='social'><p>{LONG}</p></div></main>", LONG),
+    "fixed header": (f"<div class='header-fixed'><p>{LONG}</p></div>", LONG),
+    "sidebar layout": (f"<div class='sidebar-right'><p>{LONG}</p><div class=comments><p>{LONG} {LONG}</p></div></div>", LONG),
+    "long comments": (f"<p>{LONG}</p><ol class=comments><li><article><p>{LONG} {LONG} {LONG}</p></article></ol>", LONG),
+    "long sidebar": (f"<p>{LONG}</p><div class=sidebar><p>{LONG} {LONG} {LONG}</p></div>", LONG),
     "nothing": ("<nav><a>x</a></nav>", ""),
     "": ("", ""),
 }
@@ -953,9 +963,29 @@ def plain_article(page):
     return [b for b in (re.sub(r"\s+", " ", entities.unescape(x)).strip() for x in inner.split("\0")) if b]
 
 
+def plain_marks(found):
+    """The strongest mark that holds above each block, element by element."""
+    chains = []
+    for *_, b in found:
+        chain, m = [], b.mark
+        while m:
+            chain.append(m)
+            m = m.above
+        chains.append(chain)
+    size = [len(t) - linked for t, linked, _ in found]
+
+    def frame(m):
+        within = [any(x is m for x in c) for c in chains]
+        content = [b.inside and all(x.kind == 0 for x in c) for (*_, b), c in zip(found, chains)]
+        bare = sum(n for n, c in zip(size, chains) if not c)
+        return m.kind < 2 and 2 * sum(n for n, w in zip(size, within) if w) >= sum(size) and not any(c and not w for c, w in zip(content, within)) and (m.kind == 0 or 10 * bare < sum(size))
+
+    return [max((m.kind for m in c if not frame(m)), default=-1) for c in chains]
+
+
 def plain_rules(found, told):
     """Both passes and the pooling between them, written out block by block."""
-    place = [(-1.0 if b.beside else 0.0) + (0.12 if b.inside else -0.12 if told else 0.0) for *_, b in found]
+    place = [{-1: 0.0, 0: -0.35}.get(kind, -1.0) + (0.12 if b.inside else -0.12 if told else 0.0) for (*_, b), kind in zip(found, plain_marks(found))]
 
     def density(text):
         own = re.findall(r"[^\W\d_]+", text.lower())
@@ -966,7 +996,7 @@ def plain_rules(found, told):
         if linked > 0.33 * len(t):
             first.append(0)
         elif len(t) < 70:
-            first.append(0 if x <= -0.5 else None)
+            first.append(0 if x <= -0.35 + 0.12 else None)
         else:
             first.append(1 if density(t) + x >= 0.2 else 0 if density(t) + x < 0.1 else None)
     mid = list(first)
@@ -1003,12 +1033,12 @@ def test_block_rules_against_plain_python(spark):
         parts = []
         for _ in range(rng.randrange(1, 14)):
             words = rng.choices(["the", "of", "zorb", "quix", "und", "flam"], weights=[rng.random() for _ in range(6)], k=rng.choice([1, 3, 8, 20, 40]))
-            tag = rng.choice(["p", "p", "p", "h2", "li", "article", "aside"])
-            parts.append(f"<{tag}>" + (f"<a>{' '.join(words)}</a>" if rng.random() < 0.15 else " ".join(words)) + f"</{tag}>")
+            tag = rng.choice(["p", "p", "p", "h2", "li", "article", "aside", "form", "div class=comments", "div class=sticky", "/form", "/div"])
+            parts.append(f"<{tag}>" + (f"<a>{' '.join(words)}</a>" if rng.random() < 0.15 else " ".join(words)) + (f"</{tag}>" if rng.random() < 0.8 else ""))
         pages.append("".join(parts))
     for page in filter(None, pages):
         found = html.blocks(page)
-        told = any(b.inside and not b.beside for *_, b in found)
+        told = any(b.inside and kind < 0 for (*_, b), kind in zip(found, plain_marks(found)))
         assert [int(keep) for _, keep, _ in html.judged(page)] == plain_rules(found, told), page
 
 
@@ -1025,9 +1055,9 @@ def test_main_text_without_content_elements(spark):
 
 
 def test_main_text_edges(spark):
-    pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>" + "<b>" * 5000 + "a", "x"), (3, "u", "<div>" * 3000 + LONG, "x"), (4, "u", "a < b <", "x")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<p>" + "<b>" * 5000 + "a", "x"), (3, "u", "<div>" * 3000 + LONG, "x"), (4, "u", "a < b <", "x"), (5, "u", "<div class=ad>" * 20_000 + "<div class=sticky>" * 20_000 + LONG, "x")], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()
-    assert len(got) == 5 and [r["n_chars"] for r in got[:2]] == [0, 0] and got[3]["text"] == LONG
+    assert len(got) == 6 and [r["n_chars"] for r in got[:2]] == [0, 0] and got[3]["text"] == LONG
     assert html.extract(pages.limit(0)).count() == 0
 
 
