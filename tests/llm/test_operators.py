@@ -1077,4 +1077,4 @@ def test_held_out_is_crc32(spark):
 
 def test_every_query_is_registered():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
