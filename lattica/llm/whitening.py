@@ -52,7 +52,7 @@ def centred(sums: list, n: int) -> list[Column]:
     for k, s in enumerate(sums):
         whole = Fraction(s) // n
         rest = float(Fraction(s) / n - whole)
-        out.append(((F.col(f"c{k}") - F.lit(int(whole))).cast("double") - F.lit(rest)).alias(f"c{k}"))
+        out.append(F.coalesce((F.col(f"c{k}") - F.lit(int(whole))).cast("double") - F.lit(rest), F.lit(0.0)).alias(f"c{k}"))  # never null: sums of what cannot be null are cheaper
     return out
 
 
@@ -68,7 +68,7 @@ def moments(columns: DataFrame, dims: int, exact: bool) -> Moments | None:
     n, sums = first[0], [Fraction(int(s) if exact else float(s)) for s in first[1:]] if first[0] else []
     if not n:
         return None
-    row = columns.select(*(centred(sums, n) if exact else [(F.col(f"c{k}") - F.lit(float(s / n))).alias(f"c{k}") for k, s in enumerate(sums)])).selectExpr(*upper_triangle(dims)).first()
+    row = columns.select(*(centred(sums, n) if exact else [F.coalesce(F.col(f"c{k}") - F.lit(float(s / n)), F.lit(0.0)).alias(f"c{k}") for k, s in enumerate(sums)])).selectExpr(*upper_triangle(dims)).first()
     cov = np.zeros((dims, dims))
     cov[np.triu_indices(dims)] = np.array(row, float) / n
     return Moments(n, sums, cov + np.triu(cov, 1).T)
