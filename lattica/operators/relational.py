@@ -111,6 +111,34 @@ def dense_index(df: DataFrame, key: str, out: str = "idx", buckets: int = 200) -
     return own.join(F.broadcast(before), "__p").select(key, (F.col("__n") + F.col("__before") - 1).alias(out))
 
 
+def prefix_sums(df: DataFrame, key: str, value: str, out: str = "upto", slices: int = 200) -> DataFrame:
+    """df with the sum of `value` over all rows up to its own, by ascending unique key; summed in ranges of the key, exactly as far as its type is exact."""
+    dealt = df.withColumn("__p", slice_of(F.col(key), range_bounds(df, key, slices)))
+    sizes = dealt.groupBy("__p").agg(F.sum(value).alias("__s"))  # one row a range
+    before = sizes.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"))
+    own = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn("__own", F.sum(value).over(own)).join(F.broadcast(before), "__p").withColumn(out, F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")
+
+
+def running_max_at(points: DataFrame, marks: DataFrame, by: str, value: str, slices: int = 200) -> DataFrame:
+    """points with the largest `value` of all marks whose `by` is not above theirs, null where there is none.
+
+    Both are dealt into ranges of `by` and swept side by side; a range begins with the largest value of those before
+    it. No row holds several marks and nothing is joined within a range.
+    """
+    bounds = range_bounds(marks, by, slices)
+    rest = [c for c in points.columns if c != by]
+    both = points.select(F.col(by).alias("__by"), F.lit(1).alias("__point"), F.lit(None).cast(marks.schema[value].dataType).alias("__v"), F.struct(*rest).alias("__row"))
+    both = both.unionByName(marks.select(F.col(by).alias("__by"), F.lit(0).alias("__point"), F.col(value).alias("__v")), allowMissingColumns=True)
+    both = both.withColumn("__p", slice_of(F.col("__by"), bounds))
+    own = marks.groupBy(slice_of(F.col(by), bounds).alias("__p")).agg(F.max(value).alias("__top"))  # one row a range
+    ranges = marks.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__p"))
+    before = ranges.join(own, "__p", "left").select("__p", F.max("__top").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    swept = Window.partitionBy("__p").orderBy("__by", "__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__here", F.max("__v").over(swept)).filter("__point = 1").join(F.broadcast(before), "__p")
+    return found.select(F.col("__by").alias(by), "__row.*", F.greatest("__here", "__before").alias(value))
+
+
 def running_share(df: DataFrame, keys: Sequence[str], order: Column, value: str, out: str = "cum") -> DataFrame:
     """Cumulative share of `value` within the keys."""
     whole = Window.partitionBy(*keys)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import bipartite, embed, itemgraph, recommend, relational, users, walks
+from ..operators import bipartite, embed, itemgraph, recommend, relational, sampling, users, walks
 from ..sources import exports, sinks
 from ..streaming import preferences
 
@@ -561,6 +561,63 @@ def link_split(s, d):
     return embed.link_split(graph(s, d)).select("src", "dst", "part")
 
 
+def wide(number: str, step: int) -> str:
+    """The whole number of two draws."""
+    whole = lambda k: draw(number, k).removesuffix(" / 2147483647.0::DOUBLE)").removeprefix("(")
+    return f"({whole(2 * step)} * 2147483647 + {whole(2 * step + 1)})"
+
+
+BASKETS = """spot AS (SELECT l_orderkey, l_partkey AS tok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
+pairs AS (SELECT a.tok AS center, b.tok AS context, count(*) AS n FROM spot a JOIN spot b ON a.l_orderkey = b.l_orderkey AND a.i <> b.i AND abs(a.i - b.i) <= 5 GROUP BY ALL)"""
+ALIAS = f"""{BASKETS}, cn AS (SELECT tok, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT center AS tok, n FROM pairs UNION ALL SELECT context, n FROM pairs) GROUP BY tok),
+wt AS (SELECT tok, CAST(floor(sqrt(cnt) * sqrt(sqrt(cnt)) * 65536) AS HUGEINT) AS w, row_number() OVER (ORDER BY tok) - 1 AS slot, count(*) OVER () AS size FROM cn),
+ov AS (SELECT *, sum(w) OVER () AS cap, size * w - sum(w) OVER () AS o FROM wt),
+li AS (SELECT *, sum(-o) OVER (ORDER BY slot) AS lacks FROM ov WHERE o < 0),
+he AS (SELECT *, sum(o) OVER (ORDER BY slot) AS gives, row_number() OVER (ORDER BY slot) - 1 AS rank FROM ov WHERE o >= 0),
+hg AS (SELECT gives, max(rank) + 1 AS nxt FROM he GROUP BY gives),
+ll AS (SELECT slot, tok, cap, cap + o AS keep, coalesce(nxt, 0) AS nxt FROM (SELECT *, lacks + o AS begun FROM li) ASOF LEFT JOIN hg ON begun >= gives),
+en AS (SELECT DISTINCT -lacks AS e FROM li UNION SELECT 0),
+hh AS (SELECT slot, tok, cap, cap + e + gives AS keep, rank + 1 AS nxt FROM he ASOF LEFT JOIN en ON -gives >= e),
+alias_ AS (SELECT a.slot AS slot, a.tok AS token, a.keep AS keep, coalesce(he.tok, a.tok) AS other, a.cap AS capacity FROM (FROM ll UNION ALL FROM hh) a LEFT JOIN he ON a.nxt = he.rank)"""
+
+
+def basket_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of parts at most five lines apart in an order, counted."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
+    paths = t(s, d, "lineitem").groupBy("l_orderkey").agg(listed.alias("path"))
+    return walks.skipgram_pairs(paths).groupBy("center", "context").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ALIAS} SELECT slot, token, CAST(keep AS VARCHAR) AS keep, other, CAST(capacity AS VARCHAR) AS capacity FROM alias_")
+def alias_table(s, d):
+    pairs = basket_pairs(s, d)
+    counts = pairs.select(F.explode(F.array("center", "context")).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("cnt"))
+    return sampling.alias_table(counts).withColumn("keep", F.col("keep").cast("string")).withColumn("capacity", F.col("capacity").cast("string"))
+
+
+@query(
+    f"""WITH {ALIAS}, first_ AS (SELECT center, context, n * 5 AS draws, sum(n * 5) OVER (ORDER BY center, context) - n * 5 AS begun FROM pairs),
+num AS (SELECT center, context, CAST(begun + unnest(range(0, draws)) AS BIGINT) AS number FROM first_),
+dr AS (SELECT center, context, {wide('number', 0)} % (SELECT count(*) FROM alias_) AS slot, {wide('number', 1)} AS u FROM num)
+SELECT center, context, CASE WHEN u % capacity < keep THEN token ELSE other END AS negative, count(*) AS n FROM dr JOIN alias_ USING (slot) GROUP BY ALL"""
+)
+def negative_samples(s, d):
+    return sampling.negative_samples(basket_pairs(s, d))
+
+
+@query(
+    f"""WITH {GRAPH}, nd AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT src AS id FROM g UNION SELECT dst FROM g)),
+co AS (SELECT src, dst, a.pos AS i, b.pos AS j, a.n AS n, row_number() OVER (ORDER BY a.pos * a.n + b.pos) - 1 AS number FROM g JOIN nd a ON a.id = src JOIN nd b ON b.id = dst),
+tk AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS below FROM (SELECT i * n + j AS code FROM co UNION SELECT j * n + i FROM co UNION SELECT pos * n + pos FROM nd)),
+gap AS (SELECT code - below AS g, max(below) + 1 AS skip FROM tk GROUP BY g),
+dr AS (SELECT src, dst, n, k, {wide('(number * 5 + k)', 0)} % (n * n - (SELECT count(*) FROM tk)) AS r FROM co, (SELECT unnest(range(0, 5)) AS k)),
+hit AS (SELECT src, dst, k, n, r + coalesce(skip, 0) AS code FROM dr ASOF LEFT JOIN gap ON r >= g)
+SELECT src, dst, CAST(k AS INTEGER) AS k, a.id AS neg_src, b.id AS neg_dst FROM hit JOIN nd a ON a.pos = code // hit.n JOIN nd b ON b.pos = code % hit.n"""
+)
+def non_edge_samples(s, d):
+    return sampling.non_edges(graph(s, d))
+
+
 # -- users and recommendations -----------------------------------------------------------------------
 
 
