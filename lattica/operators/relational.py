@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast by a checked size.
@@ -72,17 +74,32 @@ def unpivot_genres(wide: DataFrame) -> DataFrame:
     return tall.withColumn("raw_genre", blank_to_null(F.col("raw_genre"))).filter("raw_genre is not null").distinct()
 
 
-def kept_rows(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read from it, without its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share. Only a session on one machine may do without: it gets a temporary one."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("rows between steps need a folder that all executors share: set spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattica-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
 
-    Where the session names no folder (as in tests, on one machine), a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+
+def kept_rows(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder and read from it, without its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def kept_table(df: DataFrame, *partition: str) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, whose parts by the columns of `partition` can be read alone."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
     """Ascending values of `key` that cut its distinct values into about `ranges` parts.
 
