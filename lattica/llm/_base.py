@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -24,16 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or the context's checkpoint folder, or on one machine one below its warehouse."""
+    """The folder that all executors share, spark.checkpoint.dir. Only a session on one machine may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not at.isEmpty():
-            found = at.get()
-        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/lattica-checkpoints"
-        else:
-            raise ValueError("tables between steps need a folder that all executors share: set spark.checkpoint.dir")
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("tables between steps need a folder that all executors share: set spark.checkpoint.dir")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+        found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
