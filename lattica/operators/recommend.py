@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,10 +15,10 @@ from .bipartite import to_tall
 from .relational import kept_rows, ordered_string_agg, top_k
 from .users import genre_centroids, global_mean, user_genres
 
-#: Items, and users, of one cell of the grid that scores everyone against everything.
+#: Items of a block, and users that meet it in one group.
 BLOCK_ROWS = 8_192
-#: Users that topk_cosine_sql takes.
-STATED_USERS = 10_000
+#: Items that the blocks' centres are drawn from, and centres at most.
+SAMPLE, MOST_BALLS = 20_000, 4_096
 QUOTA = {"AV": 3, "GAME": 3, "WEBNOVEL": 3}
 SCORED = "user_id long, content_id long, domain string, score double"
 
@@ -28,22 +28,121 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + V.TINY)
 
 
-def best_items(users: DataFrame, items: DataFrame, k: int, quota: Mapping[str, int] | None = None, digits: int = 9) -> DataFrame:
-    """(user_id, content_id, domain, score): a superset of each user's picks, by matrix products in a grid.
+class BallIndex:
+    """Blocks of items about centres: for each block its lane, centre, part, and the widest angle of its items from the centre."""
 
-    Users and items are dealt by hash into blocks of about BLOCK_ROWS, and each pair of blocks is one group; only
-    the k best of a block, and the best of each quota domain, leave it. Nothing passes through the driver but two
-    counts. Scores are rounded so that ties go to the smaller id.
+    def __init__(self, keys: np.ndarray, centres: np.ndarray, least_cos: np.ndarray):
+        self.keys, self.centres = keys, centres  # keys: rows (lane, ball, sub), sorted
+        self.angle = np.arccos(np.clip(least_cos - 1e-12, -1, 1))
+
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """For each vector and block a number that no cosine with the block's items exceeds."""
+        about = np.arccos(np.clip(unit @ self.centres.T, -1, 1))[:, self.keys[:, 1]]
+        return np.where(np.linalg.norm(unit, axis=1)[:, None] > 0.5, np.cos(np.maximum(0, about - self.angle - 1e-9)), 1.0) + 1e-12
+
+    def visits(self, unit: np.ndarray, least: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and blocks of those from the lo-th to the hi-th of each lane, by falling bound, whose bound reaches `least` of the lane."""
+        bound, found = self.bounds(unit), []
+        for lane in np.unique(self.keys[:, 0]):
+            own = np.flatnonzero(self.keys[:, 0] == lane)
+            order = own[np.argsort(-bound[:, own], axis=1, kind="stable")[:, lo:hi]]
+            row, col = np.nonzero(np.take_along_axis(bound, order, axis=1) >= least[:, [lane]])
+            found.append((row, order[row, col]))
+        return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+def ball_index(items: DataFrame, lane: Column) -> tuple[DataFrame, BallIndex | None]:
+    """The items with their block (lane, ball, sub), and the index; (content_id, domain, vector) with vectors of one length.
+
+    Centres come from at most SAMPLE items, drawn by a hash of the id; every item is placed by its nearest centre, and
+    a ball with more than BLOCK_ROWS items is dealt into several blocks. A lane is a domain with a quota, or the rest.
+    """
+    n = items.count()
+    if not n:
+        return items.select("*", *(F.lit(0).alias(c) for c in ("lane", "ball", "sub"))), None
+    drawn = items.orderBy(F.xxhash64("content_id")).limit(SAMPLE).select("vector").toArrow().to_pandas()
+    sample = unit_rows(drawn["vector"])
+    centres = sample[np.random.default_rng(1).permutation(len(sample))[: min(MOST_BALLS, -(-n // BLOCK_ROWS))]]
+    for _ in range(8):
+        at = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                unit = unit_rows(b["vector"])
+                cos = unit @ centres.T
+                ball = cos.argmax(axis=1)
+                flat = np.linalg.norm(unit, axis=1) < 0.5  # a vector of length 0 has no direction
+                yield b.assign(ball=ball.astype(np.int32), cos=np.where(flat, -1.0, cos[np.arange(len(b)), ball]))
+
+    placed = kept_rows(items.select("*", lane.cast("int").alias("lane")).mapInPandas(place, "content_id long, domain string, vector array<double>, lane int, ball int, cos double"))
+    subs = placed.groupBy("lane", "ball").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("subs"))
+    placed = placed.join(F.broadcast(subs), ["lane", "ball"]).withColumn("sub", F.pmod(F.xxhash64("content_id"), F.col("subs")).cast("int")).drop("subs")  # a row for each ball and lane
+    found = placed.groupBy("lane", "ball", "sub").agg(F.min("cos").alias("cos")).orderBy("lane", "ball", "sub").collect()
+    return placed.drop("cos"), BallIndex(np.array([r[:3] for r in found], np.int64), centres, np.array([r["cos"] for r in found]))
+
+
+def best_items(users: DataFrame, items: DataFrame, k: int, quota: Mapping[str, int] | None = None, digits: int = 9, counted: list[int] | None = None) -> DataFrame:
+    """(user_id, content_id, domain, score): a superset of each user's picks, exact, by blocks of near items.
+
+    A user goes to the block with the best bound first, of each domain with a quota, then to a few more, then to all others
+    whose bound reaches the k-th score found (or the domain's last one); the others cannot hold a pick. Users meet a
+    block in groups of about BLOCK_ROWS, only the k best of a block, and the best of each quota domain, leave it,
+    and the driver sees the blocks' centres and angles only. Scores are rounded so that ties go to the smaller id.
+    `counted` gets the pairs scored and all pairs.
     """
     groups = {d: n for d, n in (quota or {}).items() if n > 0}
     domain = F.col("domain") if "domain" in items.columns else F.lit(None).cast("string")
-    users, items = kept_rows(users.select("user_id", "vector")), kept_rows(items.select("content_id", domain.alias("domain"), "vector"))
-    count = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
-    blocks, parts = count(items), count(users)
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = users.select("user_id", "vector", dealt("user_id", parts).alias("part"), over(blocks).alias("block"))
-    right = items.select("content_id", "domain", "vector", dealt("content_id", blocks).alias("block"), over(parts).alias("part"))
+    lanes = {d: i for i, d in enumerate(groups)}
+    lane = F.coalesce(*(F.when(domain == d, i) for d, i in lanes.items()), F.lit(len(lanes)))
+    users = kept_rows(users.select("user_id", V.as_vector(F.col("vector")).alias("vector")))
+    placed, index = ball_index(kept_rows(items.select("content_id", domain.alias("domain"), V.as_vector(F.col("vector")).alias("vector"))), lane)
+    empty = users.select("user_id", F.lit(0).cast("long").alias("content_id"), F.lit("").alias("domain"), F.lit(0.0).alias("score")).limit(0)
+    if index is None:
+        return empty
+    most = int(np.bincount(index.keys[:, 0]).max())
+    found, turns = None, [t for t in ((0, 1), (1, 5), (5, most)) if t[0] < most]
+    for lo, hi in turns:
+        none = F.array(*[F.lit(-2.0)] * (len(lanes) + 1)).alias("least")
+        asked = users.select("*", none) if found is None else users.join(reached(found, k, groups, digits), "user_id", "left").withColumn("least", F.coalesce("least", none))
+
+        def route(batches: Iterator[pd.DataFrame], lo: int = lo, hi: int = hi) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    row, at = index.visits(unit_rows(b["vector"]), np.stack(b["least"].to_list()), lo, hi)
+                    yield b[["user_id", "vector"]].iloc[row].assign(**{c: index.keys[at, i].astype(np.int32) for i, c in enumerate(("lane", "ball", "sub"))})
+
+        routed = kept_rows(asked.mapInPandas(route, "user_id long, vector array<double>, lane int, ball int, sub int"))
+        new = scored_cells(routed, placed, k, groups, digits, counted)
+        found = new if found is None else found.unionByName(new)
+        found = kept_rows(found) if (lo, hi) != turns[-1] else found
+    if counted is not None:
+        counted.append(users.count() * placed.count())
+    return found
+
+
+def reached(found: DataFrame, k: int, groups: Mapping[str, int], digits: int) -> DataFrame:
+    """(user_id, least): for each lane the score below which a further item is no pick; of `found`, the candidates so far."""
+    nth = lambda scores, n: F.coalesce(F.get(F.sort_array(scores, False), F.lit(n - 1)), F.lit(-2.0))
+    last = nth(F.collect_list("score"), k)
+    of = [nth(F.collect_list(F.when(F.col("domain") == d, F.col("score"))), n) for d, n in groups.items()]
+    return found.groupBy("user_id").agg(F.transform(F.array(*(F.least(last, x) for x in of), last), lambda x: x - 10.0**-digits).alias("least"))
+
+
+def scored_cells(routed: DataFrame, placed: DataFrame, k: int, groups: Mapping[str, int], digits: int, counted: list[int] | None) -> DataFrame:
+    """The best items of every block that a user was sent to; a block that many users visit meets them in groups."""
+    key = ["lane", "ball", "sub"]
+    parts = kept_rows(routed.groupBy(key).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")))  # a row a block
+    if counted is not None:
+        sizes = placed.groupBy(key).agg(F.count("*").alias("m"))
+        counted.append(parts.join(sizes, key).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
+    near = F.broadcast(parts.select(*key, "parts"))
+    left = routed.join(near, key).withColumn("part", F.pmod(F.xxhash64("user_id"), F.col("parts")).cast("int")).drop("parts")
+    right = placed.join(near, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def score(people: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(people) or not len(own):
@@ -65,7 +164,8 @@ def best_items(users: DataFrame, items: DataFrame, k: int, quota: Mapping[str, i
                 rows += [(user, int(ids[j]), names[j], float(s[j])) for j in sorted(picked)]
         return pd.DataFrame(rows, columns=["user_id", "content_id", "domain", "score"])
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(score, SCORED)
+    cell = [*key, "part"]
+    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInPandas(score, SCORED)
 
 
 def topk_cosine(users: DataFrame, items: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
@@ -74,16 +174,6 @@ def topk_cosine(users: DataFrame, items: DataFrame, k: int = 5, digits: int = 9)
     return top_k(found, ["user_id"], k, F.desc("score"), F.col("content_id")).select("user_id", "rank", "content_id", "score")
 
 
-def topk_cosine_sql(users: DataFrame, items: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    """topk_cosine as a plan of built-in expressions, for a stated set of at most STATED_USERS users."""
-    if users.limit(STATED_USERS + 1).count() > STATED_USERS:
-        raise ValueError(f"over {STATED_USERS} users; use topk_cosine")
-    unit = lambda d, key: d.select(key, V.l2_normalize(F.col("vector")).alias("vector"))
-    u = F.broadcast(unit(users, "user_id").withColumnRenamed("vector", "u"))
-    pairs = unit(items, "content_id").crossJoin(u).select("user_id", "content_id", F.round(V.dot(F.col("u"), F.col("vector")), digits).alias("score"))
-    return top_k(pairs, ["user_id"], k, F.desc("score"), F.col("content_id")).select("user_id", "rank", "content_id", "score")
-
-
 def first_order(order: str | None) -> Column:
     """The rows' order as `__at`: an order column, else as they are read."""
     return (F.col(order) if order else F.monotonically_increasing_id()).alias("__at")

@@ -23,10 +23,39 @@ def test_topk(world, monkeypatch, block):
     monkeypatch.setattr(recommend, "BLOCK_ROWS", block)
     got = {(r["user_id"], r["rank"]): r["content_id"] for r in recommend.topk_cosine(u, i, 4).collect()}
     assert got == {(n, k + 1): x[1] for n, v in people for k, x in enumerate(ranked(items, v)[:4])}
-    assert {(r["user_id"], r["rank"]): r["content_id"] for r in recommend.topk_cosine_sql(u, i, 4, 9).collect()} == got
-    monkeypatch.setattr(recommend, "STATED_USERS", 4)
-    with pytest.raises(ValueError):
-        recommend.topk_cosine_sql(u, i)
+
+
+@pytest.mark.parametrize("spread,most", [(0.15, 0.35), (0.6, 1.0), (50.0, 1.0)])
+def test_pruned_scoring_is_exact(spark, monkeypatch, spread, most):
+    """Clustered and shapeless items, ties, equal items beyond a block, vectors of length 0, domains with few items."""
+    monkeypatch.setattr(recommend, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 1, (12, 8))
+    vectors = centres[rng.integers(0, 12, 400)] + rng.normal(0, spread, (400, 8))
+    vectors[50:110], vectors[200:203] = vectors[50], 0.0
+    domains = [["AV", "GAME", "WEBNOVEL", "OTHER", None][(n % 7) % 5] if n % 97 else "RARE" for n in range(400)]
+    people = np.concatenate((centres[rng.integers(0, 12, 60)] + rng.normal(0, spread, (60, 8)), vectors[50:52], np.zeros((1, 8))))
+    i = spark.createDataFrame([(n, v.tolist(), d) for n, (v, d) in enumerate(zip(vectors, domains))], "content_id long, vector array<double>, domain string")
+    u = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(people)], "user_id long, vector array<double>")
+    unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
+    scores = np.round(unit(people) @ unit(vectors).T, 9)
+    for quota in (None, {"AV": 3, "GAME": 2, "RARE": 9}):
+        counted: list[int] = []
+        got = {}
+        for r in recommend.best_items(u, i, 5, quota, counted=counted).collect():
+            assert got.setdefault(r["user_id"], {}).setdefault(r["content_id"], r["score"]) == r["score"] and r["domain"] == domains[r["content_id"]]
+        for n in range(len(people)):
+            order = sorted(range(400), key=lambda j: (-scores[n, j], j))
+            want = set(order[:5])
+            for d, k in (quota or {}).items():
+                want |= set([j for j in order if domains[j] == d][:k])
+            assert want <= got[n].keys() and all(abs(got[n][j] - scores[n, j]) < 2e-9 for j in want)
+        assert counted[-1] == 63 * 400 and sum(counted[:-1]) <= most * counted[-1] * (1 if quota is None else 1.6)
+
+
+def test_no_items_no_picks(spark, world):
+    *_, i, u = world
+    assert recommend.topk_cosine(u, i.limit(0)).count() == 0 and recommend.topk_cosine(u.limit(0), i).count() == 0
 
 
 def test_quota_and_backfill(spark, world):
