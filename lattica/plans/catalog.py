@@ -6,6 +6,7 @@ their label as genre, `events` the users' preferences.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..functions import columns as C
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import bipartite, embed, itemgraph, recommend, relational, sampling, users, walks
-from ..sources import exports, sinks
+from ..sources import exports, sinks, tables
 from ..streaming import preferences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -813,6 +814,40 @@ def user_summary(s, d):
     return sinks.user_summary(topk_with_meta(s, d))
 
 
+# -- files written from the tables and read back ------------------------------------------------------------
+
+
+def new_path(s: SparkSession, name: str) -> str:
+    return f"{relational.shared_dir(s)}/files/{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, replace(p_name, ' ', chr(10)) || CASE WHEN p_partkey % 3 = 0 THEN ' 5\", \"so\"' ELSE '' END AS note, p_brand AS brand FROM part")
+def quoted_breaks_csv(s, d):
+    """Line breaks, quotes and commas within quoted fields, read in splits."""
+    k, path = F.col("p_partkey"), new_path(s, "notes")
+    note = F.concat(F.replace("p_name", F.lit(" "), F.lit("\n")), F.when(k % 3 == 0, ' 5", "so"').otherwise(""))
+    sinks.write_csv(t(s, d, "part").select(k.alias("id"), note.alias("note"), F.col("p_brand").alias("brand")), path)
+    return tables.read_csv(s, path)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || ', \"' || o_orderpriority || '\"' AS note, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS customer FROM orders")
+def single_csv(s, d):
+    """One file with a byte order mark."""
+    path = new_path(s, "orders.csv")
+    note = F.concat("o_orderstatus", F.lit(', "'), "o_orderpriority", F.lit('"'))
+    sinks.write_single_csv(t(s, d, "orders").select(F.col("o_orderkey").alias("id"), note.alias("note"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("customer")), path, "id")
+    return tables.read_csv(s, path)
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag || '\"' || chr(10) || l_linestatus AS note, CASE WHEN l_partkey % 2 = 0 THEN l_partkey END AS part FROM lineitem")
+def json_array_file(s, d):
+    """One file with an indented array of all lines."""
+    path = new_path(s, "lines.json")
+    note = F.concat("l_returnflag", F.lit('"\n'), "l_linestatus")
+    sinks.write_json_array(t(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), note.alias("note"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("part")), path, "id")
+    return s.read.schema("id long, line int, note string, part long").json(path, multiLine=True)
+
+
 # -- learned stages: rows only -----------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -47,10 +47,24 @@ def _save(tables: dict[str, DataFrame], out: str | None) -> None:
         write_parquet(df, f"{out}/{name}")
 
 
+def _save_counted(tables: dict[str, DataFrame], out: str | None) -> dict[str, int]:
+    """Rows of each table, counted by the job that writes it; without a folder, by one that writes nothing."""
+    rows = {}
+    for name, df in tables.items():
+        seen = Observation(name)
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        if out:
+            write_parquet(counted, f"{out}/{name}")
+        else:
+            counted.write.format("noop").mode("overwrite").save()
+        rows[name] = seen.get["rows"]
+    return rows
+
+
 def build_graph(spark: SparkSession, payload: Payload, out: str | None = None) -> dict[str, int]:
     t = graph_tables(spark, payload)
-    _save({"graph_nodes": t["nodes"], "content_raw_genres": t["raw_genres"], "meta_nodes": t["meta_nodes"], "graph_edges_bipartite": t["edges"]}, out)
-    return {"content_nodes_count": t["nodes"].count(), "raw_genres_count": t["raw_genres"].count(), "meta_nodes_count": t["meta_nodes"].count(), "edges_count": t["edges"].count()}
+    n = _save_counted({"graph_nodes": t["nodes"], "content_raw_genres": t["raw_genres"], "meta_nodes": t["meta_nodes"], "graph_edges_bipartite": t["edges"]}, out)
+    return {"content_nodes_count": n["graph_nodes"], "raw_genres_count": n["content_raw_genres"], "meta_nodes_count": n["meta_nodes"], "edges_count": n["graph_edges_bipartite"]}
 
 
 def build_graph_get_result(spark: SparkSession, payload: Payload) -> dict[str, Any]:

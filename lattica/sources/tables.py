@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -10,7 +12,9 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .records import quoted_records, within_after
 
 #: Encodings tried in this order.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "latin1")
@@ -34,14 +38,14 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 def survey(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[str, bool]:
     """The first encoding that decodes every line strictly, and whether a quoted field may hold a line break.
 
-    One pass over all files; an odd number of quotes in a line says that its last field goes on in the next one.
+    One pass over all files; a line that leaves a quoted field open says so, a bare quote within a field does not.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fits, odd = [True] * len(encodings), False
         for b in batches:
             for raw in b["raw"]:
-                odd |= raw.count(b'"') % 2 == 1
+                odd = odd or within_after(raw.decode("latin1"), False)  # quotes and commas are the same bytes in all encodings
                 if not raw.isascii():
                     fits = [ok and decodes(raw, e) for ok, e in zip(fits, encodings)]
         yield pd.DataFrame([[fits, odd]], columns=["fits", "odd"])
@@ -72,17 +76,35 @@ def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = E
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, encodings: Sequence[str] = ENCODINGS, **options: Any) -> DataFrame:
     """CSV with a header in any of the encodings; all columns are strings unless a schema says otherwise.
 
-    Quoted fields may hold line breaks; files that have any are read whole by one task each, others in splits.
+    Quoted fields may hold line breaks; files are read in splits all the same.
     """
     encoding, broken = survey(spark, path, encodings)
+    if broken:
+        return read_records(spark, path, encoding, schema, options)
     if encoding in ("cp949", "euc-kr"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "latin1": "ISO-8859-1"}.get(encoding, encoding)
-    reader = spark.read.options(header=True, encoding=java, quote='"', escape='"', multiLine=broken, **options)
+    reader = spark.read.options(header=True, encoding=java, quote='"', escape='"', **options)
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
     return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
 
 
+def read_records(spark: SparkSession, path: str, encoding: str, schema: StructType | str | None, options: dict[str, Any]) -> DataFrame:
+    """The CSV table of records that line breaks in quoted fields run through."""
+    found = quoted_records(spark, path, encoding, options.get("sep", ","))
+    head = found.filter("header").select("record").limit(1).first()
+    if head is None:
+        raise ValueError(f"{path} is empty")
+    names = [n.strip() for n in next(csv.reader([head["record"].replace("\n", " ")], delimiter=options.get("sep", ",")))]
+    kind = StructType([StructField(n, StringType()) for n in names]) if schema is None else StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = found.filter("not header").select(F.from_csv("record", ddl_of(kind), {k: str(v) for k, v in ({"quote": '"', "escape": '"'} | options).items()}).alias("r"))
+    return rows.select("r.*")
+
+
+def ddl_of(kind: StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kind)
+
+
 def read_optional(spark: SparkSession, path: str, **options: Any) -> DataFrame | None:
     """The CSV table, or None where it is missing or has no rows."""
     try:
@@ -125,38 +147,48 @@ def read_tolerant_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """(rows, rejects) of a CSV whose unquoted fields may hold bracketed commas.
 
     A line with the header's number of fields is taken as it is; another one is parsed again with the
-    commas inside brackets protected; what still does not fit is rejected with its text. Of each file the first
-    line is the header; a later line like it is a row.
+    commas inside brackets protected; what still does not fit is rejected with its text. Quoted fields may hold line
+    breaks. Of each file the first record is the header; a later one like it is a row.
     """
-    encoding = detect_encoding(spark, path)
-    lines = raw_lines(spark, path)
-    head = lines.filter("start = 0").first()
+    encoding, broken = survey(spark, path)
+    records = quoted_records(spark, path, encoding) if broken else plain_records(spark, path, encoding)
+    head = records.filter("header").first()
     if head is None:
         raise ValueError(f"{path} is empty")
-    names = [n.strip().strip('"') for n in bytes(head["raw"]).decode(encoding, errors="ignore").lstrip("﻿").split(",")]
+    names = [n.strip().strip('"') for n in head["record"].split(",")]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-
-        begun = set()
+        csv.field_size_limit(1 << 31)
         for b in batches:
             rows = []
-            for raw, file, start in zip(b["raw"], b["file"], b["start"]):
-                if start == 0 and file not in begun:
-                    begun.add(file)
-                    continue
-                line = raw.decode(encoding, errors="ignore")
-                fields = next(csv.reader([line]), [])
+            for line in b["record"]:
+                fields = next(csv.reader(io.StringIO(line)), [])
                 if len(fields) != len(names):
-                    fields = [f.replace(COMMA, ",") for f in next(csv.reader([protect_commas(line)]), [])]
+                    fields = [f.replace(COMMA, ",") for f in next(csv.reader(io.StringIO(protect_commas(line))), [])]
                 rows.append((fields if len(fields) == len(names) else None, line))
             yield pd.DataFrame(rows, columns=["fields", "line"])
 
-    parsed = lines.mapInPandas(split, "fields array<string>, line string")
+    parsed = records.filter("not header").select("record").mapInPandas(split, "fields array<string>, line string")
     good = parsed.filter("fields is not null").select(*(F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)))
     return good, parsed.filter("fields is null").select("line")
 
 
+def plain_records(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(record, header): every line that is not blank, and whether it is its file's first."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = set()
+        for b in batches:
+            first = []
+            for file, start in zip(b["file"], b["start"]):
+                first.append(start == 0 and file not in begun)
+                begun.add(file)
+            lines = [raw.decode(encoding, errors="ignore") for raw in b["raw"]]
+            yield pd.DataFrame({"record": [x.lstrip("\ufeff") if f else x for x, f in zip(lines, first)], "header": first})
+
+    return raw_lines(spark, path).mapInPandas(decode, "record string, header boolean")
+
+
 def decoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """The lines (value) of text files in an encoding that Spark's text reader does not take, blank ones left out."""
 
