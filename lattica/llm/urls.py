@@ -88,11 +88,12 @@ def ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
     values = model.select("gram", "value")
     if B.small_enough(model):
         found = own.join(F.broadcast(values), "gram", "left").select("text", "value")
-    else:  # the grams seen most are broadcast; none of the others is frequent
-        often = model.orderBy(F.desc("n"), "gram").limit(B.BROADCAST_ROWS).select("gram", "value")
+    else:  # the grams that these texts hold most often are broadcast, known to the models or not; none of the others is frequent
+        common = own.groupBy("gram").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "gram").limit(B.BROADCAST_ROWS).select("gram")
+        often = B.materialize(common.join(values, "gram", "left").withColumn("common", F.lit(True)), "common")
         first = own.join(F.broadcast(often), "gram", "left")
-        rest = values.join(F.broadcast(often.select("gram")), "gram", "left_anti")
-        found = first.select("text", "value").unionByName(first.filter("value is null").select("text", "gram").join(rest, "gram").select("text", "value"))
+        rest = first.filter("common is null").select("text", "gram").join(values, "gram").select("text", "value")
+        found = first.select("text", "value").unionByName(rest)
     return found.groupBy("text").agg((F.sum(F.coalesce("value", F.lit(0.0))) / (F.length("text") + 1) + F.lit(always["value"] if always else 0.0)).alias("ratio"))
 
 

@@ -544,6 +544,23 @@ def test_url_models_against_plain_python(spark):
         assert got[t] == pytest.approx(markov_ratio(train, t)), t
 
 
+def test_frequent_grams_that_no_model_knows_are_not_shuffled(spark, monkeypatch):
+    """A third of the texts hold `zzzz`, which was never learned: it is broadcast with the frequent ones, and ratios stay."""
+    train = spark.createDataFrame([(f"ab{i}.org/x", 0) for i in range(20)] + [(f"q{i}.com/y", 1) for i in range(20)], "text string, bad int")
+    model = urls.fit(train)
+    tests = spark.createDataFrame([(f"ab{i}{'zzzz' if i % 3 == 0 else ''}.org",) for i in range(60)], "text string")
+    want = {r["text"]: r["ratio"] for r in urls.ratios(tests, model).collect()}
+    kept = {}
+    keep = B.materialize
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 30)
+    monkeypatch.setattr(B, "small_enough", lambda df, rows=0: False)
+    monkeypatch.setattr(B, "materialize", lambda df, tag: kept.setdefault(tag, keep(df, tag)))
+    got = {r["text"]: r["ratio"] for r in urls.ratios(tests, model).collect()}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+    common = {r["gram"]: r["value"] for r in kept["common"].collect()}
+    assert len(common) == 30 and "zz" in common and common["zz"] is None
+
+
 def test_url_verdicts_against_plain_python(spark, monkeypatch):
     """The models, the cutoff and the verdicts written out; then with most grams beyond the broadcast."""
     rng = random.Random(3)
