@@ -801,6 +801,16 @@ def etl_webnovel(s, d):
     return exports.webnovel_contents(export(contents(s, d), k, F.col("brand").alias("author"), F.col("kind").alias("publisher"), F.split("master_title", " ").alias("genres"), F.concat(F.lit("2020-01-0"), k % 9).alias("started_at")))
 
 
+@query("SELECT 2 AS dialect, CAST(p_partkey AS VARCHAR) AS content_id, p_name AS name FROM part UNION ALL SELECT 3, CAST(p_partkey AS VARCHAR), chr(92) || ' ' || p_name FROM part")
+def etl_dialects(s, d):
+    """Doubled quotes in lines without outer ones; a backslash before a blank."""
+    k, name = F.col("content_id").cast("string"), F.col("master_title")
+    doubled = F.concat(F.lit('{""content_id"": '), k, F.lit(', ""name"": ""'), name, F.lit('""}'))
+    slashed = F.concat(F.lit('{"content_id": '), k, F.lit(', "name": "\\ '), name, F.lit('"}'))
+    own = lambda line, n, **dialect: exports.json_lines(contents(s, d).select(line.alias("value")), **dialect)[0].select(F.lit(n).alias("dialect"), exports._text("content_id").alias("content_id"), exports._text("name").alias("name"))
+    return own(doubled, 2, unescape_always=True).unionByName(own(slashed, 3, repair_backslash=True))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS created_at, CASE WHEN o_orderkey % 2 = 0 THEN '{\"a\":' || o_orderkey || '}' ELSE o_orderstatus END AS payload FROM orders")
 def etl_clean_cells(s, d):
     k = F.col("o_orderkey")

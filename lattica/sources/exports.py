@@ -16,7 +16,7 @@ MAX_GENRES = 4
 
 
 def json_lines(lines: DataFrame, unescape_always: bool = False, repair_backslash: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(json, rejects) of lines in column `value`.
+    """(json and its parsed form v, rejects) of lines in column `value`; a line is parsed once.
 
     Blank lines and the header are skipped. Outer quotes go and doubled quotes become single ones: in quoted
     lines, or in all. `repair_backslash` doubles a backslash before a blank. Lines that are no JSON object
@@ -27,8 +27,10 @@ def json_lines(lines: DataFrame, unescape_always: bool = False, repair_backslash
     text = X.unwrap_json(bare, unescape_always)
     if repair_backslash:
         text = F.regexp_replace(text, r"\\ ", r"\\\\ ")
-    parsed = kept.select(F.col("value").alias("line"), text.alias("json")).withColumn("ok", F.try_parse_json("json").isNotNull() & F.startswith(F.trim("json"), F.lit("{")))
-    return parsed.filter("ok").select("json"), parsed.filter("not ok").select("line")
+    bare_json = kept.select(F.col("value").alias("line"), text.alias("json"))
+    parsed = F.when(F.startswith(F.trim("json"), F.lit("{")), F.try_parse_json("json"))
+    found = F.explode(F.filter(F.array(parsed), lambda v: v.isNotNull())).alias("v")  # a filter would be pushed below and parse again
+    return bare_json.select("json", found), bare_json.filter(parsed.isNull()).select("line")
 
 
 def read_export(spark: SparkSession, path: str, encoding: str = "utf-8", **dialect: bool) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +41,7 @@ def read_export(spark: SparkSession, path: str, encoding: str = "utf-8", **diale
 
 
 def _field(path: str) -> Column:
-    return F.get_json_object("json", f"$.{path}")
+    return F.try_variant_get("v", f"$.{path}", "string")
 
 
 def _text(path: str) -> Column:
@@ -47,7 +49,7 @@ def _text(path: str) -> Column:
 
 
 def _list(path: str) -> Column:
-    return F.coalesce(F.from_json(_field(path), "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.try_variant_get("v", f"$.{path}", "array<string>"), F.array().cast("array<string>"))
 
 
 def _flag(path: str) -> Column:
@@ -84,9 +86,10 @@ def raw_item(rows: DataFrame) -> DataFrame:
     p = "source_payload"
     filled = lambda c: F.when(c != "", c)
     either = lambda *names: F.coalesce(*(filled(_field(f"{p}.{n}")) for n in names), F.lit(""))
-    payload = F.coalesce(_field(p), F.lit("{}"))
-    has_date = F.array_contains(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")), "release_date")
-    released = F.when(has_date, X.polymorphic_date(payload)).otherwise(_text(f"{p}.first_air_date"))
+    date = _field(f"{p}.release_date")
+    dated = F.coalesce(F.when(date.startswith("{"), _field(f"{p}.release_date.date")).otherwise(date), F.lit(""))
+    has_date = F.try_variant_get("v", f"$.{p}.release_date", "variant").isNotNull()  # null in JSON is there, too
+    released = F.when(has_date, dated).otherwise(_text(f"{p}.first_air_date"))
     head = [_text(c).alias(c) for c in ("raw_id", "domain", "platform_name", "platform_specific_id")]
     flags = [_flag(f"{p}.platforms.{x}").alias(f"platform_{x}") for x in ("mac", "linux", "windows")]
     return rows.select(

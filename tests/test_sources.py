@@ -101,6 +101,18 @@ def test_catalogue_exports(spark):
     assert one(exports.webnovel_contents, {"content_id": 3, "genres": ["판타지", "로맨스"]})["genres_str"] == "판타지|로맨스"
 
 
+def test_lines_are_parsed_once(spark):
+    """Thirteen fields of one line, one parse of it; numbers, lists and objects as text."""
+    df = spark.createDataFrame([('{"raw_id": 7, "source_payload": {"name": 2.50, "genres": ["a", 1, null], "is_free": true, "type": {"k": [1]}}}',), ("[1]",), ("{bad",), (None,)], "value string")
+    rows, bad = exports.json_lines(df)
+    found = exports.raw_item(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1 or plan.count("variantexpressionevalutils") == 1, plan
+    (r,) = found.collect()
+    assert (r["raw_id"], r["name"], r["is_free"], r["genres_str"], r["content_type"]) == ("7", "2.5", "true", "a|1", '{"k":[1]}')
+    assert sorted(x[0] for x in bad.collect()) == ["[1]", "{bad"]
+
+
 def test_clean_cells(spark):
     df = spark.createDataFrame([("2021-01-02 03:04:05", '"{""a"":1}"', 3)], "created_at string, j string, n int")
     assert tuple(exports.clean_cells(df).first()) == ("2021-01-02", '{"a":1}', 3)
