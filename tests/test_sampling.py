@@ -20,7 +20,7 @@ def exact_shares(rows):
 
 
 @pytest.mark.parametrize("counts", [[1], [5, 5, 5], [1, 1_000_000], [7, 1, 1, 1, 30, 2, 2, 9], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8], [10**9] + [1] * 40, list(range(1, 200))])
-@pytest.mark.parametrize("slices", [1, 4])
+@pytest.mark.parametrize("slices", [4])
 def test_alias_table_holds_every_weight_exactly(spark, counts, slices):
     df = spark.createDataFrame([(10 * k - 50, c) for k, c in enumerate(counts)] + [(10_001, 0), (10_002, None)], "token long, cnt long")
     rows = sampling.alias_table(df, slices=slices).collect()
