@@ -179,10 +179,15 @@ def first_order(order: str | None) -> Column:
     return (F.col(order) if order else F.monotonically_increasing_id()).alias("__at")
 
 
-def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = None, prefs: DataFrame | None = None, order: str | None = None) -> DataFrame:
-    """Recommendations with title and domain of the content and the cleaned username, a user's first one by `order`."""
+def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = None, prefs: DataFrame | None = None, order: str | None = None, contents_order: str | None = None) -> DataFrame:
+    """Recommendations with title and domain of the content and the cleaned username.
+
+    Of a repeated content the first row counts, by `contents_order`, of a user the first name by `order`; without an order column
+    as they are read.
+    """
     title = C.resolve_column(contents, C.CONTENT_NAME)
-    meta = contents.groupBy(C.to_bigint(F.col("content_id")).alias("content_id")).agg(F.min(F.struct(F.col(f"`{title}`").alias("t") if title else F.lit("").alias("t"), "domain")).alias("m"))
+    rows = contents.select(C.to_bigint(F.col("content_id")).alias("content_id"), F.struct(F.col(f"`{title}`").alias("t") if title else F.lit("").alias("t"), "domain").alias("m"), first_order(contents_order))
+    meta = rows.groupBy("content_id").agg(F.min_by("m", "__at").alias("m"))
     out = recs.join(meta, "content_id", "left").select(*recs.columns, F.col("m.t").alias("master_title"), F.col("m.domain").alias("domain"))
     if users is not None:
         name = users.select("user_id", "username", first_order(order))
@@ -195,20 +200,20 @@ def with_meta(recs: DataFrame, contents: DataFrame, users: DataFrame | None = No
     return out
 
 
-def titled(contents: DataFrame) -> DataFrame:
-    """(content_id, domain, content_title) of contents with a title that is neither null nor blank."""
+def titled(contents: DataFrame, order: str | None = None) -> DataFrame:
+    """(content_id, domain, content_title) of contents with a title that is neither null nor blank; of a repeated one the last row, by `order` or as they are read."""
     title = C.resolve_column(contents, C.TITLE, required=True)
-    rows = contents.select(C.to_bigint(F.col("content_id")).alias("content_id"), "domain", C.blank_to_null(F.col(f"`{title}`")).alias("content_title")).filter("content_id is not null and content_title is not null")
-    return rows.groupBy("content_id").agg(F.max_by("domain", "content_title").alias("domain"), F.max("content_title").alias("content_title"))
+    rows = contents.select(C.to_bigint(F.col("content_id")).alias("content_id"), "domain", C.blank_to_null(F.col(f"`{title}`")).alias("content_title"), first_order(order)).filter("content_id is not null and content_title is not null")
+    return rows.groupBy("content_id").agg(F.max_by(F.struct("domain", "content_title"), "__at").alias("m")).select("content_id", "m.domain", "m.content_title")
 
 
-def domain_quota(users: DataFrame, items: DataFrame, contents: DataFrame, quota: Mapping[str, int] = QUOTA, fill: bool = True) -> DataFrame:
+def domain_quota(users: DataFrame, items: DataFrame, contents: DataFrame, quota: Mapping[str, int] = QUOTA, fill: bool = True, order: str | None = None) -> DataFrame:
     """(user_id, rank, content_id, content_title, score, domain).
 
     Each domain's best up to its quota, then, where a domain fell short, the best of what is left from any
     domain. Contents without a title are no candidates.
     """
-    own = titled(contents)
+    own = kept_rows(titled(contents, order))
     catalogue = items.join(own.select("content_id", "domain"), "content_id")
     total = sum(max(0, n) for n in quota.values())
     found = best_items(users, catalogue, total, quota)

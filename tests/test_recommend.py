@@ -118,3 +118,14 @@ def test_genre_recommendations(spark):
     assert got[2][7] == pytest.approx(half) and got[3][7] == pytest.approx(half)
     with pytest.raises(ValueError):
         recommend.genre_topk(items, genres, prefs, 2, allowed=spark.createDataFrame([(9,)], "content_id long"))
+
+
+def test_repeated_contents_keep_an_ordered_row(spark):
+    """The first row names a recommendation, the last titled one gives a quota's domain and title."""
+    rows = [(1, "z", "GAME", 2), (1, "a", "AV", 3), (1, "m", "WEBNOVEL", 1), (1, " ", "AV", 4)]
+    contents = spark.createDataFrame(rows, "content_id long, master_title string, domain string, o int")
+    recs = spark.createDataFrame([(7, 1)], "user_id long, content_id long")
+    r = recommend.with_meta(recs, contents, contents_order="o").first()
+    assert (r["master_title"], r["domain"]) == ("m", "WEBNOVEL")
+    t = recommend.titled(contents, "o").first()
+    assert (t["content_title"], t["domain"]) == ("a", "AV")
