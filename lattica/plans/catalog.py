@@ -466,6 +466,17 @@ def window_pairs(s, d):
     return itemgraph.window_pairs(itemgraph.membership(nodes6(s, d), tall(s, d)))
 
 
+@query(
+    """WITH own AS (SELECT o_orderstatus AS meta_id, o_orderkey AS content_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS pos FROM orders QUALIFY pos <= 2000),
+sized AS (SELECT meta_id, count(*) AS deg FROM own GROUP BY meta_id)
+SELECT a.meta_id AS meta_id, a.content_id AS src, deg, count(*) AS n, min(b.content_id) AS first_dst, max(b.content_id) AS last_dst FROM own a JOIN own b ON a.meta_id = b.meta_id AND b.pos > a.pos AND b.pos <= a.pos + 100 JOIN sized ON sized.meta_id = a.meta_id GROUP BY ALL"""
+)
+def window_pairs_capped(s, d):
+    """Metas of more members than the cap keeps: orders by status."""
+    members = t(s, d, "orders").select(F.col("o_orderstatus").alias("meta_id"), F.col("o_orderkey").alias("content_id"))
+    return itemgraph.window_pairs(members).groupBy("meta_id", "src", "deg").agg(F.count("*").alias("n"), F.min("dst").alias("first_dst"), F.max("dst").alias("last_dst"))
+
+
 @query(f"WITH {EDGES} SELECT src, dst, round(weight, 6) AS weight FROM ie")
 def item_edges_unpruned(s, d):
     return itemgraph.item_edges(nodes6(s, d), tall(s, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
