@@ -860,13 +860,13 @@ def single_csv(s, d):
     return tables.read_csv(s, path)
 
 
-@query("SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag || '\"' || chr(10) || l_linestatus AS note, CASE WHEN l_partkey % 2 = 0 THEN l_partkey END AS part FROM lineitem")
+@query("SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag || '\"' || chr(10) || l_linestatus AS note, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS VARCHAR) END AS part FROM lineitem")
 def json_array_file(s, d):
     """One file with an indented array of all lines."""
     path = new_path(s, "lines.json")
     note = F.concat("l_returnflag", F.lit('"\n'), "l_linestatus")
-    sinks.write_json_array(t(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), note.alias("note"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("part")), path, "id")
-    return s.read.schema("id long, line int, note string, part long").json(path, multiLine=True)
+    sinks.write_json_array(t(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), note.alias("note"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey").cast("string")).alias("part")), path, "id")
+    return s.read.schema("id long, line int, note string, part string").json(path, multiLine=True)
 
 
 # -- learned stages: rows only -----------------------------------------------------------------------
