@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -112,7 +113,13 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
 
 def slice_of(value: Column, bounds: list) -> Column:
     """Number of the range that the value falls in."""
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)) if bounds else F.lit(0)
+    if not bounds:
+        return F.lit(0)
+    upto = lambda listed: F.size(F.filter(listed, lambda b: b <= value))
+    wide = math.isqrt(len(bounds) - 1) + 1  # bounds of a part; the parts' first bounds tell which part to look into
+    parts = [F.array(*map(F.lit, bounds[k : k + wide])) for k in range(0, len(bounds), wide)]
+    part = upto(F.array(*map(F.lit, bounds[::wide])))
+    return F.when(part == 0, 0).otherwise((part - 1) * wide + upto(F.get(F.array(*parts), part - 1)))
 
 
 def dense_index(df: DataFrame, key: str, out: str = "idx", buckets: int = 200) -> DataFrame:
