@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import io
 import json
-import textwrap
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,7 +44,7 @@ def csv_lines(rows: list[tuple], names: list[str]) -> list[str]:
 
 def json_texts(rows: list[tuple], names: list[str]) -> list[str]:
     """Each row as an indented JSON object within an array."""
-    return [textwrap.indent(json.dumps(dict(zip(names, r)), indent=2, ensure_ascii=False, default=str), "  ", lambda line: True) for r in rows]
+    return ["  " + json.dumps(dict(zip(names, r)), indent=2, ensure_ascii=False, default=str).replace("\n", "\n  ") for r in rows]
 
 
 def write_single_csv(df: DataFrame, path: str, order: str | None = None) -> None:

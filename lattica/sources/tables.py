@@ -134,6 +134,16 @@ def from_records(spark: SparkSession, rows: list[dict] | dict | None, schema: St
     return spark.createDataFrame([Row(*(text(r.get(n)) for n in names)) for r in rows], StructType.fromDDL(", ".join(f"`{n}` string" for n in names)))
 
 
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The objects of an array as `write_json_array` lays it out, in splits of the file; another layout is an error.
+
+    JSON has no line breaks within strings, so a line with a brace at an indent of two ends an object of the array and nothing else.
+    """
+    values = spark.read.option("lineSep", "\n  },\n  {\n").text(path).filter(~F.col("value").rlike(r"\A\s*(\[\s*\]\s*)?\z"))
+    record = F.concat(F.lit("{"), F.regexp_replace("value", r"\A\[\n  \{\n|\n  \}\n\]\n?\z", ""), F.lit("}"))
+    return values.select(F.from_json(record, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def protect_commas(line: str) -> str:
     """Commas inside brackets become a placeholder; any closing bracket ends the innermost open one."""
     depth, out = 0, []

@@ -101,6 +101,28 @@ def test_single_files_are_those_of_pandas_and_json(spark, tmp_path, n):
     assert {p for p in os.listdir(tmp_path) if not p.endswith(".crc")} == {"a.csv", "a.json"}
 
 
+@pytest.mark.parametrize("n", [0, 1, 1_000])
+def test_json_arrays_are_read_in_splits(spark, tmp_path, n):
+    deep = F.array(F.struct(F.lit("},\n  {\n").alias("a"), F.array(F.lit("x")).alias("b")))
+    df = some(spark, n).select("id", F.concat("text", F.lit("\u2028\x85 ]")).alias("text"), deep.alias("deep"))
+    sinks.write_json_array(df, str(tmp_path / "a.json"), "id")
+    rows = [r.asDict(recursive=True) for r in df.orderBy("id").collect()]
+    assert (tmp_path / "a.json").read_text("utf-8") == json.dumps(rows, indent=2, ensure_ascii=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "999")
+    try:
+        found = tables.read_json_array(spark, str(tmp_path / "a.json"), df.schema)
+        assert sorted((r.asDict(recursive=True) for r in found.collect()), key=lambda r: r["id"]) == rows
+        assert n < 1_000 or found.rdd.getNumPartitions() > 50  # no task holds the whole array
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_array_of_another_layout_is_refused(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1}, {"id": 2}], indent=4))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_json_array(spark, str(tmp_path / "a.json"), "id long").collect()
+
+
 def test_more_rows_than_a_payload_may_have(spark, tmp_path):
     sinks.write_json_array(spark.range(150_000), str(tmp_path / "big.json"), "id")
     found = json.loads((tmp_path / "big.json").read_text())
