@@ -102,3 +102,23 @@ def test_sweeps_and_prefix_sums(spark, slices):
     rows = [(int(k), int(v)) for k, v in enumerate(rng.integers(1, 50, 300))]
     sums = relational.prefix_sums(spark.createDataFrame(rows, "k long, v long"), "k", "v", "s", slices).collect()
     assert {r["k"]: r["s"] for r in sums} == dict(enumerate(np.cumsum([v for _, v in rows]).tolist()))
+
+
+def test_ranges_are_looked_up_once_a_row_for_all_types(spark):
+    df = spark.range(1_000).selectExpr("id * 3 as a", "cast(id as decimal(38,0)) as b", "'k' || id as c")
+    for c in df.columns:
+        bounds = relational.range_bounds(df, c, 50)
+        own = df.select(c, relational.slice_of(F.col(c), bounds).alias("p")).collect()
+        assert len(bounds) > 30 and all(r["p"] == sum(b <= r[c] for b in bounds) for r in own)
+
+
+def test_kept_rows_are_compressed_and_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kept = relational.kept_rows(spark.range(1_000).mapInArrow(counted, "id long"))
+    assert kept.count() == 1_000 and seen.value == 1_000
