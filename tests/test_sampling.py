@@ -104,6 +104,16 @@ def test_sweeps_and_prefix_sums(spark, slices):
     assert {r["k"]: r["s"] for r in sums} == dict(enumerate(np.cumsum([v for _, v in rows]).tolist()))
 
 
+def test_draws_of_a_pair_are_counted_where_they_are_drawn(spark):
+    pairs = spark.range(300).selectExpr("id % 20 as center", "id as context", "1L as n")
+    found = sampling.negative_samples(pairs, 3, slices=5)
+    whole = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1  # of the pairs, not of their draws
+    assert sum(r["n"] for r in whole) == 900
+    assert len({(r["center"], r["context"], r["negative"]) for r in whole}) == len(whole)
+
+
 def test_ranges_are_looked_up_once_a_row_for_all_types(spark):
     df = spark.range(1_000).selectExpr("id * 3 as a", "cast(id as decimal(38,0)) as b", "'k' || id as c")
     for c in df.columns:
