@@ -225,10 +225,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int)
 
 
 class Held:
-    """Shingle sets of a bucket's outsiders, by shingle."""
+    """Shingle sets of a bucket's outsiders, by shingle, and which components the links found so far have joined."""
 
     def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
-        self.nodes, self.components = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        self.nodes, self.roots = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        self.joined: dict[int, int] = {}
         self.sizes = np.array([len(r[2]) for r in rows], np.int64)
         every = np.concatenate([r[2] for r in rows])
         order = np.argsort(every, kind="stable")
@@ -237,14 +238,21 @@ class Held:
         self.ends = np.append(self.starts[1:], len(every))
 
     def links(self, node: int, component: int, shingles: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """One link of the node to each other component with a document that reaches the threshold."""
+        """One link of the node to each component that it reaches and that no earlier link has joined to its own.
+
+        All links of a group so make a forest of its components: fewer rows than components, whatever the pairs.
+        """
+        while component in self.joined:
+            component = self.joined[component]
         slot = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
         slot = slot[self.keys[slot] == shingles]
         n = self.ends[slot] - self.starts[slot]
         spot = np.repeat(self.starts[slot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         same = np.bincount(self.who[spot], minlength=len(self.nodes))
-        hit = np.nonzero((100 * same >= percent * (self.sizes + len(shingles) - same)) & (self.components != component))[0]
-        _, first = np.unique(self.components[hit], return_index=True)
+        hit = np.nonzero((100 * same >= percent * (self.sizes + len(shingles) - same)) & (self.roots != component))[0]
+        reached, first = np.unique(self.roots[hit], return_index=True)
+        self.roots[np.isin(self.roots, reached)] = component
+        self.joined.update(dict.fromkeys(reached.tolist(), component))
         return [(min(node, x), max(node, x)) for x in self.nodes[hit[first]].tolist()]
 
 
@@ -254,7 +262,7 @@ def across(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) ->
     placed: band, key, node, n_shingles, component. Buckets of one component need nothing. The outsiders are cut into
     parts of HELD_SHINGLES and the members into streams of STREAM_PART; each part meets each stream in one group. The
     work grows with outsiders times members of a bucket; rows sent grow with its members for each part of its
-    outsiders, and rows returned with its members and the components they join.
+    outsiders, and a group returns fewer rows than it has components.
     """
     split = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     main = F.max_by(F.struct("component", "w"), F.struct("n", -F.col("component")))

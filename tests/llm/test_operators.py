@@ -127,6 +127,23 @@ def test_null_and_repeated_ids_link_as_others(spark, monkeypatch, tight):
             assert len(here) == 1
 
 
+def test_links_of_a_bucket_are_a_forest():
+    """A group whose pairs all link returns fewer rows than it has components, outsiders and passing members alike."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 1 << 60, 400, dtype=np.uint64))
+    sets = [np.sort(np.concatenate((np.delete(base, k), rng.integers(0, 1 << 60, 1, dtype=np.uint64)))) for k in range(60)]
+    apart = np.sort(rng.integers(0, 1 << 60, 400, dtype=np.uint64))
+    rows = [*((k, k, x) for k, x in enumerate(sets[:30])), (900, 900, apart)]
+    held = near_dedup.Held(rows)
+    found = [link for r in rows for link in held.links(*r, 85)]
+    found += [link for k, x in enumerate(sets[30:], 30) for link in held.links(k, 30 + k % 3, x, 85)]
+    assert len(found) == 29 + 3 and all(a < b for a, b in found)
+    up = {i: i for link in found for i in link}
+    for a, b in found:
+        up = {i: up[a] if v == up[b] else v for i, v in up.items()}
+    assert len(set(up.values())) == 1 and set(range(30)) <= set(up) and 900 not in up
+
+
 def test_near_dedup_on_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
     found = queries.op1_near_dedup(spark, DIR).collect()
