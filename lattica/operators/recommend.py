@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +20,36 @@ from .users import genre_centroids, global_mean, user_genres
 BLOCK_ROWS = 8_192
 #: Items that the blocks' centres are drawn from, and centres at most.
 SAMPLE, MOST_BALLS = 20_000, 4_096
+#: Scores or bounds that a task has in memory at a time, and rows with a vector that it hands on at a time.
+CELLS, ROWS_OUT = 1_000_000, 2_048
 QUOTA = {"AV": 3, "GAME": 3, "WEBNOVEL": 3}
 SCORED = "user_id long, content_id long, domain string, score double"
 
 
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_list()).astype(np.float64)
+def matrix_of(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, from the column's own memory; a missing element is nan."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    if not len(lists):
+        return np.empty((0, 0))
+    dims = pc.unique(pc.list_value_length(lists)).to_pylist()
+    if len(dims) > 1 or dims[0] is None:
+        raise ValueError(f"vectors need one length, these have {dims[:5]}")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), dims[0])
+
+
+def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    m = matrix_of(vectors)
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + V.TINY)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows that a row's `width` numbers make about CELLS in all."""
+    most = max(1, CELLS // max(1, width))
+    for b in batches:
+        for lo in range(0, b.num_rows, most):
+            yield b.slice(lo, most)
+
+
 class BallIndex:
     """Blocks of items about centres: for each block its lane, centre, part, and the widest angle of its items from the centre."""
 
@@ -60,8 +82,7 @@ def ball_index(items: DataFrame, lane: Column) -> tuple[DataFrame, BallIndex | N
     n = items.count()
     if not n:
         return items.select("*", *(F.lit(0).alias(c) for c in ("lane", "ball", "sub"))), None
-    drawn = items.orderBy(F.xxhash64("content_id")).limit(SAMPLE).select("vector").toArrow().to_pandas()
-    sample = unit_rows(drawn["vector"])
+    sample = unit_rows(items.orderBy(F.xxhash64("content_id")).limit(SAMPLE).select("vector").toArrow()["vector"])
     centres = sample[np.random.default_rng(1).permutation(len(sample))[: min(MOST_BALLS, -(-n // BLOCK_ROWS))]]
     for _ in range(8):
         at = (sample @ centres.T).argmax(axis=1)
@@ -70,16 +91,16 @@ def ball_index(items: DataFrame, lane: Column) -> tuple[DataFrame, BallIndex | N
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                unit = unit_rows(b["vector"])
-                cos = unit @ centres.T
-                ball = cos.argmax(axis=1)
-                flat = np.linalg.norm(unit, axis=1) < 0.5  # a vector of length 0 has no direction
-                yield b.assign(ball=ball.astype(np.int32), cos=np.where(flat, -1.0, cos[np.arange(len(b)), ball]))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, len(centres)):
+            unit = unit_rows(b["vector"])
+            cos = unit @ centres.T
+            ball = cos.argmax(axis=1)
+            flat = np.linalg.norm(unit, axis=1) < 0.5  # a vector of length 0 has no direction
+            own = np.where(flat, -1.0, cos[np.arange(len(ball)), ball])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ball.astype(np.int32)), pa.array(own)], names=[*b.schema.names, "ball", "cos"])
 
-    placed = kept_rows(items.select("*", lane.cast("int").alias("lane")).mapInPandas(place, "content_id long, domain string, vector array<double>, lane int, ball int, cos double"))
+    placed = kept_rows(items.select("content_id", "domain", "vector", lane.cast("int").alias("lane")).mapInArrow(place, "content_id long, domain string, vector array<double>, lane int, ball int, cos double"))
     subs = placed.groupBy("lane", "ball").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("subs"))
     placed = placed.join(F.broadcast(subs), ["lane", "ball"]).withColumn("sub", F.pmod(F.xxhash64("content_id"), F.col("subs")).cast("int")).drop("subs")  # a row for each ball and lane
     found = placed.groupBy("lane", "ball", "sub").agg(F.min("cos").alias("cos")).orderBy("lane", "ball", "sub").collect()
@@ -110,13 +131,16 @@ def best_items(users: DataFrame, items: DataFrame, k: int, quota: Mapping[str, i
         none = F.array(*[F.lit(-2.0)] * (len(lanes) + 1)).alias("least")
         asked = users.select("*", none) if found is None else users.join(reached(found, k, groups, digits), "user_id", "left").withColumn("least", F.coalesce("least", none))
 
-        def route(batches: Iterator[pd.DataFrame], lo: int = lo, hi: int = hi) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    row, at = index.visits(unit_rows(b["vector"]), np.stack(b["least"].to_list()), lo, hi)
-                    yield b[["user_id", "vector"]].iloc[row].assign(**{c: index.keys[at, i].astype(np.int32) for i, c in enumerate(("lane", "ball", "sub"))})
+        def route(batches: Iterator[pa.RecordBatch], lo: int = lo, hi: int = hi) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches, len(index.keys)):
+                row, at = index.visits(unit_rows(b["vector"]), matrix_of(b["least"]), lo, hi)
+                own = b.select(["user_id", "vector"])
+                for k in range(0, len(row), ROWS_OUT):
+                    keys = index.keys[at[k : k + ROWS_OUT]].astype(np.int32)
+                    some = own.take(pa.array(row[k : k + ROWS_OUT]))
+                    yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(keys[:, i]) for i in range(3))], names=["user_id", "vector", "lane", "ball", "sub"])
 
-        routed = kept_rows(asked.mapInPandas(route, "user_id long, vector array<double>, lane int, ball int, sub int"))
+        routed = kept_rows(asked.mapInArrow(route, "user_id long, vector array<double>, lane int, ball int, sub int"))
         new = scored_cells(routed, placed, k, groups, digits, counted)
         found = new if found is None else found.unionByName(new)
         found = kept_rows(found) if (lo, hi) != turns[-1] else found
@@ -125,6 +149,21 @@ def best_items(users: DataFrame, items: DataFrame, k: int, quota: Mapping[str, i
     return found
 
 
+def best_places(s: np.ndarray, idx: np.ndarray, n: int) -> np.ndarray:
+    """Places in s, row by row, of the n largest of each row's columns idx, which ascend; ties go to the smaller column."""
+    mine = s[:, idx]
+    if mine.shape[1] > n:
+        least = np.partition(mine, mine.shape[1] - n, axis=1)[:, mine.shape[1] - n]
+        row, col = np.nonzero(mine >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(mine.shape))
+    order = np.lexsort((col, -mine[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(s)))
+    kept = np.arange(len(row)) - first[row] < n
+    return row[kept] * s.shape[1] + idx[col[kept]]
+
+
 def reached(found: DataFrame, k: int, groups: Mapping[str, int], digits: int) -> DataFrame:
     """(user_id, least): for each lane the score below which a further item is no pick; of `found`, the candidates so far."""
     nth = lambda scores, n: F.coalesce(F.get(F.sort_array(scores, False), F.lit(n - 1)), F.lit(-2.0))
@@ -144,28 +183,23 @@ def scored_cells(routed: DataFrame, placed: DataFrame, k: int, groups: Mapping[s
     left = routed.join(near, key).withColumn("part", F.pmod(F.xxhash64("user_id"), F.col("parts")).cast("int")).drop("parts")
     right = placed.join(near, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-    def score(people: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(people) or not len(own):
-            return pd.DataFrame({"user_id": [], "content_id": [], "domain": [], "score": []})
-        own = own.sort_values("content_id")
-        ids, names, matrix = own["content_id"].to_numpy(np.int64), own["domain"].to_numpy(object), unit_rows(own["vector"])
-        wanted = [(np.arange(len(ids)), k)] + [(np.nonzero(names == d)[0], n) for d, n in groups.items()]
-        rows = []
-        for lo in range(0, len(people), 256):
-            some = people.iloc[lo : lo + 256]
-            for user, s in zip(some["user_id"].tolist(), np.round(unit_rows(some["vector"]) @ matrix.T, digits)):
-                picked: set[int] = set()
-                for idx, n in wanted:
-                    mine = s[idx]
-                    if len(idx) > n:
-                        least = np.partition(mine, len(mine) - n)[len(mine) - n]
-                        idx, mine = idx[mine >= least], mine[mine >= least]
-                    picked.update(idx[np.lexsort((ids[idx], -mine))[:n]].tolist())
-                rows += [(user, int(ids[j]), names[j], float(s[j])) for j in sorted(picked)]
-        return pd.DataFrame(rows, columns=["user_id", "content_id", "domain", "score"])
+    def score(people: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.select(["content_id", "domain", "vector"]).sort_by("content_id") if people.num_rows else own.slice(0, 0)
+        names, matrix = own["domain"].to_numpy(), unit_rows(own["vector"])
+        own = own.select(["content_id", "domain"])
+        wanted = [(np.arange(len(names)), k)] + [(np.nonzero(names == d)[0], n) for d, n in groups.items()]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        most = max(1, CELLS // max(1, len(names)))
+        for lo in range(0, people.num_rows if len(names) else 0, most):
+            s = np.round(unit_rows(people["vector"].slice(lo, most)) @ matrix.T, digits)
+            picked = np.unique(np.concatenate([best_places(s, idx, n) for idx, n in wanted]))
+            user, item = np.divmod(picked, len(names))
+            found.append((user + lo, item, s[user, item]))
+        user, item, scores = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"user_id": people["user_id"].take(pa.array(user)), "content_id": own["content_id"].take(pa.array(item)), "domain": own["domain"].take(pa.array(item)), "score": pa.array(scores)})
 
     cell = [*key, "part"]
-    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInPandas(score, SCORED)
+    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(score, SCORED)
 
 
 def topk_cosine(users: DataFrame, items: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.operators import recommend, users
@@ -53,6 +54,29 @@ def test_pruned_scoring_is_exact(spark, monkeypatch, spread, most):
         assert counted[-1] == 63 * 400 and sum(counted[:-1]) <= most * counted[-1] * (1 if quota is None else 1.6)
 
 
+def test_a_task_has_few_bounds_and_scores_in_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["user_id"])
+    for width in (0, 7, 4_096, 10**7):
+        parts = list(recommend.sliced(iter([batch, batch]), width))
+        assert max(p.num_rows for p in parts) * width <= max(width, recommend.CELLS)
+        assert [x for p in parts for x in p["user_id"].to_pylist()] == [*range(10_000)] * 2
+
+
+def test_best_places_take_the_smaller_column_of_ties():
+    s = np.random.default_rng(5).integers(0, 4, (9, 30)).astype(float)
+    s[4], s[5, 2:] = 1.0, np.nan
+    for idx, n in ((np.arange(30), 5), (np.array([1, 2, 3, 9, 20]), 3), (np.array([4, 8]), 3), (np.array([], int), 2)):
+        want = {(u, j) for u in range(9) if u != 5 for j in sorted(idx.tolist(), key=lambda j: (-s[u, j], j))[:n]}
+        assert {p for p in map(tuple, np.stack(np.divmod(recommend.best_places(s, idx, n), 30), 1).tolist()) if p[0] != 5} == want
+
+
+def test_vectors_need_one_length():
+    assert recommend.matrix_of(pa.chunked_array([[[1.0, None]], [[3.0, 4.0]]])).shape == (2, 2)
+    for bad in ([[1.0], [1.0, 2.0, 3.0]], [[1.0, 2.0], None]):
+        with pytest.raises(ValueError):
+            recommend.matrix_of(pa.array(bad, pa.list_(pa.float64())))
+
+
 def test_no_items_no_picks(spark, world):
     *_, i, u = world
     assert recommend.topk_cosine(u, i.limit(0)).count() == 0 and recommend.topk_cosine(u.limit(0), i).count() == 0
