@@ -132,3 +132,20 @@ def test_kept_rows_are_compressed_and_made_once(spark):
 
     kept = relational.kept_rows(spark.range(1_000).mapInArrow(counted, "id long"))
     assert kept.count() == 1_000 and seen.value == 1_000
+
+
+def test_non_edges_are_sent_twice_at_most(spark, monkeypatch):
+    """With places too many to be broadcast: draws go once to the sweep, which finds their first node too, and once to the second node."""
+    monkeypatch.setattr(sampling, "broadcast_if_small", lambda df, *_: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(60).selectExpr("id * 7 as src", "(id + 1) % 60 * 7 as dst")
+        found = sampling.non_edges(df, 3, slices=5)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        own = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("__p#" in x or "j#" in x or "i#" in x)]
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in own if "(i#" in x]) == 0 and len(rows) == 180
+    near = {frozenset(r) for r in df.collect()}
+    assert all(r["neg_src"] != r["neg_dst"] and frozenset((r["neg_src"], r["neg_dst"])) not in near for r in rows)
