@@ -149,3 +149,15 @@ def test_non_edges_are_sent_twice_at_most(spark, monkeypatch):
     assert len([x for x in own if "(i#" in x]) == 0 and len(rows) == 180
     near = {frozenset(r) for r in df.collect()}
     assert all(r["neg_src"] != r["neg_dst"] and frozenset((r["neg_src"], r["neg_dst"])) not in near for r in rows)
+
+
+def test_slots_beyond_one_broadcast_send_no_draw(spark, monkeypatch):
+    """An alias table of several broadcasts: the same counts, and only the pairs are dealt."""
+    pairs = spark.range(300).selectExpr("id % 20 as center", "id as context", "1L as n")
+    whole = sorted(sampling.negative_samples(pairs, 3, slices=5).collect())
+    monkeypatch.setattr(sampling, "SLOT_ROWS", 70)
+    found = sampling.negative_samples(pairs, 3, slices=5)
+    assert sorted(found.collect()) == whole
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    sent = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+    assert len(sent) == 1 and "slot" not in sent[0] and "negative" not in sent[0]
